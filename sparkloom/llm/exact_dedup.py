@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import hot_limit, materialize, salted, table
+from sparkloom.llm.common import hot_limit, materialize, narrow, salted, table
 from sparkloom.llm.text import LOWER, blocks, buffers
 
 PRIME = (1 << 31) - 1
@@ -119,7 +119,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     # the texts of rows that share a fingerprint, compared to the survivor's chunk by chunk
     dealt, spread = salted(rows.select("doc_id", *key), groups, key, "n", limit)
     shared = materialize(dealt.join(spread.drop("n", "mixed"), [*key, "_salt"]).select("doc_id", *key, "_salt", "top").dropDuplicates(["doc_id"]))
-    texts = docs.select("doc_id", "text").join(shared, "doc_id")
+    texts = materialize(narrow(docs.select("doc_id", "text"), shared, "doc_id"))
     member = _chunked(texts.where("doc_id <> top"))
     first = _chunked(
         texts.where("doc_id = top").dropDuplicates(["doc_id"]).select("doc_id", *key, "text")
