@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, table
+from sparkloom.llm.common import materialize, narrow, table
 from sparkloom.llm.text import PUNCT, Words, blocks, hash_ranges, mix
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -176,16 +176,13 @@ def _decode(codes: np.ndarray) -> np.ndarray:
 
 
 def _patterns(keys: np.ndarray, voter: np.ndarray):
+    """Of (doc_id, text): the pattern of the row's votes."""
+
     def run(batches):
-        total: dict[tuple, int] = {}
         for batch in batches:
-            for at, n in blocks(batch.column(0)):
-                row, spot, many = found(batch.column(0).slice(at, n), keys)
-                own = batch.column(1).slice(at, n).to_numpy(zero_copy_only=False)
-                both, c = np.unique(_code(votes(row, spot, many, voter)) * 4 + own, return_counts=True)
-                for k, x in zip(both.tolist(), c.tolist(), strict=True):
-                    total[k] = total.get(k, 0) + x
-        yield pa.RecordBatch.from_arrays([pa.array([k >> 2 for k in total], pa.int64()), pa.array([k & 3 for k in total], pa.int64()), pa.array(total.values(), pa.int64())], names=["code", "y", "n"])
+            for at, n in blocks(batch.column(1)):
+                row, spot, many = found(batch.column(1).slice(at, n), keys)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(_code(votes(row, spot, many, voter)))], names=["doc_id", "code"])
 
     return run
 
@@ -269,13 +266,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     is gathered from all rows.
     """
     own = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    joined = docs.select("doc_id", "text").join(own, "doc_id", "left")
-    labelled = joined.where("toxic IS NOT NULL").select("text", F.col("toxic").cast("long").alias("toxic"))
+    own = materialize(own.withColumn("toxic", F.col("toxic").cast("long")))
+    labelled = narrow(docs.select("doc_id", "text"), own, "doc_id").select("text", "toxic")
     model = lexicons(labelled)
     if not len(model.keys):
         return model
-    y = F.coalesce(F.col("toxic").cast("long"), F.lit(2)).alias("y")
-    seen = joined.select("text", y).mapInArrow(_patterns(model.keys, model.voter), "code long, y long, n long").groupBy("code", "y").agg(F.sum("n").alias("n")).collect()
+    # the labels meet the short vote patterns, not the texts
+    code = docs.select("doc_id", "text").mapInArrow(_patterns(model.keys, model.voter), "doc_id long, code long")
+    seen = code.join(own, "doc_id", "left").groupBy("code", F.coalesce("toxic", F.lit(2)).alias("y")).agg(F.count("*").alias("n")).collect()
     codes = np.array(sorted({r["code"] for r in seen}))
     n, by_hand = np.zeros(len(codes)), np.zeros((len(codes), 2))
     for r in seen:
