@@ -10,15 +10,20 @@ the level of their size class and of the one below, as linked sets lie in the
 same or in neighbouring classes.  A passage that many texts share makes no
 token common, since a part mixes elements from everywhere in a text.
 
-Groups.  Sets that share a token are compared to a leader of the token; what
-links is one group.  A few rounds with other leaders put nearly all similar
-sets into groups.
+Groups.  Every set belongs to the group of the leader with which it shares most
+tokens (a token's leader is its smallest set), so similar sets are together.
 
 Matrix.  Each group's token union is stored as (token, group).  A set's overlap
 with a group's union bounds what it can share with any member; only groups of
-which the bound reaches SPARE are opened, and the members left are compared
-exactly.  Sets that already are in one component are not compared again, so a
-large group costs a multiple of its size, not its square.
+which the bound reaches what a link needs are opened for it.
+
+Opened groups.  With at most SMALL sets, all are compared.  In a larger one,
+every set is described by its difference from the group's centre (the elements
+that most sets have): |A ^ B| = |D(A) ^ D(B)|.  Sets whose differences are
+short enough together link without a look at them, so all of these link with
+the one that has most to spare; sets beyond it can link only where they share
+elements of their differences, and those are looked up by the rarest first.
+A group of any size thus costs a multiple of its size, not its square.
 
 Edge cases: null, empty and wordless texts have no set and link with nothing;
 repeated rows have one set and thus link; a null doc_id takes part but names
@@ -32,14 +37,16 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import hot_limit, materialize, narrow, salted, table
+from sparkloom.llm.common import MOST_KEYS, hot_limit, materialize, narrow, salted, table
 from sparkloom.llm.components import components
 from sparkloom.llm.text import SPACE, Words, blocks, mix, shingles
 
 SPARE = 3
-LEADER_ROUNDS = 3
+#: Sets up to which all of an opened group are compared.
+SMALL = 64
 
 
 class Levels:
@@ -137,84 +144,125 @@ def _stored(width: int):
                 own = list(sets(batch.column(0).slice(at, n), width))
                 meant = batch.column(2).slice(at, n).to_numpy().view(np.uint64).tolist()
                 keep = [i for i in range(n) if _signature(own[i])[0] == meant[i]]
+                cuts = np.concatenate(([0], np.cumsum([len(own[i]) for i in keep]))).astype(np.int32)
+                flat = np.concatenate([own[i] for i in keep]) if keep else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(at, n).take(pa.array(keep, pa.int64())), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["uid", "elements"]
+                    [batch.column(1).slice(at, n).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64)))],
+                    names=["uid", "elements"],
                 )
 
     return run
 
 
-def _linked(percent: int):
+def _lists(column) -> list[np.ndarray]:
+    """The arrays of a list<long> column, without copies."""
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _compared(percent: int):
+    """Sets sorted by group, (grp, uid, elements), to the links inside each group."""
+
+    def links(ids, own):
+        n = len(ids)
+        for i in range(n):
+            for j in range(i + 1, n):
+                x, y = own[i], own[j]
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        yield ids[i], ids[j]
+
     def run(batches):
+        group, ids, own, out = None, [], [], []
         for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).take(pa.array(keep, pa.int64()))
+            for g, u, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
+                if g != group:
+                    out += links(ids, own)
+                    group, ids, own = g, [], []
+                ids.append(u)
+                own.append(e.copy())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["src", "dst"])
+                out = []
+        out += links(ids, own)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["src", "dst"])
 
     return run
 
 
-def verify(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose sets link, as edges(src, dst)."""
-    x = elements.select(F.col("uid").alias("a"), F.col("elements").alias("ea"))
-    y = elements.select(F.col("uid").alias("b"), F.col("elements").alias("eb"))
-    wide = pairs.join(y, "b").join(x, "a").select("a", "b", "ea", "eb")
-    return wide.mapInArrow(_linked(percent), "src long, dst long")
-
-
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return shared.withColumn("label", F.col("uid"))
-    return shared.join(labels.withColumnRenamed("id", "uid"), "uid", "left").select("token", "uid", F.coalesce("component", "uid").alias("label"))
+def _differences(batches):
+    """(grp, uid, elements, centre) to (grp, uid, n, e, diff)."""
+    for batch in batches:
+        own, centre = _lists(batch.column(2)), _lists(batch.column(3))
+        diff = [np.setxor1d(x, c, assume_unique=True) for x, c in zip(own, centre, strict=True)]
+        size = list(map(len, diff))
+        flat = np.concatenate(diff) if diff else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(1), pa.array(list(map(len, own)), pa.int64()), pa.array(size, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat, pa.int64())),
+            ],
+            names=["grp", "uid", "n", "e", "diff"],
+        )
 
 
-def linked_sets(shared: DataFrame, elements: DataFrame, need: DataFrame, percent: int, rounds: int = LEADER_ROUNDS) -> DataFrame | None:
-    """Components of the sets that share tokens: (id, component), or None without links.
+def opened_groups(shared: DataFrame, need: DataFrame) -> DataFrame:
+    """(grp, uid): the groups that each set must be looked for in, its own among them.
 
-    shared(token, uid): the tokens at least two sets have; need(uid, need).
+    shared(token, uid, leader): the tokens that at least two sets have.
     """
-    labels = edges = tested = None
-    for r in range(rounds + 1):
-        own = materialize(_labelled(shared, labels))
-        order = F.col("uid") if r == 0 else F.xxhash64("uid", F.lit(r))
-        open_tokens = materialize(
-            own.groupBy("token")
-            .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("uid", "label"), order).alias("l"))
-            .where("lo <> hi")
-            .select("token", F.col("l.uid").alias("leader"), F.col("l.label").alias("group"))
-        )
-        if open_tokens.isEmpty():
-            break
-        if r < rounds:
-            pairs = own.join(open_tokens, "token").where("label <> group").select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
-        else:
-            # the matrix: each group's token union over the tokens that several groups have
-            left = materialize(own.join(open_tokens.select("token"), "token").join(need, "uid"))
-            matrix = materialize(left.select("token", F.col("label").alias("group")).distinct())
-            bound = left.join(matrix, "token").where("label <> group").groupBy("uid", "group").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-            opened = materialize(bound.where("n >= need").select("uid", "group"))
-            query = left.join(opened, "uid").select("token", "group", "uid", "need")
-            member = left.select("token", F.col("label").alias("group"), F.col("uid").alias("other"), F.col("need").alias("need2"))
-            pairs = (
-                query.join(member, ["token", "group"])
-                .groupBy(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"))
-                .agg(F.count_distinct("token").alias("n"), F.max(F.greatest("need", "need2")).alias("need"))
-                .where("n >= need").select("a", "b")
-            )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(verify(pairs, elements, percent))
-        edges = found if edges is None else edges.union(found)
-        if found.isEmpty():
-            continue
-        labels = components(edges)
-    return labels
+    counts = shared.groupBy("uid", "leader").agg(F.count("*").alias("c"))
+    home = materialize(counts.groupBy("uid").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("grp")))
+    matrix = materialize(shared.select("token", "uid").join(home, "uid").select("token", "grp").distinct())
+    overlap = shared.select("token", "uid").join(matrix, "token").groupBy("uid", "grp").agg(F.count("*").alias("c"))
+    return overlap.join(need, "uid").where("c >= need").select("grp", "uid")
+
+
+def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The links that make up the components of groups with over SMALL sets."""
+    own = part.join(elements, "uid")
+    seen = own.select("grp", F.explode("elements").alias("x")).groupBy("grp", "x").agg(F.count("*").alias("c"))
+    centre = materialize(seen.join(sizes, "grp").where("c * 2 > sets").groupBy("grp").agg(F.sort_array(F.collect_list("x")).alias("centre")))
+    few = centre.count() <= 2_000  # each as long as a set
+    with_centre = own.join(F.broadcast(centre) if few else centre, "grp", "left").select("grp", "uid", "elements", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"))
+    diffs = materialize(
+        with_centre.mapInArrow(_differences, "grp long, uid long, n long, e long, diff array<long>")
+        .withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.col("e"))
+    )
+    best = materialize(diffs.groupBy("grp").agg(F.max_by(F.struct("uid", "slack"), F.struct("slack", "uid")).alias("b")).select("grp", F.col("b.uid").alias("mid"), F.col("b.slack").alias("spare")))
+    few = best.count() <= MOST_KEYS
+    near = diffs.join(F.broadcast(best) if few else best, "grp")
+    star = near.where("slack + spare >= 0 AND uid <> mid").select(F.col("uid").alias("src"), F.col("mid").alias("dst"))
+    # sets beyond the middle one's reach: they must share enough of their differences
+    must = F.greatest(F.ceil(-(F.col("slack") + F.col("spare")) / (2.0 * (100 + percent))), F.lit(1))
+    outer = materialize(near.where("slack + spare < 0").withColumn("probes", F.col("e") - must + 1).where("probes > 0").select("grp", "uid", "diff", "probes"))
+    each = diffs.select("grp", "uid", F.explode("diff").alias("x"))
+    rare = each.groupBy("grp", "x").agg(F.count("*").alias("c")).where("c > 1")
+    rank = F.row_number().over(W.partitionBy("grp", "uid").orderBy("c", "x"))
+    # elements that no other set has come first and find nothing
+    unique = outer.select("grp", "uid", "probes", F.explode("diff").alias("x")).join(rare, ["grp", "x"], "left")
+    alone = unique.groupBy("grp", "uid").agg(F.count_if(F.col("c").isNull()).alias("lone"))
+    probe = unique.where("c IS NOT NULL").join(alone, ["grp", "uid"]).withColumn("r", rank).where("r + lone <= probes").select("grp", "x", F.col("uid").alias("a"))
+    pairs = probe.join(each.withColumnRenamed("uid", "b"), ["grp", "x"]).where("a <> b").select("grp", "a", "b").distinct()
+    left = diffs.select("grp", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da"))
+    right = diffs.select("grp", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    close = pairs.join(left, ["grp", "a"]).join(right, ["grp", "b"]).where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return star.union(close.select("a", "b"))
+
+
+def linked_sets(part: DataFrame, elements: DataFrame, percent: int) -> DataFrame | None:
+    """Components of the sets in opened groups part(grp, uid): (id, component), or None without links."""
+    sizes = materialize(part.groupBy("grp").agg(F.count("*").alias("sets")).where("sets > 1"))
+    large = materialize(sizes.where(F.col("sets") > SMALL))
+    many = materialize(part.join(sizes, "grp"))
+    small = many.where(F.col("sets") <= SMALL).select("grp", "uid").join(elements, "uid").select("grp", "uid", "elements")
+    edges = small.repartition("grp").sortWithinPartitions("grp").mapInArrow(_compared(percent), "src long, dst long")
+    if not large.isEmpty():
+        edges = edges.union(_large_links(many.where(F.col("sets") > SMALL).select("grp", "uid"), elements, large, percent))
+    edges = materialize(edges)
+    return None if edges.isEmpty() else components(edges)
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -233,12 +281,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     same = materialize(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m"), F.count("*").alias("size")).select(*key, "m.doc_id", "m.uid", "size"))
     every = narrow(rows.select("uid", "tokens"), same.select("uid"), "uid").select("uid", F.explode("tokens").alias("token"))
     shared = materialize(_repeated(every))
-    wanted = materialize(shared.select("uid").distinct().join(rows.select("uid", "place", "s0"), "uid"))
+    part = materialize(opened_groups(shared, rows.select("uid", "need")))
+    wanted = materialize(part.select("uid").distinct().join(rows.select("uid", "place", "s0"), "uid"))
     texts = narrow(docs.select("text", _place()), wanted, "place")
-    elements = materialize(texts.select("text", "uid", "s0").mapInArrow(_stored(width), "uid long, elements binary"))
+    elements = materialize(texts.select("text", "uid", "s0").mapInArrow(_stored(width), "uid long, elements array<long>"))
     if elements.count() > wanted.count():  # repeated rows bring their set more than once
         elements = materialize(elements.dropDuplicates(["uid"]))
-    labels = linked_sets(shared, elements, rows.select("uid", "need"), percent)
+    labels = linked_sets(part, elements, percent)
     if labels is None:
         sized = same.withColumn("component_id", F.col("doc_id"))
     else:
@@ -254,10 +303,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
 
 def _repeated(every: DataFrame) -> DataFrame:
-    """The (token, uid) rows whose token at least two sets have."""
-    from pyspark.sql import Window as W
-
-    return every.withColumn("c", F.count("*").over(W.partitionBy("token"))).where("c > 1").select("token", "uid")
+    """The (token, uid) rows whose token at least two sets have, and the token's smallest set."""
+    same = W.partitionBy("token")
+    both = every.select("*", F.count("*").over(same).alias("c"), F.min("uid").over(same).alias("leader"))
+    return both.where("c > 1").select("token", "uid", "leader")
 
 
 def _place():
