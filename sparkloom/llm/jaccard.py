@@ -4,8 +4,8 @@ Sets are the distinct word shingles of whole texts; identical sets are joined
 by their signature first and only one of each goes on.
 
 Tokens.  Two sets that link differ in at most H elements, H = (|A| + |B|)(1 - J) / (1 + J).
-Elements are dealt by hash into H + SPARE parts, so at least SPARE parts of
-linked sets are identical, and a part's digest is a token.  Sets are indexed at
+Elements are dealt by hash into H + T parts, so at least T parts of linked
+sets are identical, and a part's digest is a token.  Sets are indexed at
 the level of their size class and of the one below, as linked sets lie in the
 same or in neighbouring classes.  A passage that many texts share makes no
 token common, since a part mixes elements from everywhere in a text.
@@ -59,15 +59,28 @@ class Levels:
         while bounds[-1] < 1 << 40:
             bounds.append(max(bounds[-1] + 1, math.floor(bounds[-1] * ratio)))
         self.bounds = np.array(bounds)
+        self._parts: dict[int, tuple[int, int]] = {}
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.bounds, n, side="right")) - 1
 
-    def parts(self, level: int) -> int:
-        """For sets of at most the level's largest size and partners up to 1 / J times it."""
-        most = int(self.bounds[level + 1]) - 1
-        partner = most * 100 // self.percent
-        return (most + partner) * (100 - self.percent) // (100 + self.percent) + SPARE
+    def parts(self, level: int) -> tuple[int, int]:
+        """How many parts sets of a level are dealt into, and how many of them linked sets share at least.
+
+        Of the level are sets up to its largest size with partners up to
+        1 / J times that.  Besides the H elements in which they may differ
+        there are parts to spare for those that stay empty by chance.
+        """
+        if level not in self._parts:
+            least, most = int(self.bounds[level]), int(self.bounds[level + 1]) - 1
+            partner = most * 100 // self.percent
+            differ = (most + partner) * (100 - self.percent) // (100 + self.percent)
+            k = differ + SPARE
+            for _ in range(20):
+                empty = k * math.exp(-least / k)
+                k = min(differ + SPARE + math.ceil(empty + 2 * math.sqrt(empty)), 2 * differ + SPARE)
+            self._parts[level] = (k, k - differ)
+        return self._parts[level]
 
 
 def sets(column: pa.Array, width: int):
@@ -78,20 +91,20 @@ def sets(column: pa.Array, width: int):
         yield np.unique(flat[bounds[i] : bounds[i + 1]])
 
 
-def tokens(one: np.ndarray, level: int, parts: int) -> tuple[np.ndarray, int]:
+def tokens(one: np.ndarray, level: int, parts: int, same: int) -> tuple[np.ndarray, int]:
     """A set's tokens at a level, and how many of them a linked set must share.
 
-    Parts with fewer than two elements are weak: alone they say nothing.  They
-    are left out unless so many are weak that the guarantee needs them.
+    Empty parts say nothing.  They are left out unless so many are empty that
+    the guarantee needs them.
     """
     part = ((one >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(one))))
     digest = total[cuts[1:]] - total[cuts[:-1]]
     token = mix(digest ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(level << 32)))
-    weak = np.diff(cuts) < 2
-    few = int(weak.sum())
-    return (token[~weak], SPARE - few) if few < SPARE else (token, 1)
+    empty = np.diff(cuts) == 0
+    few = int(empty.sum())
+    return (token[~empty], same - few) if few < same else (token, 1)
 
 
 def _indexed(width: int, percent: int):
@@ -108,7 +121,7 @@ def _indexed(width: int, percent: int):
                     least = 1
                     if len(one):
                         level = levels.of(len(one))
-                        own = [tokens(one, k, levels.parts(k)) for k in (level, level - 1) if k >= 0]
+                        own = [tokens(one, k, *levels.parts(k)) for k in (level, level - 1) if k >= 0]
                         flat += [t for t, _ in own]
                         least = min(x for _, x in own)
                     need.append(least)
@@ -213,7 +226,19 @@ def opened_groups(shared: DataFrame, need: DataFrame) -> DataFrame:
     shared(token, uid, leader): the tokens that at least two sets have.
     """
     counts = shared.groupBy("uid", "leader").agg(F.count("*").alias("c"))
-    home = materialize(counts.groupBy("uid").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("grp")))
+    most = counts.groupBy("uid").agg(F.max_by(F.struct("leader", "c"), F.struct("c", -F.col("leader"))).alias("m"), F.sum("c").alias("all"))
+    # a leader that is like its own leader hands its group on: a family of texts is one group
+    like = F.col("m.c") * 2 >= F.col("all")
+    home = materialize(most.select("uid", F.col("m.leader").alias("grp"), F.when(like, F.col("m.leader")).otherwise(F.col("uid")).alias("up")))
+    for _ in range(4):
+        up = home.select(F.col("uid").alias("at"), F.col("up").alias("further"))
+        home = materialize(
+            home.join(up, home.grp == up.at, "left")
+            .select("uid", F.coalesce("further", "grp").alias("grp"), "up")
+            .join(up.withColumnRenamed("further", "twice"), F.col("up") == up.at, "left")
+            .select("uid", "grp", F.coalesce("twice", "up").alias("up"))
+        )
+    home = home.select("uid", "grp")
     matrix = materialize(shared.select("token", "uid").join(home, "uid").select("token", "grp").distinct())
     overlap = shared.select("token", "uid").join(matrix, "token").groupBy("uid", "grp").agg(F.count("*").alias("c"))
     return overlap.join(need, "uid").where("c >= need").select("grp", "uid")
@@ -234,17 +259,21 @@ def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent
     few = best.count() <= MOST_KEYS
     near = diffs.join(F.broadcast(best) if few else best, "grp")
     star = near.where("slack + spare >= 0 AND uid <> mid").select(F.col("uid").alias("src"), F.col("mid").alias("dst"))
-    # sets beyond the middle one's reach: they must share enough of their differences
-    must = F.greatest(F.ceil(-(F.col("slack") + F.col("spare")) / (2.0 * (100 + percent))), F.lit(1))
-    outer = materialize(near.where("slack + spare < 0").withColumn("probes", F.col("e") - must + 1).where("probes > 0").select("grp", "uid", "diff", "probes"))
-    each = diffs.select("grp", "uid", F.explode("diff").alias("x"))
-    rare = each.groupBy("grp", "x").agg(F.count("*").alias("c")).where("c > 1")
-    rank = F.row_number().over(W.partitionBy("grp", "uid").orderBy("c", "x"))
-    # elements that no other set has come first and find nothing
-    unique = outer.select("grp", "uid", "probes", F.explode("diff").alias("x")).join(rare, ["grp", "x"], "left")
-    alone = unique.groupBy("grp", "uid").agg(F.count_if(F.col("c").isNull()).alias("lone"))
-    probe = unique.where("c IS NOT NULL").join(alone, ["grp", "uid"]).withColumn("r", rank).where("r + lone <= probes").select("grp", "x", F.col("uid").alias("a"))
-    pairs = probe.join(each.withColumnRenamed("uid", "b"), ["grp", "x"]).where("a <> b").select("grp", "a", "b").distinct()
+    # sets beyond the middle one's reach can only link where enough of two differences is the same:
+    # at least -(slack + slack) / 2(100 + percent) elements, which is at least e less what a link allows
+    allowed = F.floor((100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent)) / (100 + percent))
+    outer = F.col("slack") + F.col("spare") < 0
+    must = F.greatest(F.when(outer, F.ceil(-(F.col("slack") + F.col("spare")) / (2.0 * (100 + percent)))).otherwise(1), F.col("e") - allowed, F.lit(1))
+    probing = near.withColumn("probes", F.col("e") - must + 1).withColumn("outer", outer).where("probes > 0")
+    each = materialize(probing.select("grp", "uid", "e", "slack", "outer", "probes", F.explode("diff").alias("x")))
+    common = each.groupBy("grp", "x").agg(F.count("*").alias("c")).where("c > 1")
+    # rarest first; elements that no other set has come before all and find nothing
+    ranked = each.join(common, ["grp", "x"], "left").withColumn("r", F.row_number().over(W.partitionBy("grp", "uid").orderBy(F.coalesce("c", F.lit(1)), "x")))
+    prefix = materialize(ranked.where("c IS NOT NULL AND r <= probes").select("grp", "x", "uid", "e", "slack", "outer"))
+    a = prefix.where("outer").select("grp", "x", F.col("uid").alias("a"), F.col("e").alias("ea"), F.col("slack").alias("sa"))
+    b = prefix.select("grp", "x", F.col("uid").alias("b"), F.col("e").alias("eb"), F.col("slack").alias("sb"))
+    possible = (F.col("a") != F.col("b")) & (-(F.col("sa") + F.col("sb")) <= 2 * (100 + percent) * F.least("ea", "eb"))
+    pairs = a.join(b, ["grp", "x"]).where(possible).select("grp", "a", "b").distinct()
     left = diffs.select("grp", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da"))
     right = diffs.select("grp", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
