@@ -21,9 +21,10 @@ Opened groups.  With at most SMALL sets, all are compared.  In a larger one,
 every set is described by its difference from the group's centre (the elements
 that most sets have): |A ^ B| = |D(A) ^ D(B)|.  Sets whose differences are
 short enough together link without a look at them, so all of these link with
-the one that has most to spare; sets beyond it can link only where they share
-elements of their differences, and those are looked up by the rarest first.
-A group of any size thus costs a multiple of its size, not its square.
+the one that has most to spare; sets beyond it can link only where their
+differences overlap: they are dealt into blocks by the size of the difference,
+and blocks that can hold a link meet, through inverted lists, emitting links only.
+Near sets never meet each other, so a large group costs little more than its size.
 
 Edge cases: null, empty and wordless texts have no set and link with nothing;
 repeated rows have one set and thus link; a null doc_id takes part but names
@@ -42,11 +43,13 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import MOST_KEYS, hot_limit, materialize, narrow, salted, table
 from sparkloom.llm.components import components
-from sparkloom.llm.text import SPACE, Words, blocks, mix, shingles
+from sparkloom.llm.text import SPACE, Words, blocks, gather, mix, shingles
 
 SPARE = 3
 #: Sets up to which all of an opened group are compared.
 SMALL = 64
+#: Sets that one task holds of a large group at a time.
+BLOCK = 4096
 
 
 class Levels:
@@ -259,26 +262,62 @@ def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent
     few = best.count() <= MOST_KEYS
     near = diffs.join(F.broadcast(best) if few else best, "grp")
     star = near.where("slack + spare >= 0 AND uid <> mid").select(F.col("uid").alias("src"), F.col("mid").alias("dst"))
-    # sets beyond the middle one's reach can only link where enough of two differences is the same:
-    # at least -(slack + slack) / 2(100 + percent) elements, which is at least e less what a link allows
-    allowed = F.floor((100 - percent) * (F.col("n") + F.floor(F.col("n") * 100 / percent)) / (100 + percent))
+    # sets beyond the middle one's reach can link only with sets whose differences overlap enough; sets are
+    # dealt into blocks by the size of their difference, and only blocks that can hold such pairs meet
     outer = F.col("slack") + F.col("spare") < 0
-    must = F.greatest(F.when(outer, F.ceil(-(F.col("slack") + F.col("spare")) / (2.0 * (100 + percent)))).otherwise(1), F.col("e") - allowed, F.lit(1))
-    probing = near.withColumn("probes", F.col("e") - must + 1).withColumn("outer", outer).where("probes > 0")
-    each = materialize(probing.select("grp", "uid", "e", "slack", "outer", "probes", F.explode("diff").alias("x")))
-    common = each.groupBy("grp", "x").agg(F.count("*").alias("c")).where("c > 1")
-    # rarest first; elements that no other set has come before all and find nothing
-    ranked = each.join(common, ["grp", "x"], "left").withColumn("r", F.row_number().over(W.partitionBy("grp", "uid").orderBy(F.coalesce("c", F.lit(1)), "x")))
-    prefix = materialize(ranked.where("c IS NOT NULL AND r <= probes").select("grp", "x", "uid", "e", "slack", "outer"))
-    a = prefix.where("outer").select("grp", "x", F.col("uid").alias("a"), F.col("e").alias("ea"), F.col("slack").alias("sa"))
-    b = prefix.select("grp", "x", F.col("uid").alias("b"), F.col("e").alias("eb"), F.col("slack").alias("sb"))
-    possible = (F.col("a") != F.col("b")) & (-(F.col("sa") + F.col("sb")) <= 2 * (100 + percent) * F.least("ea", "eb"))
-    pairs = a.join(b, ["grp", "x"]).where(possible).select("grp", "a", "b").distinct()
-    left = diffs.select("grp", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da"))
-    right = diffs.select("grp", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    close = pairs.join(left, ["grp", "a"]).join(right, ["grp", "b"]).where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-    return star.union(close.select("a", "b"))
+    lined = near.withColumn("outer", outer).withColumn("e_at", F.floor(F.col("e") / 16).cast("int"))
+    chunks = lined.groupBy("grp", "e_at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    few = chunks.count() <= MOST_KEYS
+    dealt = materialize(
+        lined.join(F.broadcast(chunks) if few else chunks, ["grp", "e_at"])
+        .select("grp", "e_at", F.pmod(F.xxhash64("uid"), F.col("chunks")).alias("chunk"), "uid", "n", "e", "slack", "outer", "diff")
+    )
+    block = ["grp", "e_at", "chunk"]
+    table = materialize(dealt.groupBy(*block).agg(F.max("e").alias("e"), F.max("slack").alias("slack"), F.max(F.when(F.col("outer"), F.col("slack"))).alias("far"), F.max(F.when(F.col("outer"), F.col("e"))).alias("far_e")))
+    one = table.where("far IS NOT NULL").select("grp", F.col("e_at").alias("ea"), F.col("chunk").alias("ca"), "far", "far_e")
+    two = table.select("grp", F.col("e_at").alias("eb"), F.col("chunk").alias("cb"), "e", "slack")
+    met = materialize(one.join(two, "grp").where(-(F.col("far") + F.col("slack")) <= 2 * (100 + percent) * F.least("far_e", "e")).withColumn("meet", F.xxhash64("grp", "ea", "ca", "eb", "cb")))
+    row = ["meet", "side", "uid", "n", "e", "diff"]
+    b = dealt.join(met.select("grp", F.col("eb").alias("e_at"), F.col("cb").alias("chunk"), "meet"), block).withColumn("side", F.lit(0)).select(*row)
+    a = dealt.where("outer").join(met.select("grp", F.col("ea").alias("e_at"), F.col("ca").alias("chunk"), "meet"), block).withColumn("side", F.lit(1)).select(*row)
+    far = b.union(a).repartition("meet").sortWithinPartitions("meet", "side").mapInArrow(_met(percent), "src long, dst long")
+    return star.union(far)
+
+
+def _met(percent: int):
+    """Sets sorted by (meet, side): links of each set of side 1 with those of side 0, by inverted lists."""
+
+    def run(batches):
+        meet, held = None, None
+        for batch in batches:
+            ids, src, dst = batch.column(2).to_pylist(), [], []
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids, batch.column(3).to_pylist(), batch.column(4).to_pylist(), _lists(batch.column(5)), strict=True)
+            for g, side, uid, n, e, diff in rows:
+                if g != meet:
+                    meet, held = g, {"uid": [], "n": [], "e": [], "diff": [], "index": None}
+                if side == 0:
+                    for k, v in (("uid", uid), ("n", n), ("e", e), ("diff", diff.copy())):
+                        held[k].append(v)
+                    continue
+                if not held["uid"]:
+                    continue
+                if held["index"] is None:
+                    m = len(held["uid"])
+                    flat = np.concatenate(held["diff"])
+                    owner = np.repeat(np.arange(m), held["e"])
+                    order = np.argsort(flat, kind="stable")
+                    held["index"] = flat[order], owner[order], np.array(held["uid"]), np.array(held["n"]), np.array(held["e"])
+                flat, owner, uids, sizes, es = held["index"]
+                low, high = np.searchsorted(flat, diff), np.searchsorted(flat, diff, side="right")
+                shared = np.bincount(gather(owner, low, high - low), minlength=len(uids))
+                hit = np.flatnonzero(((e + es - 2 * shared) * (100 + percent) <= (n + sizes) * (100 - percent)) & (uids != uid))
+                src += [uid] * len(hit[:1])  # sets of one block that link with it are joined to it
+                dst += uids[hit[:1]].tolist()
+                src += uids[hit[:-1]].tolist()
+                dst += uids[hit[1:]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return run
 
 
 def linked_sets(part: DataFrame, elements: DataFrame, percent: int) -> DataFrame | None:

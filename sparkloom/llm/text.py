@@ -65,7 +65,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array, most_bytes: int = 4 << 20):
+def blocks(column: pa.Array, most_bytes: int = 1 << 20):
     """Slices (first row, rows) of a column so that each has about most_bytes at most."""
     _, offsets = buffers(column)
     at, n = 0, len(offsets) - 1

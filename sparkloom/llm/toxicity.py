@@ -86,10 +86,10 @@ def _counts(batches):
             held["p"].append(np.bincount(inv, y == 1, len(k)))
             held["n"].append(np.bincount(inv, y != 1, len(k)))
             size += len(k)
-            if size > 3_000_000:
+            if size > 800_000:
                 held = merged()
                 size = len(held["k"][0])
-                if size > 1_500_000:
+                if size > 400_000:
                     yield _batch(held)
                     held, size = {"k": [], "p": [], "n": []}, 0
     if held["k"]:
