@@ -19,7 +19,7 @@ which the bound reaches what a link needs are opened for it.
 
 Opened groups.  With at most SMALL sets, all are compared.  In a larger one,
 every set is described by its difference from the group's centre (the elements
-that most sets have): |A ^ B| = |D(A) ^ D(B)|.  Sets whose differences are
+that most of some of its sets have; any origin gives the same result): |A ^ B| = |D(A) ^ D(B)|.  Sets whose differences are
 short enough together link without a look at them, so all of these link with
 the one that has most to spare; sets beyond it can link only where their
 differences overlap: they are dealt into blocks by the size of the difference,
@@ -229,10 +229,10 @@ def opened_groups(shared: DataFrame, need: DataFrame) -> DataFrame:
     shared(token, uid, leader): the tokens that at least two sets have.
     """
     counts = shared.groupBy("uid", "leader").agg(F.count("*").alias("c"))
-    most = counts.groupBy("uid").agg(F.max_by(F.struct("leader", "c"), F.struct("c", -F.col("leader"))).alias("m"), F.sum("c").alias("all"))
-    # a leader that is like its own leader hands its group on: a family of texts is one group
-    like = F.col("m.c") * 2 >= F.col("all")
-    home = materialize(most.select("uid", F.col("m.leader").alias("grp"), F.when(like, F.col("m.leader")).otherwise(F.col("uid")).alias("up")))
+    most = counts.groupBy("uid").agg(F.max_by(F.struct("leader", "c"), F.struct("c", -F.col("leader"))).alias("m"))
+    # a leader that may link with its own leader hands its group on: a family of texts is one group
+    like = F.col("m.c") >= F.col("need")
+    home = materialize(most.join(need, "uid").select("uid", F.col("m.leader").alias("grp"), F.when(like, F.col("m.leader")).otherwise(F.col("uid")).alias("up")))
     for _ in range(4):
         up = home.select(F.col("uid").alias("at"), F.col("up").alias("further"))
         home = materialize(
@@ -250,8 +250,11 @@ def opened_groups(shared: DataFrame, need: DataFrame) -> DataFrame:
 def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The links that make up the components of groups with over SMALL sets."""
     own = part.join(elements, "uid")
-    seen = own.select("grp", F.explode("elements").alias("x")).groupBy("grp", "x").agg(F.count("*").alias("c"))
-    centre = materialize(seen.join(sizes, "grp").where("c * 2 > sets").groupBy("grp").agg(F.sort_array(F.collect_list("x")).alias("centre")))
+    # the centre is only an origin to measure from, any will do: about SMALL sets of each group vote for it
+    voters = part.join(sizes, "grp").where(F.pmod(F.xxhash64("uid", F.lit(1)), F.ceil(F.col("sets") / SMALL)) == 0).select("grp", "uid")
+    electorate = voters.groupBy("grp").agg(F.count("*").alias("sets"))
+    seen = voters.join(elements, "uid").select("grp", F.explode("elements").alias("x")).groupBy("grp", "x").agg(F.count("*").alias("c"))
+    centre = materialize(seen.join(electorate, "grp").where("c * 2 > sets").groupBy("grp").agg(F.sort_array(F.collect_list("x")).alias("centre")))
     few = centre.count() <= 2_000  # each as long as a set
     with_centre = own.join(F.broadcast(centre) if few else centre, "grp", "left").select("grp", "uid", "elements", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"))
     diffs = materialize(
