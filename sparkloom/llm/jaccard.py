@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import MOST_KEYS, hot_limit, materialize, narrow, salted, table
+from sparkloom.llm.common import MOST_KEYS, discard, hot_limit, materialize, narrow, salted, table
 from sparkloom.llm.components import components
 from sparkloom.llm.text import SPACE, Words, blocks, gather, mix, shingles
 
@@ -342,16 +342,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     Texts link when 100 * intersection >= percent * union of their sets of
     ``width``-word shingles; component_id is the smallest doc_id that links reach.
     """
-    rows = materialize(
+    full = materialize(
         docs.select("doc_id", "text", _place())
         .mapInArrow(_indexed(width, percent), "doc_id long, n long, s0 long, s1 long, tokens array<long>, need int, place long")
         .withColumn("uid", F.monotonically_increasing_id())
     )
+    rows = materialize(full.drop("tokens"))
     total = rows.count()
     key = ["n", "s0", "s1"]
     same = materialize(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m"), F.count("*").alias("size")).select(*key, "m.doc_id", "m.uid", "size"))
-    every = narrow(rows.select("uid", "tokens"), same.select("uid"), "uid").select("uid", F.explode("tokens").alias("token"))
+    every = narrow(full.select("uid", "tokens"), same.select("uid"), "uid").select("uid", F.explode("tokens").alias("token"))
     shared = materialize(_repeated(every))
+    discard(full)  # the tokens that one set alone has are of no more use
     part = materialize(opened_groups(shared, rows.select("uid", "need")))
     wanted = materialize(part.select("uid").distinct().join(rows.select("uid", "place", "s0"), "uid"))
     texts = narrow(docs.select("text", _place()), wanted, "place")
