@@ -5,7 +5,7 @@ the one with the smallest hash, so two texts that share K + W - 1 words share a
 seed.  Texts that are equal as a whole are joined first; one of each goes on.
 
 Matches.  Every occurrence of a seed is matched to the seed's first occurrence
-in the corpus, so a passage in m texts gives m matches, not m squared.
+in the corpus (of a repeated word: its longest), so a passage in m texts gives m matches, not m squared.
 
 Chains.  The matches of a pair of texts are chained in order of both positions;
 a link costs GAP per word skipped on either side.  As that cost is a sum of
@@ -33,7 +33,7 @@ from sparkloom.llm.common import discard, hot_limit, materialize, narrow, salted
 from sparkloom.llm.text import SPACE, Words, blocks, mix, shingles
 
 K, SAMPLE, GAP = 8, 12, 0.15
-MIN_WORDS, IDENTITY, LEAST_CHAIN = 50, 0.8, K
+MIN_WORDS, IDENTITY, LEAST_CHAIN = 50, 0.8, 16
 
 
 def minimizers(flat: np.ndarray, bounds: np.ndarray, width: int = SAMPLE) -> np.ndarray:
@@ -63,6 +63,7 @@ def _seeded(batches):
             # a word repeated on and on is one seed, at its first run
             again = np.zeros(len(spot), dtype=bool)
             again[1:] = (np.diff(spot) == 1) & (flat[spot[1:]] == flat[spot[:-1]])
+            run = np.diff(np.append(np.flatnonzero(~again), len(spot)))
             spot = spot[~again]
             cuts = np.searchsorted(spot, bounds).astype(np.int32)
             pos = spot - bounds[np.searchsorted(bounds, spot, side="right") - 1]
@@ -75,8 +76,9 @@ def _seeded(batches):
                     batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(w.first), pa.int64()), pa.array(sig[0]), pa.array(sig[1]),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat[spot].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(pos.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(run.astype(np.int32))),
                 ],
-                names=["doc_id", "place", "n", "s0", "s1", "h", "p"],
+                names=["doc_id", "place", "n", "s0", "s1", "h", "p", "r"],
             )
 
 
@@ -133,23 +135,24 @@ _CHAIN = "uid long, other long, s int, e int, os int, oe int"
 
 
 def _chained(batches):
-    """Matches (uid, pos, other, opos), sorted by uid and other, to chains."""
-    key, x, y, out = None, [], [], []
+    """Matches (uid, pos, other, opos, run), sorted by uid and other, to chains."""
+    key, x, y, most, out = None, [], [], 1, []
 
     def close():
         if key is not None:
-            out.extend((*key, *c) for c in chains(x, y) if min(c[1] - c[0], c[3] - c[2]) >= LEAST_CHAIN)
+            out.extend((*key, *c) for c in chains(x, y) if min(c[1] - c[0], c[3] - c[2]) + most - 1 >= LEAST_CHAIN)
 
     def emit():
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["uid", "other", "s", "e", "os", "oe"])
 
     for batch in batches:
-        for u, p, o, q in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for u, p, o, q, r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if (u, o) != key:
                 close()
-                key, x, y = (u, o), [], []
+                key, x, y, most = (u, o), [], [], 1
             x.append(p)
             y.append(q)
+            most = max(most, r)
         yield emit()
         out = []
     close()
@@ -240,17 +243,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     place = F.xxhash64("doc_id", "text").alias("place")
     full = materialize(
         docs.select("doc_id", "text", place)
-        .mapInArrow(_seeded, "doc_id long, place long, n long, s0 long, s1 long, h array<long>, p array<int>")
+        .mapInArrow(_seeded, "doc_id long, place long, n long, s0 long, s1 long, h array<long>, p array<int>, r array<int>")
         .withColumn("uid", F.monotonically_increasing_id())
     )
-    rows = materialize(full.drop("h", "p"))
+    rows = materialize(full.drop("h", "p", "r"))
     total = rows.count()
     key = ["n", "s0", "s1"]
     same = materialize(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m"), F.count("*").alias("size")).select(*key, "m.doc_id", "m.uid", "size"))
-    seeds = narrow(full.select("uid", "h", "p"), same.select("uid"), "uid").select("uid", F.explode(F.arrays_zip("h", "p")).alias("x")).select("uid", "x.h", "x.p")
+    seeds = narrow(full.select("uid", "h", "p", "r"), same.select("uid"), "uid").select("uid", F.explode(F.arrays_zip("h", "p", "r")).alias("x")).select("uid", "x.*")
     own = W.partitionBy("h")
-    matched = seeds.withColumn("first", F.min(F.struct("uid", "p")).over(own)).where("uid <> first.uid")
-    matches = materialize(matched.select("uid", "p", F.col("first.uid").alias("other"), F.col("first.p").alias("op")))
+    matched = seeds.withColumn("first", F.min(F.struct((-F.col("r")).alias("m"), "uid", "p", "r")).over(own)).where("uid <> first.uid")
+    matches = materialize(matched.select("uid", "p", F.col("first.uid").alias("other"), F.col("first.p").alias("op"), F.least("r", "first.r").alias("run")))
     discard(full)
     found = materialize(matches.repartition("uid").sortWithinPartitions("uid", "other", "p").mapInArrow(_chained, _CHAIN))
     wanted = materialize(found.select("uid").union(found.select("other")).distinct().join(rows.select("uid", "place"), "uid"))
