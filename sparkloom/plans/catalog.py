@@ -1,7 +1,257 @@
-"""All queries of the library's own operators, with SQL that must agree."""
+"""All queries of the library's own operators, with SQL that must agree.
+
+Queries given as SQL text run as they stand on Spark and on any ANSI engine;
+the others are DataFrame programs with their SQL beside them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.operators import frames, graph, keyed, nlq
+from sparkloom.sources.tables import load
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "pricing_summary"
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def plain(name: str, sql: str, oracle: str | None = None) -> None:
+    """A query that is SQL text; only the tables it names are opened."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
+        views = {t: load(spark, sf_dir, t) for t in TABLES if t in words}
+        return spark.sql(_bound(sql, views), **{f"v_{t}": df for t, df in views.items()})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = oracle or sql
+
+
+def _bound(sql: str, views: dict) -> str:
+    import re
+
+    return re.sub(rf"(?<![\w.])({'|'.join(views)})(?![\w.(])", r"{v_\1}", sql)
+
+
+plain("pricing_summary", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
+ round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
+ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""")
+plain("select_filter", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'O'")
+plain("with_column", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS twice FROM lineitem WHERE l_quantity < 5")
+plain("distinct_rows", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+plain("order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+plain("limit_offset", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 5")
+plain("inner_join", "SELECT c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 250000")
+plain("left_join", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+plain("right_join", "SELECT n_name, s_suppkey FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey")
+plain("full_join", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
+plain("semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+plain("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+plain("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+plain("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+plain("join_aggregate", "SELECT r_name, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+plain("group_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+plain("global_aggregate", "SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS mean FROM orders")
+plain("rollup_query", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+plain("cube_query", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+plain("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+plain("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier")
+plain("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
+plain("intersect_distinct", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier")
+plain("except_distinct", "SELECT o_custkey AS k FROM orders EXCEPT SELECT s_suppkey AS k FROM supplier")
+plain("intersect_all_ansi", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier")
+plain("except_all_ansi", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier")
+plain("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders")
+plain("coalesce_null", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS k, nullif(c_nationkey, 3) IS NULL AS gone FROM customer")
+plain("string_functions", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, substr(c_name, 1, 4) AS s, concat(c_name, '-', c_mktsegment) AS c, replace(c_name, '#', '_') AS r, lpad(c_mktsegment, 12, '*') AS p, trim(c_name) AS t FROM customer")
+plain("math_functions", "SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, round(sqrt(abs(s_acctbal)), 6) AS q, s_suppkey % 7 AS m FROM supplier")
+plain("cast_types", "SELECT o_orderkey, cast(o_orderkey AS VARCHAR(20)) AS s, cast(o_totalprice AS BIGINT) AS n FROM orders WHERE o_totalprice = floor(o_totalprice)", None)
+plain("date_parts", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, date_trunc('month', o_orderdate) AS d FROM orders", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, cast(date_trunc('month', o_orderdate) AS TIMESTAMP) AS d FROM orders")
+plain("cte_subquery", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT o_custkey, round(t, 2) AS t FROM big WHERE t > (SELECT avg(t) FROM big)")
+plain("row_number_window", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
+plain("rank_windows", "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS d, round(percent_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity), 6) AS p, round(cume_dist() OVER (PARTITION BY l_orderkey ORDER BY l_quantity), 6) AS c FROM lineitem")
+plain("lag_lead_window", "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders")
+plain("ntile_window", "SELECT s_suppkey, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS q FROM supplier")
+plain("running_sum_window", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM lineitem")
+plain("moving_average_window", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS ma FROM events")
+plain("statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_samp(l_quantity, l_discount), 6) AS cv, count(DISTINCT l_suppkey) AS ns FROM lineitem GROUP BY l_returnflag")
+plain("bool_aggregates", "SELECT o_custkey, bool_and(o_totalprice > 1000) AS every_one, bool_or(o_totalprice > 300000) AS any_one FROM orders GROUP BY o_custkey")
+plain("top_suppliers", "SELECT s_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_name ORDER BY revenue DESC, s_name LIMIT 10")
+plain("local_supplier_volume", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+
+
+@query("SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS o FROM (SELECT o_custkey, o_orderstatus, cast(round(o_totalprice) AS BIGINT) AS o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')) GROUP BY o_custkey")
+def pivot_status(spark, d):
+    o = load(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "O")).withColumn("o_totalprice", F.round("o_totalprice").cast("long"))
+    return frames.pivot(o, ["o_custkey"], "o_orderstatus", "o_totalprice").withColumnsRenamed({"F": "f", "O": "o"})
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) >= ceil(0.19 * (SELECT count(*) FROM customer))")
+def frequent_items(spark, d):
+    return frames.freq_items(load(spark, d, "customer"), "c_mktsegment", 0.19)
+
+
+@query("SELECT c_mktsegment, count(*) FILTER (c_nationkey % 2 = 0) AS even, count(*) FILTER (c_nationkey % 2 = 1) AS odd FROM customer GROUP BY c_mktsegment")
+def crosstab_segments(spark, d):
+    c = load(spark, d, "customer").withColumn("side", F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd"))
+    return frames.crosstab(c, "c_mktsegment", "side").withColumnRenamed("c_mktsegment_side", "c_mktsegment")
+
+
+@query("SELECT c_nationkey AS k FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def intersect_all_semi(spark, d):
+    c, s = load(spark, d, "customer", "supplier")
+    return frames.intersect_all(c.select(F.col("c_nationkey").alias("k")), s.select(F.col("s_nationkey").alias("k")), ansi=False)
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def except_all_anti(spark, d):
+    o, s = load(spark, d, "orders", "supplier")
+    return frames.except_all(o.select(F.col("o_custkey").alias("k")), s.select(F.col("s_suppkey").alias("k")), ansi=False)
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def drop_duplicates_ordered(spark, d):
+    return frames.drop_duplicates(load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).drop("o_orderdate")
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 8) AS r, round(covar_samp(l_quantity, l_extendedprice), 4) AS c FROM lineitem")
+def correlation(spark, d):
+    li = load(spark, d, "lineitem")
+    return spark.createDataFrame([(round(frames.corr(li, "l_quantity", "l_extendedprice"), 8), round(frames.cov(li, "l_quantity", "l_extendedprice"), 4))], "r double, c double")
+
+
+@query("SELECT count(p_size) AS \"count\", min(p_size) AS lo, median(p_size) AS mid, max(p_size) AS hi FROM part")
+def describe_column(spark, d):
+    return frames.describe(load(spark, d, "part"), "p_size").select("count", F.col("min").alias("lo"), F.col("median").alias("mid"), F.col("max").alias("hi"))
+
+
+@query()
+def group_by_key(spark, d):
+    return keyed.group_by_key(load(spark, d, "lineitem"), "l_suppkey", "l_linenumber")
+
+
+@query("SELECT l_suppkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_suppkey")
+def reduce_by_key(spark, d):
+    return keyed.reduce_by_key(load(spark, d, "lineitem"), "l_suppkey", "l_quantity", "max")
+
+
+@query("SELECT s_nationkey AS k, sum(s_suppkey) * 2 AS v FROM supplier GROUP BY s_nationkey")
+def fold_by_key(spark, d):
+    s = load(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v"))
+    return keyed.fold_by_key(s, "k", "v", F.lit(0).cast("long"), lambda a, x: a + 2 * x)
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
+def cogroup_sizes(spark, d):
+    c, s = load(spark, d, "customer", "supplier")
+    both = keyed.cogroup(c.select(F.col("c_nationkey").alias("k"), "c_custkey"), s.select(F.col("s_nationkey").alias("k"), "s_suppkey"), "k", "c_custkey", "s_suppkey")
+    return both.select("k", F.size("c_custkey").cast("long").alias("na"), F.size("s_suppkey").cast("long").alias("nb"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def subtract_by_key(spark, d):
+    c, o = load(spark, d, "customer", "orders")
+    return keyed.subtract_by_key(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS index FROM customer")
+def zip_with_index(spark, d):
+    return keyed.zip_with_index(load(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).drop("c_acctbal")
+
+
+@query("SELECT b AS bucket, count(*) AS n FROM (SELECT CASE WHEN l_quantity >= 0 AND l_quantity < 10 THEN 0 WHEN l_quantity >= 10 AND l_quantity < 25 THEN 1 WHEN l_quantity >= 25 AND l_quantity <= 50 THEN 2 END AS b FROM lineitem) WHERE b IS NOT NULL GROUP BY b")
+def histogram(spark, d):
+    return keyed.histogram(load(spark, d, "lineitem"), "l_quantity", [0, 10, 25, 50])
+
+
+@query("SELECT count(l_quantity) AS n, sum(l_quantity) AS \"sum\", round(avg(l_quantity), 6) AS mean, min(l_quantity) AS \"min\", max(l_quantity) AS \"max\", round(var_pop(l_quantity), 6) AS var_pop FROM lineitem")
+def stat_counter(spark, d):
+    return keyed.stats(load(spark, d, "lineitem"), "l_quantity").select("n", "sum", F.round("mean", 6).alias("mean"), "min", "max", F.round("var_pop", 6).alias("var_pop"))
+
+
+@query("SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY lower(w)")
+def word_count(spark, d):
+    words = load(spark, d, "documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    return words.where("w <> ''").groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(*) AS n, window_start FROM (SELECT user_id, epoch_ms(ts) // 3600000 * 3600000 AS window_start FROM events) GROUP BY user_id, window_start")
+def tumbling_window(spark, d):
+    e = load(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return e.select("user_id", "n", F.unix_millis("w.start").alias("window_start"))
+
+
+@query("SELECT user_id, min(epoch_us(ts)) AS session_start, max(epoch_us(ts)) AS session_end, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def session_windows(spark, d):
+    e = load(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    out = e.groupBy(F.session_window("t", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n"), F.max("t").alias("last"))
+    return out.select("user_id", F.unix_micros("w.start").alias("session_start"), F.unix_micros("last").alias("session_end"), "n")
+
+
+@query()
+def asof_last_value(spark, d):
+    e = load(spark, d, "events")
+    right = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_value"))
+    return frames.asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), right, "ts", "user_id", "last_value")
+
+
+EDGES = "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 20 = 1"
+
+
+def _edges(spark, d) -> DataFrame:
+    """Customers to the suppliers they buy from."""
+    o, li = load(spark, d, "orders", "lineitem")
+    return o.join(li, o.o_orderkey == li.l_orderkey).where("o_custkey % 20 = 1").select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct().withColumn("attr", F.lit(1.0))
+
+
+@query(f"SELECT id, cast(sum(i) AS BIGINT) AS in_degree, cast(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM ({EDGES}) UNION ALL SELECT dst, 1, 0 FROM ({EDGES})) GROUP BY id")
+def graph_degrees(spark, d):
+    return graph.degrees(_edges(spark, d))
+
+
+@query()
+def graph_components(spark, d):
+    return graph.connected_components(_edges(spark, d))
+
+
+@query()
+def graph_page_rank(spark, d):
+    return graph.page_rank(_edges(spark, d), rounds=5)
+
+
+@query()
+def graph_label_propagation(spark, d):
+    return graph.label_propagation(_edges(spark, d), rounds=3)
+
+
+@query(f"SELECT dst AS id, 1 AS landmark, 1.0 AS distance FROM ({EDGES}) WHERE src = 1 UNION ALL SELECT 1, 1, 0.0")
+def graph_shortest_paths(spark, d):
+    return graph.shortest_paths(_edges(spark, d), [1]).select("id", F.col("landmark").cast("int").alias("landmark"), "distance")
+
+
+@query()
+def graph_triangles(spark, d):
+    e = _edges(spark, d)
+    return graph.triangles(e.select("src", "dst").union(e.where("dst % 3 = 0").select("dst", F.col("dst") + 1)))
+
+
+@query("SELECT q.vec_id AS qid, e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id < 3 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 5")
+def vector_search(spark, d):
+    e = load(spark, d, "embeddings")
+    found = nlq.vector_search(e.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5)
+    return found.select("qid", "id")
