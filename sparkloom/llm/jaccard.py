@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import MOST_KEYS, discard, hot_limit, materialize, narrow, salted, table
 from sparkloom.llm.components import components
-from sparkloom.llm.text import SPACE, Words, blocks, gather, mix, shingles
+from sparkloom.llm.text import SPACE, Words, blocks, gather, mix, release, shingles
 
 SPARE = 3
 #: Sets up to which all of an opened group are compared.
@@ -201,6 +201,7 @@ def _compared(percent: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["src", "dst"])
                 out = []
+            release()
         out += links(ids, own)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["src", "dst"])
 
@@ -319,6 +320,7 @@ def _met(percent: int):
                 src += uids[hit[:-1]].tolist()
                 dst += uids[hit[1:]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+            release()
 
     return run
 

@@ -6,6 +6,8 @@ character, so splitting and lower-casing ASCII bytes is exact for any text.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +27,7 @@ for _c in range(33, 128):
 PUNCT[:9] = PUNCT[14:32] = True
 
 _tables: dict[str, np.ndarray] = {}
+_libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +68,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: idle Python workers otherwise keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def blocks(column: pa.Array, most_bytes: int = 1 << 20):
     """Slices (first row, rows) of a column so that each has about most_bytes at most."""
     _, offsets = buffers(column)
@@ -74,6 +84,7 @@ def blocks(column: pa.Array, most_bytes: int = 1 << 20):
         end = min(max(end, at + 1), n)
         yield at, end - at
         at = end
+    release()
 
 
 class Words:
