@@ -1,0 +1,153 @@
+"""The training-data operators against brute force, with nulls, empties, repeats and clashing names."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from sparkloom.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard, packing, pii, sharding, substring_dedup, toxicity
+
+random.seed(5)
+VOCAB = ["".join(random.choices("abcdefghijklmnop", k=random.randint(2, 7))) for _ in range(400)]
+
+
+def prose(n):
+    return " ".join(random.choices(VOCAB, k=n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    base = prose(300)
+    rows = [(i, prose(random.randint(1, 200))) for i in range(40)]
+    for i in range(100, 190):  # near copies of one text
+        w = base.split()
+        for _ in range(random.randint(0, 14)):
+            w[random.randrange(len(w))] = random.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    return rows + [(200, rows[3][1]), (201, rows[3][1].upper()), (202, None), (203, ""), (204, " \n "), (205, "one"), (205, "one"), (None, "no id here at all")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame([(i, t, "en", "s", 7) for i, t in corpus], "doc_id long, text string, lang string, source string, size int")
+
+
+def shingle_set(text, width):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").lower())
+    return {tuple(w)} if 0 < len(w) < width else {tuple(w[j : j + width]) for j in range(len(w) - width + 1)}
+
+
+@pytest.mark.parametrize(("width", "percent", "small"), [(3, 90, 64), (3, 90, 2), (5, 80, 2)])
+def test_jaccard_is_exact(docs, corpus, monkeypatch, width, percent, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    sets = [(i, shingle_set(t, width)) for i, t in corpus if i is not None]
+    up = {i: i for i, _ in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[a + 1 :]:
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, width, percent).collect() if r.doc_id is not None}
+    assert got == {i: (len(s), root(i)) for i, s in sets}
+
+
+def test_exact_groups(docs, corpus):
+    got = exact_dedup.exact_groups(docs).collect()
+    assert len(got) == len(corpus)
+    groups = collections.defaultdict(list)
+    for i, t in corpus:
+        groups[hashlib.sha256((t or "").lower().encode()).hexdigest()].append(i)
+    for r in got:
+        own = groups[r.text_sha256]
+        assert r.group_size == len(own) and r.keep_id == max((i for i in own if i is not None), default=None)
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_fingerprint_does_not_depend_on_cuts():
+    data = np.frombuffer(random.randbytes(200_000), np.uint8)
+    assert exact_dedup.fingerprint(data) == exact_dedup.fingerprint(data, 777) != exact_dedup.fingerprint(data[1:])
+
+
+def test_sharding(docs, corpus):
+    got = sharding.kd_shards(docs, shards=16).collect()
+    assert len(got) == len(corpus) and {r.text_crc32 for r in got} == {zlib.crc32((t or "").encode()) for _, t in corpus}
+    for k in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_packing(docs, corpus):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.word_bpe())
+    got = packing.pack_documents(docs).collect()
+    want = collections.Counter((i, zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in corpus)
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert all(o == sum(x for _, x in b[:k]) for k, (o, _) in enumerate(b)) and sum(x for _, x in b) <= 2048
+
+
+def test_decontamination(spark):
+    item = prose(30)
+    docs = spark.createDataFrame([(1, f"{prose(40)} {item.upper()}, {prose(20)}"), (2, prose(90)), (3, None), (4, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (8, None), (7, prose(25))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 9)]
+
+
+def test_substrings(spark):
+    passage = prose(60)
+    docs = spark.createDataFrame([(1, f"{prose(80)} {passage} {prose(9)}"), (2, f"{passage} {prose(50)}"), (3, prose(120)), (4, None), (5, "")], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r.n_words >= 60 for r in got)
+
+
+def test_chat_round_trip(spark):
+    turns = [(1, k, "system" if k == 0 else ("user", "assistant")[k % 2 == 0], f"{prose(random.randint(1, 400))} </s>[INST]&lt;") for k in range(60)] + [(2, None, None, None)]
+    r = {x.conv_id: x for x in chat_format.digests(chat_format.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    own = [t for t in turns if t[0] == 1]
+    assert r[1].turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in own).encode()).hexdigest()
+    loss = "".join(t[3] for t in own if t[2] == "assistant")
+    assert (r[1].loss_chars, r[1].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()) and r[2].n_turns == 1
+
+
+def test_surrogates(spark):
+    text = "ann.lee@mail.example.com and +1 (017) 555-7713, again ann.lee@mail.example.com; 10.0.0.7; Frau Müller"
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame([(1, text), (2, None), (3, "clean text"), (4, "")], "doc_id long, text string")).collect()}
+    mails = re.findall(r"\S+@\S+\.com", got[1].text)
+    assert len(mails) == 2 and mails[0] == mails[1] != "ann.lee@mail.example.com" and "Müller" not in got[1].text and got[1].n_entities == 5
+    assert got[2].text is None and got[3].text == "clean text" and got[4].text == ""
+
+
+def test_html(spark):
+    page = "<html><body><nav><a href=x>Menu</a></nav><div class=ad>Buy</div><article><h1>T &amp; U</h1><p><b>One<br><p>two  three</p><div class='comments'>no</div></article><footer>f</footer>"
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(1, "http://h/a", page), (2, None, None), (3, "http://h/b", "")], "page_id long, url string, html string")).collect()}
+    assert got == {1: "T & U\nOne\ntwo three", 2: "", 3: ""}
+
+
+def test_toxicity_learns(spark):
+    rows = [(i, f"{prose(40)} {'zorgfool' if i % 5 == 0 else ''} {prose(5)}") for i in range(600)]
+    docs = spark.createDataFrame([*rows, (9999, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, toxicity.fit(docs, labels)).collect()}
+    assert all((got[i] >= 0.3) == (i % 5 == 0) for i, _ in rows) and got[9999] < 0.3
+
+
+@pytest.mark.parametrize("call", [
+    lambda d: jaccard.jaccard_components(d), lambda d: exact_dedup.exact_groups(d), lambda d: packing.pack_documents(d), lambda d: sharding.kd_shards(d, shards=4),
+    lambda d: substring_dedup.repeated_passages(d), lambda d: pii.pseudonymize(d),
+])
+def test_empty_tables(spark, call):
+    assert call(spark.createDataFrame([], "doc_id long, text string")).count() == 0
