@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark opens the path, so any store it knows will do."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at once, where the session leaves Spark's default of 10,000: texts are long.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
@@ -33,6 +44,7 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     recomputation, and the planner knows the size of what it joins next.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/sparkloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
