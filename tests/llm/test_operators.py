@@ -145,6 +145,13 @@ def test_toxicity_learns(spark):
     assert all((got[i] >= 0.3) == (i % 5 == 0) for i, _ in rows) and got[9999] < 0.3
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    rows = [(i, f"{prose(30)} {'zorgfool' if i % 5 == 0 else 'plain'} {'mild' if i % 3 else ''}") for i in range(400)] * 2
+    labels = spark.createDataFrame([(i, int(i % 5 == 0 or i % 7 == 0)) for i, _ in rows], "doc_id long, toxic int").distinct()
+    a, b = (toxicity.fit(spark.createDataFrame(rows[::d], "doc_id long, text string").repartition(n), labels) for d, n in ((1, 3), (-1, 11)))
+    assert len(a.keys) and np.array_equal(a.keys, b.keys) and np.array_equal(a.weight, b.weight) and a.bias == b.bias
+
+
 @pytest.mark.parametrize("call", [
     lambda d: jaccard.jaccard_components(d), lambda d: exact_dedup.exact_groups(d), lambda d: packing.pack_documents(d), lambda d: sharding.kd_shards(d, shards=4),
     lambda d: substring_dedup.repeated_passages(d), lambda d: pii.pseudonymize(d),
