@@ -250,11 +250,11 @@ def opened_groups(shared: DataFrame, need: DataFrame) -> DataFrame:
 
 def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The links that make up the components of groups with over SMALL sets."""
-    own = part.join(elements, "uid")
+    own = narrow(elements, part, "uid")
     # the centre is only an origin to measure from, any will do: about SMALL sets of each group vote for it
-    voters = part.join(sizes, "grp").where(F.pmod(F.xxhash64("uid", F.lit(1)), F.ceil(F.col("sets") / SMALL)) == 0).select("grp", "uid")
+    voters = materialize(part.join(sizes, "grp").where(F.pmod(F.xxhash64("uid", F.lit(1)), F.ceil(F.col("sets") / SMALL)) == 0).select("grp", "uid"))
     electorate = voters.groupBy("grp").agg(F.count("*").alias("sets"))
-    seen = voters.join(elements, "uid").select("grp", F.explode("elements").alias("x")).groupBy("grp", "x").agg(F.count("*").alias("c"))
+    seen = narrow(elements, voters, "uid").select("grp", F.explode("elements").alias("x")).groupBy("grp", "x").agg(F.count("*").alias("c"))
     centre = materialize(seen.join(electorate, "grp").where("c * 2 > sets").groupBy("grp").agg(F.sort_array(F.collect_list("x")).alias("centre")))
     few = centre.count() <= 2_000  # each as long as a set
     with_centre = own.join(F.broadcast(centre) if few else centre, "grp", "left").select("grp", "uid", "elements", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"))
@@ -325,12 +325,11 @@ def _met(percent: int):
     return run
 
 
-def linked_sets(part: DataFrame, elements: DataFrame, percent: int) -> DataFrame | None:
-    """Components of the sets in opened groups part(grp, uid): (id, component), or None without links."""
-    sizes = materialize(part.groupBy("grp").agg(F.count("*").alias("sets")).where("sets > 1"))
-    large = materialize(sizes.where(F.col("sets") > SMALL))
-    many = materialize(part.join(sizes, "grp"))
-    small = many.where(F.col("sets") <= SMALL).select("grp", "uid").join(elements, "uid").select("grp", "uid", "elements")
+def linked_sets(many: DataFrame, elements: DataFrame, percent: int) -> DataFrame | None:
+    """Components of the sets in opened groups many(grp, uid, sets): (id, component), or None without links."""
+    large = materialize(many.where(F.col("sets") > SMALL).select("grp", "sets").distinct())
+    # the groups come to the sets where a count allows it, so that elements move once
+    small = narrow(elements, many.where(F.col("sets") <= SMALL).select("grp", "uid"), "uid").select("grp", "uid", "elements")
     edges = small.repartition("grp").sortWithinPartitions("grp").mapInArrow(_compared(percent), "src long, dst long")
     if not large.isEmpty():
         edges = edges.union(_large_links(many.where(F.col("sets") > SMALL).select("grp", "uid"), elements, large, percent))
@@ -357,6 +356,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     shared = materialize(_repeated(every))
     discard(full)  # the tokens that one set alone has are of no more use
     part = materialize(opened_groups(shared, rows.select("uid", "need")))
+    sizes = materialize(part.groupBy("grp").agg(F.count("*").alias("sets")).where("sets > 1"))
+    part = materialize(part.join(sizes, "grp"))  # a set alone in a group meets nobody there
     wanted = materialize(part.select("uid").distinct().join(rows.select("uid", "place", "s0"), "uid"))
     texts = narrow(docs.select("text", _place()), wanted, "place")
     elements = materialize(texts.select("text", "uid", "s0").mapInArrow(_stored(width), "uid long, elements array<long>"))
