@@ -48,8 +48,8 @@ from sparkloom.llm.text import SPACE, Words, blocks, gather, mix, release, shing
 SPARE = 3
 #: Sets up to which all of an opened group are compared.
 SMALL = 64
-#: Sets that one task holds of a large group at a time.
-BLOCK = 4096
+#: Elements of differences, and 16 a set, that one task holds of a large group at a time: about 50 MB with their index.
+BLOCK = 1 << 20
 
 
 class Levels:
@@ -269,11 +269,17 @@ def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent
     # sets beyond the middle one's reach can link only with sets whose differences overlap enough; sets are
     # dealt into blocks by the size of their difference, and only blocks that can hold such pairs meet
     outer = F.col("slack") + F.col("spare") < 0
-    lined = near.withColumn("outer", outer).withColumn("e_at", F.floor(F.col("e") / 16).cast("int"))
-    chunks = lined.groupBy("grp", "e_at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    lined = near.withColumn("outer", outer)
+    # the blocks of a group are about equal: sizes that follow each other share one until it is full, a size too frequent is dealt over several
+    heavy = F.col("many") * (F.col("e") + 16)
+    upto = W.partitionBy("grp").orderBy("e")
+    chunks = materialize(
+        lined.groupBy("grp", "e").agg(F.count("*").alias("many"))
+        .select("grp", "e", F.floor((F.sum(heavy).over(upto) - heavy) / BLOCK).cast("int").alias("e_at"), F.ceil(heavy / BLOCK).cast("int").alias("chunks"))
+    )
     few = chunks.count() <= MOST_KEYS
     dealt = materialize(
-        lined.join(F.broadcast(chunks) if few else chunks, ["grp", "e_at"])
+        lined.join(F.broadcast(chunks) if few else chunks, ["grp", "e"])
         .select("grp", "e_at", F.pmod(F.xxhash64("uid"), F.col("chunks")).alias("chunk"), "uid", "n", "e", "slack", "outer", "diff")
     )
     block = ["grp", "e_at", "chunk"]
