@@ -19,3 +19,9 @@ def register_scalar(spark: SparkSession, name: str, f: Callable, returns: str, a
 def register_aggregate(spark: SparkSession, name: str, f: Callable, returns: str, about: str = "") -> None:
     """f takes pandas Series (annotated) and returns a scalar."""
     register_scalar(spark, name, f, returns, about)
+
+
+def register_table(spark: SparkSession, name: str, f: type, returns: str, about: str = "") -> None:
+    """f is a class whose eval(...) yields rows; it is called LATERAL in SQL."""
+    spark.udtf.register(name, F.udtf(f, returnType=returns))
+    DESCRIBED[name] = about

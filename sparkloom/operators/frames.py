@@ -105,3 +105,22 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: str, value: str) -
     both = a.unionByName(b, allowMissingColumns=True)
     w = W.partitionBy(by).orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
+
+
+def groups_frame(df: DataFrame, by: list[str], order: str, agg: Column, name: str, start: int, end: int) -> DataFrame:
+    """A GROUPS frame: from ``start`` to ``end`` peer groups off the current one, as a range over their dense rank."""
+    ranked = df.withColumn("_peers", F.dense_rank().over(W.partitionBy(*by).orderBy(order)))
+    return ranked.withColumn(name, agg.over(W.partitionBy(*by).orderBy("_peers").rangeBetween(start, end))).drop("_peers")
+
+
+def summary(df: DataFrame, *cols: str) -> DataFrame:
+    """count, mean, stddev, min, quartiles and max as rows."""
+    return df.select(*cols).summary() if cols else df.summary()
+
+
+def join(a: DataFrame, b: DataFrame, left: list[str], right: list[str], how: str = "inner") -> DataFrame:
+    """Equality of paired key columns, both sides' keys kept; names that clash get ``_right``."""
+    clash = {c: f"{c}_right" for c in b.columns if c in a.columns}
+    b = b.withColumnsRenamed(clash)
+    on = [a[x] == b[clash.get(y, y)] for x, y in zip(left, right, strict=True)]
+    return a.join(b, on, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))

@@ -56,6 +56,59 @@ def neighbors(e: DataFrame, way: str = "either") -> DataFrame:
     return pairs.groupBy("id").agg(F.sort_array(F.collect_list("n")).alias("ids"))
 
 
+def reverse(e: DataFrame) -> DataFrame:
+    return e.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*e.columns)
+
+
+def map_vertices(v: DataFrame, name: str, value) -> DataFrame:
+    return v.withColumn(name, value)
+
+
+def map_edges(e: DataFrame, value) -> DataFrame:
+    return e.withColumn("attr", value)
+
+
+def map_triplets(v: DataFrame, e: DataFrame, value) -> DataFrame:
+    """New edge attributes from an expression over attr, src_* and dst_*."""
+    return triplets(v, e).select("src", "dst", value.alias("attr"))
+
+
+def aggregate_messages(v: DataFrame, e: DataFrame, to_dst=None, to_src=None, merge=F.sum) -> DataFrame:
+    """(id, msg): expressions over a triplet sent to either end, merged by an aggregate; null sends nothing."""
+    sends = [F.struct(F.col(end).alias("id"), x.alias("msg")) for end, x in (("dst", to_dst), ("src", to_src)) if x is not None]
+    sent = triplets(v, e).select(F.explode(F.array(*sends)).alias("m")).where("m.msg IS NOT NULL")
+    return sent.groupBy("m.id").agg(merge("m.msg").alias("msg"))
+
+
+def join_vertices(v: DataFrame, other: DataFrame, name: str, value: str) -> DataFrame:
+    """Replaces the attribute of vertices that other(id, value) has; the rest keep theirs."""
+    o = other.select("id", F.col(value).alias("_new"))
+    return v.join(o, "id", "left").withColumn(name, F.coalesce("_new", name)).drop("_new")
+
+
+def mask(v: DataFrame, e: DataFrame, other_v: DataFrame, other_e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the other graph has too; parallel edges are kept as they are."""
+    return v.join(other_v.select("id"), "id", "left_semi"), e.join(other_e.select("src", "dst"), ["src", "dst"], "left_semi")
+
+
+def find(e: DataFrame, src, dst) -> DataFrame:
+    return e.where((F.col("src") == src) & (F.col("dst") == dst))
+
+
+def pick_random_vertex(v: DataFrame, seed: int = 0) -> DataFrame:
+    return v.orderBy(F.rand(seed)).limit(1)
+
+
+def pregel_until_quiet(v: DataFrame, e: DataFrame, send, merge, program, most_rounds: int = 100) -> DataFrame:
+    """Like pregel, until a round sends no message."""
+    for _ in range(most_rounds):
+        got = _cut(send(triplets(v, e)).groupBy("id").agg(merge(F.col("msg")).alias("msg")))
+        if got.isEmpty():
+            break
+        v = _cut(program(v.join(got, "id", "left")).drop("msg"))
+    return v
+
+
 def pregel(v: DataFrame, e: DataFrame, send, merge, program, rounds: int) -> DataFrame:
     """Rounds of: send(triplets) -> (id, msg); merge: an aggregate of msg; program(state column set, msg)."""
     for _ in range(rounds):

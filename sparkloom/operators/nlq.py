@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,17 +67,108 @@ def llm_map(df: DataFrame, name: str, kind: str, client: Callable[[list[str]], l
     return df.mapInPandas(run, df.schema.add(name, kind))
 
 
-def vector_search(queries: DataFrame, index: DataFrame, k: int, most_queries: int = 100_000) -> DataFrame:
+def vector_search(queries: DataFrame, index: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
     """The k nearest of index(id, vector) by cosine for each of queries(qid, q); a zero norm scores 0.
 
-    The stated queries are broadcast after a count; the index is read once in
-    place and keeps k per task before anything is shuffled.
+    The stated queries are dealt into blocks of about most_queries, each
+    broadcast on its own; the index is read in place and keeps k per task and
+    query before anything is shuffled.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"over {most_queries} queries at once: pass them in parts")
+    parts = max(1, -(-queries.count() // most_queries))
+    block = F.pmod(F.xxhash64("qid"), F.lit(parts))
+    return reduce(DataFrame.union, [_nearest(queries.where(block == i), index, k) for i in range(parts)])
+
+
+def _nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     both = index.withColumn("_n", norm(F.col("vector"))).crossJoin(F.broadcast(queries.withColumn("_m", norm(F.col("q")))))
     scored = both.select("qid", "id", F.coalesce(F.try_divide(dot(F.col("vector"), F.col("q")), F.col("_n") * F.col("_m")), F.lit(0.0)).alias("score"))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def embed(df: DataFrame, column: str, name: str, client: Callable[[list[str]], list[list[float]]], dim: int, batch_size: int = 50) -> DataFrame:
+    """Adds an array of dim floats per text; null texts count as empty, other lengths are an error."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for at in range(0, len(pdf), batch_size):
+                out += client(["" if x is None else x for x in pdf[column].iloc[at : at + batch_size]])
+            if len(out) != len(pdf) or any(len(v) != dim for v in out):
+                raise ValueError(f"one vector of {dim} per row")
+            yield pdf.assign(**{name: out})
+
+    return df.mapInPandas(run, df.schema.add(name, "array<float>"))
+
+
+def retrying(client: Callable, times: int = 3, wait: float = 0.5) -> Callable:
+    """The client with retries and doubled waits; the last error goes up."""
+
+    def call(*args):
+        for i in range(times):
+            try:
+                return client(*args)
+            except Exception:
+                if i == times - 1:
+                    raise
+                time.sleep(wait * 2**i)
+
+    return call
+
+
+@dataclass
+class Turn:
+    """What a model says next: a tool call, or an answer with its confidence."""
+
+    answer: str | None = None
+    confidence: float = 0.0
+    tool: str | None = None
+    args: dict = field(default_factory=dict)
+    tokens: int = 0
+
+
+def converse(text: str, client: Callable[[list[dict]], Turn], tools: dict[str, Callable], rounds: int = 5, budget: int = 10_000) -> tuple:
+    """(answer, rounds, confidence, budget_exceeded): tool calls until an answer, the rounds or the budget end."""
+    said: list[dict] = [{"role": "user", "text": text}]
+    spent = 0
+    for i in range(1, rounds + 1):
+        turn = client(said)
+        spent += turn.tokens
+        if turn.answer is not None:
+            return turn.answer, i, turn.confidence, spent > budget
+        if spent > budget:
+            return None, i, 0.0, True
+        if turn.tool not in tools:
+            raise ValueError(f"no tool {turn.tool}")
+        said.append({"role": "tool", "name": turn.tool, "text": str(tools[turn.tool](**turn.args))})
+    return None, rounds, 0.0, False
+
+
+def agent_step(df: DataFrame, id_col: str, text_col: str, client: Callable, tools: dict[str, Callable], rounds: int = 5, budget: int = 10_000) -> DataFrame:
+    """(input_id, answer, rounds, confidence, budget_exceeded) per row, a conversation each."""
+
+    def run(batches):
+        for pdf in batches:
+            got = [(i, *converse(t or "", client, tools, rounds, budget)) for i, t in zip(pdf[id_col], pdf[text_col], strict=True)]
+            yield pd.DataFrame(got, columns=["input_id", "answer", "rounds", "confidence", "budget_exceeded"])
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(id_col, text_col).mapInPandas(run, f"input_id {kind}, answer string, rounds int, confidence double, budget_exceeded boolean")
+
+
+def ask(spark, question: str, client: Callable[[str, list[str]], str], judge: Callable[[str, DataFrame], bool], rounds: int = 5) -> DataFrame:
+    """A question to SQL: the client plans a query, it runs, the judge accepts it or the next round gets the errors."""
+    errors: list[str] = []
+    for _ in range(rounds):
+        text = client(question, errors)
+        try:
+            df = spark.sql(text)
+        except PySparkException as e:
+            errors.append(str(e))
+            continue
+        if judge(question, df):
+            return df
+        errors.append(f"rejected: {text}")
+    raise ValueError(f"no accepted query in {rounds} rounds: {errors}")

@@ -6,48 +6,16 @@ the others are DataFrame programs with their SQL beside them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import frames, graph, keyed, nlq
+from sparkloom.plans import families, streams  # noqa: F401  (they register their queries)
+from sparkloom.plans.registry import ORACLES, QUERIES, TABLES, plain, query  # noqa: F401
 from sparkloom.sources.tables import load
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "pricing_summary"
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def plain(name: str, sql: str, oracle: str | None = None) -> None:
-    """A query that is SQL text; only the tables it names are opened."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
-        views = {t: load(spark, sf_dir, t) for t in TABLES if t in words}
-        return spark.sql(_bound(sql, views), **{f"v_{t}": df for t, df in views.items()})
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLES[name] = oracle or sql
-
-
-def _bound(sql: str, views: dict) -> str:
-    import re
-
-    return re.sub(rf"(?<![\w.])({'|'.join(views)})(?![\w.(])", r"{v_\1}", sql)
-
-
 plain("pricing_summary", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
  round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
  FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""")
@@ -140,9 +108,9 @@ def describe_column(spark, d):
     return frames.describe(load(spark, d, "part"), "p_size").select("count", F.col("min").alias("lo"), F.col("median").alias("mid"), F.col("max").alias("hi"))
 
 
-@query()
+@query("SELECT l_suppkey, array_to_string(list_sort(list(l_linenumber)), ',') AS numbers FROM lineitem GROUP BY l_suppkey")
 def group_by_key(spark, d):
-    return keyed.group_by_key(load(spark, d, "lineitem"), "l_suppkey", "l_linenumber")
+    return keyed.group_by_key(load(spark, d, "lineitem"), "l_suppkey", "l_linenumber").select("l_suppkey", F.array_join("l_linenumber", ",").alias("numbers"))
 
 
 @query("SELECT l_suppkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_suppkey")
@@ -203,20 +171,28 @@ def session_windows(spark, d):
     return out.select("user_id", F.unix_micros("w.start").alias("session_start"), F.unix_micros("last").alias("session_end"), "n")
 
 
-@query()
+@query("SELECT c.event_id, c.user_id, c.ts, p.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.ts >= p.ts")
 def asof_last_value(spark, d):
     e = load(spark, d, "events")
     right = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_value"))
     return frames.asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), right, "ts", "user_id", "last_value")
 
 
-EDGES = "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 20 = 1"
+# A directed graph with cycles: customers to the suppliers they buy from, suppliers to their nation, nations to
+# their customers.  Ids are customers as they are, suppliers from 10^12, nations from 2 * 10^12.
+EDGES = """SELECT DISTINCT o_custkey AS src, 1000000000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+ UNION ALL SELECT 1000000000000 + s_suppkey, 2000000000000 + s_nationkey FROM supplier
+ UNION ALL SELECT 2000000000000 + c_nationkey, c_custkey FROM customer"""
+SUPPLIERS, NATIONS = 10**12, 2 * 10**12
+GRAPH = f"e AS MATERIALIZED ({EDGES}), v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), both_ways AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 
 
 def _edges(spark, d) -> DataFrame:
-    """Customers to the suppliers they buy from."""
-    o, li = load(spark, d, "orders", "lineitem")
-    return o.join(li, o.o_orderkey == li.l_orderkey).where("o_custkey % 20 = 1").select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct().withColumn("attr", F.lit(1.0))
+    o, li, s, c = load(spark, d, "orders", "lineitem", "supplier", "customer")
+    bought = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SUPPLIERS).alias("dst")).distinct()
+    home = s.select((F.col("s_suppkey") + SUPPLIERS).alias("src"), (F.col("s_nationkey") + NATIONS).cast("long").alias("dst"))
+    live = c.select((F.col("c_nationkey") + NATIONS).cast("long").alias("src"), F.col("c_custkey").alias("dst"))
+    return bought.union(home).union(live).withColumn("attr", F.lit(1.0))
 
 
 @query(f"SELECT id, cast(sum(i) AS BIGINT) AS in_degree, cast(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM ({EDGES}) UNION ALL SELECT dst, 1, 0 FROM ({EDGES})) GROUP BY id")
@@ -224,34 +200,61 @@ def graph_degrees(spark, d):
     return graph.degrees(_edges(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAPH}, c(id, seen) AS (SELECT id, id FROM v UNION SELECT dst, seen FROM c JOIN both_ways ON src = id) SELECT id, min(seen) AS component FROM c GROUP BY id")
 def graph_components(spark, d):
     return graph.connected_components(_edges(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAPH}, c(id, seen) AS (SELECT id, id FROM v UNION SELECT dst, seen FROM c JOIN e ON src = id) SELECT a.id, max(a.seen) AS component FROM c a JOIN c b ON a.id = b.seen AND a.seen = b.id GROUP BY a.id")
+def graph_strong_components(spark, d):
+    return graph.strongly_connected(_edges(spark, d))
+
+
+def _rank_sql(rounds: int) -> str:
+    steps = ["deg AS (SELECT src, count(*) AS d FROM e GROUP BY src)", "r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
+    for i in range(1, rounds + 1):
+        got = f"SELECT e.dst AS id, sum(r.rank / d) AS g FROM e JOIN deg ON deg.src = e.src JOIN r{i - 1} r ON r.id = e.src GROUP BY e.dst"
+        steps.append(f"r{i} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / (SELECT count(*) FROM v) + 0.85::DOUBLE * coalesce(g, 0) AS rank FROM v LEFT JOIN ({got}) s ON s.id = v.id)")
+    return f"WITH {GRAPH}, {', '.join(steps)} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(5))
 def graph_page_rank(spark, d):
-    return graph.page_rank(_edges(spark, d), rounds=5)
+    return graph.page_rank(_edges(spark, d), rounds=5).select("id", F.round("rank", 9).alias("rank"))
+
+
+def _label_sql(rounds: int) -> str:
+    steps = ["l0 AS (SELECT id, id AS label FROM v)"]
+    for i in range(1, rounds + 1):
+        votes = f"SELECT src, label, count(*) AS n FROM both_ways JOIN l{i - 1} ON id = dst GROUP BY src, label"
+        steps.append(f"l{i} AS MATERIALIZED (SELECT src AS id, label FROM ({votes}) QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, label) = 1)")
+    return f"WITH {GRAPH}, {', '.join(steps)} SELECT id, label FROM l{rounds}"
 
 
-@query()
+@query(_label_sql(3))
 def graph_label_propagation(spark, d):
     return graph.label_propagation(_edges(spark, d), rounds=3)
 
 
-@query(f"SELECT dst AS id, 1 AS landmark, 1.0 AS distance FROM ({EDGES}) WHERE src = 1 UNION ALL SELECT 1, 1, 0.0")
+@query(f"WITH RECURSIVE {GRAPH}, p(id, h) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, h + 1 FROM p JOIN e ON src = id WHERE h < 20) SELECT id, 1 AS landmark, cast(min(h) AS DOUBLE) AS distance FROM p GROUP BY id")
 def graph_shortest_paths(spark, d):
     return graph.shortest_paths(_edges(spark, d), [1]).select("id", F.col("landmark").cast("int").alias("landmark"), "distance")
 
 
-@query()
+# Orders, their parts and their suppliers; each line is a triangle.
+LINES = "SELECT l_orderkey AS a, 1000000000000 + l_partkey AS b, 2000000000000 + l_suppkey AS c FROM lineitem"
+
+
+@query(f"""WITH l AS ({LINES}), p AS MATERIALIZED (SELECT a AS x, b AS y FROM l UNION SELECT b, c FROM l UNION SELECT a, c FROM l),
+ t AS (SELECT p.x, p.y, q.y AS z FROM p JOIN p q ON p.y = q.x JOIN p r ON r.x = p.x AND r.y = q.y)
+ SELECT id, count(*) AS triangles FROM (SELECT x AS id FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY id""")
 def graph_triangles(spark, d):
-    e = _edges(spark, d)
-    return graph.triangles(e.select("src", "dst").union(e.where("dst % 3 = 0").select("dst", F.col("dst") + 1)))
+    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + SUPPLIERS).alias("b"), (F.col("l_suppkey") + NATIONS).alias("c"))
+    return graph.triangles(li.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(li.select("b", "c")).union(li.select("a", "c")))
 
 
-@query("SELECT q.vec_id AS qid, e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id < 3 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 5")
+@query("SELECT q.vec_id AS qid, e.vec_id AS id FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 5")
 def vector_search(spark, d):
     e = load(spark, d, "embeddings")
-    found = nlq.vector_search(e.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5)
+    found = nlq.vector_search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5)
     return found.select("qid", "id")

@@ -64,3 +64,25 @@ def write(df: DataFrame, kind: str, path: str, mode: str = "overwrite", sort_by:
     if kind == "text":
         df = df.select(F.col(df.columns[0]).cast("string"))
     df.write.mode(mode).options(**options).format(kind).save(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; below the warehouse only where the session names none."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return at.rstrip("/")
+
+
+def text_lines(df: DataFrame, column: str, path: str) -> None:
+    """One line per row, in part files."""
+    write(df.select(column), "text", path)
+
+
+def available(spark: SparkSession, kind: str) -> bool:
+    """Whether the session has the jar of a source (avro and kafka are apart from Spark itself)."""
+    try:
+        spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource(kind, spark._jsparkSession.sessionState().conf())
+    except Exception as e:  # the JVM's class lookup has no narrower type here
+        if "DATA_SOURCE_NOT_FOUND" in str(e) or "Failed to find" in str(e) or "deployed" in str(e):
+            return False
+        raise
+    return True

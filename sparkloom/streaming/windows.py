@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.sources.tables import shared_folder
+
 
 def file_source(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_batch: int | None = None, **options) -> DataFrame:
     reader = spark.readStream.schema(schema).options(**options)
@@ -71,3 +76,109 @@ def per_batch(df: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: st
 
 def to_files(df: DataFrame, path: str, checkpoint: str, kind: str = "parquet"):
     return df.writeStream.format(kind).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def sql(df: DataFrame, text: str) -> DataFrame:
+    """Stateless SQL over the stream, which the text calls {input}."""
+    return df.sparkSession.sql(text, input=df)
+
+
+def drained(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs the stream until its source is drained; the result as a table.
+
+    Each epoch is written under its own name, so a repeated epoch replaces
+    itself.  append: all epochs; complete: the last; update: the last row of
+    each of the keys.
+    """
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/sparkloom-stream-{uuid.uuid4().hex}"
+    schema = df.schema
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/check").foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema(schema.add("epoch", "long")).parquet(f"{at}/out")
+    if mode == "complete":
+        out = out.where(F.col("epoch") == (out.agg(F.max("epoch")).first()[0] or 0))
+    elif mode == "update":
+        w = W.partitionBy(*keys).orderBy(F.desc("epoch"))
+        out = out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return out.drop("epoch")
+
+
+def stateful(df: DataFrame, keys: list[str], step: Callable, output: str, state: str, timeout: str = "none", mode: str = "update") -> DataFrame:
+    """step(key, pandas frames, state) yields pandas frames; timeout: none, processing or event."""
+    kinds = {"none": GroupStateTimeout.NoTimeout, "processing": GroupStateTimeout.ProcessingTimeTimeout, "event": GroupStateTimeout.EventTimeTimeout}
+    return df.groupBy(*keys).applyInPandasWithState(step, output, state, mode, kinds[timeout])
+
+
+def update_state(df: DataFrame, key: str, value: str, f: Callable, zero, state: str, idle_ms: int | None = None) -> DataFrame:
+    """f(values, old state) -> new state, or None to forget the key; idle keys leave after idle_ms."""
+
+    def step(k, batches, held: GroupState):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        new = f(pd.concat([b[value] for b in batches]), held.get[0] if held.exists else zero)
+        if new is None:
+            if held.exists:
+                held.remove()
+            return
+        held.update((new,))
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({key: [k[0]], "state": [new]})
+
+    kind = dict(df.dtypes)[key]
+    return stateful(df, [key], step, f"{key} {kind}, state {state}", f"state {state}", "processing" if idle_ms else "none")
+
+
+def socket_source(spark: SparkSession, host: str, port: int) -> DataFrame:
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def text_source(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.text(path)
+
+
+def kafka_source(spark: SparkSession, servers: str, topic: str, schema: str, most_per_batch: int | None = None) -> DataFrame:
+    """JSON payloads decoded to the schema; needs the Kafka connector's jar."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    if most_per_batch:
+        reader = reader.option("maxOffsetsPerTrigger", most_per_batch)
+    return decoded(reader.load(), schema)
+
+
+def decoded(df: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    return df.select(F.from_json(F.col(value).cast("string"), schema).alias("v")).select("v.*")
+
+
+def to_console(df: DataFrame, mode: str = "append"):
+    return df.writeStream.format("console").outputMode(mode).start()
+
+
+def to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
+    """For tests and small results: the sink is held by the driver."""
+    return df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the last progress of each query; spark.streams.addListener(Progress())."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, object] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.last[str(event.progress.id)] = event.progress
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))

@@ -24,7 +24,7 @@ def rows(df):
     def cell(x):
         if x is None or pd.isna(x):
             return None
-        return str(x) if isinstance(x, (str, bool, pd.Timestamp)) or type(x).__name__ == "bool" else round(float(x), 3)
+        return str(x) if isinstance(x, (str, bool, pd.Timestamp)) or type(x).__name__ == "bool" else float(f"{float(x):.9g}")
 
     return sorted([tuple(map(cell, r)) for r in df.itertuples(index=False)], key=str)
 
