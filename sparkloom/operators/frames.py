@@ -86,7 +86,7 @@ def sample_by(df: DataFrame, col: str, fractions: dict, seed: int = 0) -> DataFr
 def random_split(df: DataFrame, weights: list[float], seed: int = 0) -> list[DataFrame]:
     if any(w < 0 for w in weights):
         raise ValueError("weights are not negative")
-    return df.randomSplit(weights, seed) if sum(weights) > 0 else []
+    return df.randomSplit([float(w) for w in weights], seed) if sum(weights) > 0 else []
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:

@@ -57,7 +57,8 @@ def neighbors(e: DataFrame, way: str = "either") -> DataFrame:
 
 
 def reverse(e: DataFrame) -> DataFrame:
-    return e.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*e.columns)
+    swapped = {"src": F.col("dst").alias("src"), "dst": F.col("src").alias("dst")}
+    return e.select(*[swapped.get(c, F.col(c)) for c in e.columns])
 
 
 def map_vertices(v: DataFrame, name: str, value) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 @dataclass
@@ -39,6 +40,10 @@ def run_plan(steps: list[Step], tools: dict[str, Callable]) -> dict:
     return done
 
 
+def _with(df: DataFrame, name: str, kind: str) -> StructType:
+    return StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))])
+
+
 def llm_filter(df: DataFrame, client: Callable[[list[str]], list[bool]], batch_size: int = 50) -> DataFrame:
     """Keeps the rows for which the client says so; it gets rows as JSON and must answer each."""
 
@@ -64,7 +69,7 @@ def llm_map(df: DataFrame, name: str, kind: str, client: Callable[[list[str]], l
                 out += client([json.dumps(r, default=str) for r in pdf.iloc[at : at + batch_size].to_dict("records")])
             yield pdf.assign(**{name: out})
 
-    return df.mapInPandas(run, df.schema.add(name, kind))
+    return df.mapInPandas(run, _with(df, name, kind))
 
 
 def vector_search(queries: DataFrame, index: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
@@ -100,7 +105,7 @@ def embed(df: DataFrame, column: str, name: str, client: Callable[[list[str]], l
                 raise ValueError(f"one vector of {dim} per row")
             yield pdf.assign(**{name: out})
 
-    return df.mapInPandas(run, df.schema.add(name, "array<float>"))
+    return df.mapInPandas(run, _with(df, name, "array<float>"))
 
 
 def retrying(client: Callable, times: int = 3, wait: float = 0.5) -> Callable:

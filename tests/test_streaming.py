@@ -10,3 +10,32 @@ def test_tumbling_window_over_files(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("tumbling").collect()} == {(0, "a", 3, 35), (1000, "b", 1, 100)}
+
+
+def batches(spark, path, *parts):
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, "ts long, user string, amount long").coalesce(1).write.parquet(f"{path}/in/{i}")
+    return windows.file_source(spark, f"{path}/in/*", "ts long, user string, amount long", files_per_batch=1)
+
+
+def test_state_goes_on_over_batches_and_forgets(spark, tmp_path):
+    df = batches(spark, tmp_path, [(0, "a", 1), (1, "b", 10)], [(2, "a", 3)])
+    out = windows.update_state(df, "user", "amount", lambda values, old: None if (values == 10).any() else old + int(values.sum()), 0, "long")
+    assert {tuple(r) for r in windows.drained(out, "update", ["user"]).collect()} == {("a", 4)}
+
+
+def test_dedup_over_batches(spark, tmp_path):
+    df = batches(spark, tmp_path, [(10, "a", 1), (11, "b", 1), (12, "a", 1)], [(13, "b", 1), (14, "c", 1)])
+    out = windows.drained(windows.dedup(windows.event_time(df, "ts", "100 seconds"), ["user"]).select("user"))
+    assert sorted(r[0] for r in out.collect()) == ["a", "b", "c"]
+
+
+def test_sessions_end_at_their_last_event(spark, tmp_path):
+    df = batches(spark, tmp_path, [(10, "a", 1), (50, "a", 1), (35, "a", 1)], [(200, "a", 1)])
+    out = windows.sessions(windows.event_time(df, "ts", "1 second"), ["user"], [F.count("*").alias("n")], "30 milliseconds")
+    assert {tuple(r) for r in windows.drained(out, "complete").collect()} == {(10, 50, "a", 3), (200, 200, "a", 1)}
+
+
+def test_json_payloads(spark):
+    df = spark.createDataFrame([(b'{"x": 3}',), (b"broken",)], "value binary")
+    assert sorted((r[0] for r in windows.decoded(df, "x int").collect()), key=str) == [3, None]
