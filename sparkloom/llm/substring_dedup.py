@@ -11,9 +11,10 @@ Chains.  The matches of a pair of texts are chained in order of both positions;
 a link costs GAP per word skipped on either side.  As that cost is a sum of
 coordinates, the best predecessor is a prefix maximum in a Fenwick tree.
 
-Alignment.  Chains are grown by the words that agree at their ends and aligned
-word by word; those of an identity of at least ``identity`` count.  Spans of a
-text that overlap are joined; those of at least ``min_words`` are returned.
+Alignment.  A chain is a row of exact blocks.  It is split at its worst gap until
+each part has an identity of at least ``identity``; blocks are grown first by the
+words that agree at their ends.  Spans of a text that overlap are joined;
+those of at least ``min_words`` are returned.
 
 Edge cases: null, empty and short texts have no seeds; texts equal as a whole
 are one span each if long enough; repeats inside one text are no passages that
@@ -34,6 +35,7 @@ from sparkloom.llm.text import SPACE, Words, blocks, mix, shingles
 
 K, SAMPLE, GAP = 8, 12, 0.15
 MIN_WORDS, IDENTITY, LEAST_CHAIN = 50, 0.8, 16
+MARGIN = 200
 
 
 def minimizers(flat: np.ndarray, bounds: np.ndarray, width: int = SAMPLE) -> np.ndarray:
@@ -104,8 +106,8 @@ class Fenwick:
         return out
 
 
-def chains(x: list[int], y: list[int], gap: float = GAP) -> list[tuple[int, int, int, int]]:
-    """Disjoint collinear chains of the matches (x[i], y[i]) of two texts: (start, end, start, end) in words."""
+def chains(x: list[int], y: list[int], gap: float = GAP) -> list[list[int]]:
+    """Disjoint collinear chains of the matches (x[i], y[i]) of two texts, as lists of i."""
     n = len(x)
     order = sorted(range(n), key=lambda i: (x[i], -y[i]))
     ranks = {v: r for r, v in enumerate(sorted(set(y)))}
@@ -123,15 +125,35 @@ def chains(x: list[int], y: list[int], gap: float = GAP) -> list[tuple[int, int,
     for i in sorted(range(n), key=lambda i: -score[i]):
         if used[i]:
             continue
-        at, first = i, i
+        at, own = i, []
         while at >= 0 and not used[at]:
-            used[at], first = True, at
+            used[at] = True
+            own.append(at)
             at = back[at]
-        out.append((x[first], x[i] + K, y[first], y[i] + K))
+        out.append(own[::-1])
     return out
 
 
-_CHAIN = "uid long, other long, s int, e int, os int, oe int"
+_CHAIN = "uid long, other long, s int, e int, os int, oe int, x array<int>, y array<int>, n array<int>"
+_CHAIN_TYPES = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 3
+
+
+def clusters(x: list[int], y: list[int], most: int) -> list[tuple]:
+    """The chains of two texts, those near each other in one row: (start, end, start, end, x, y, matches of each chain)."""
+    out: list[list] = []
+    for own in sorted(chains(x, y), key=lambda c: x[c[0]]):
+        s, e, os_, oe = x[own[0]], x[own[-1]] + K, y[own[0]], y[own[-1]] + K
+        if min(e - s, oe - os_) + most - 1 < LEAST_CHAIN:
+            continue
+        last = out[-1] if out else None
+        if not last or s > last[1] + MARGIN or os_ > last[3] + MARGIN or oe < last[2] - MARGIN:
+            last = [s, e, os_, oe, [], [], []]
+            out.append(last)
+        last[1], last[2], last[3] = max(last[1], e), min(last[2], os_), max(last[3], oe)
+        last[4] += [x[i] for i in own]
+        last[5] += [y[i] for i in own]
+        last[6].append(len(own))
+    return [tuple(c) for c in out]
 
 
 def _chained(batches):
@@ -140,10 +162,10 @@ def _chained(batches):
 
     def close():
         if key is not None:
-            out.extend((*key, *c) for c in chains(x, y) if min(c[1] - c[0], c[3] - c[2]) + most - 1 >= LEAST_CHAIN)
+            out.extend((*key, *c) for c in clusters(x, y, most))
 
     def emit():
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["uid", "other", "s", "e", "os", "oe"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, _CHAIN_TYPES, strict=True)], names=["uid", "other", "s", "e", "os", "oe", "x", "y", "n"])
 
     for batch in batches:
         for u, p, o, q, r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -174,6 +196,8 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
         return len(a) + len(b)
     if len(a) > len(b):
         a, b = b, a
+    if len(a) == 1:
+        return len(b) - int(a[0] in b)
     step = np.arange(len(b) + 1)
     row = step.copy()
     for i, v in enumerate(a.tolist()):
@@ -182,25 +206,76 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _aligned(batches):
-    """(uid, other, s, e, os, oe, words, other words) to grown chains with their identity."""
-    for batch in batches:
-        out = []
-        cols = [batch.column(i).to_pylist() for i in range(6)]
-        wide = [batch.column(i) for i in (6, 7)]
-        lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in wide]
-        for i, (u, o, s, e, os_, oe) in enumerate(zip(*cols, strict=True)):
-            a, b = (v[at[i] : at[i + 1]] for at, v in lists)
-            while s > 0 and os_ > 0 and a[s - 1] == b[os_ - 1]:
-                s, os_ = s - 1, os_ - 1
-            while e < len(a) and oe < len(b) and a[e] == b[oe]:
-                e, oe = e + 1, oe + 1
-            long = max(e - s, oe - os_)
-            out.append((u, o, s, e, os_, oe, 1 - edits(a[s:e], b[os_:oe]) / long))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()], strict=True)],
-            names=["uid", "other", "s", "e", "os", "oe", "identity"],
-        )
+def exact_blocks(a: list[int], b: list[int], anchors) -> list[tuple[int, int, int]]:
+    """Ordered, disjoint stretches of equal words (start in a, start in b, words) around a chain's matches."""
+    out, pi, pj = [], 0, 0
+    for x, y in anchors:
+        t = max(pi - x, pj - y, 0)
+        if t >= K or (out and x - y == pi - pj and x < pi):
+            continue
+        i, j = x + t, y + t
+        s, o = i, j
+        while s > pi and o > pj and a[s - 1] == b[o - 1]:
+            s, o = s - 1, o - 1
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        if i > s:
+            out.append((s, o, i - s))
+            pi, pj = i, j
+    return out
+
+
+def parts(found: list[tuple[int, int, int]], gaps: list[int], weight: float) -> list[tuple[int, int, int]]:
+    """(first block, last block, edits) of a chain split at its worst gap until no part's edits outweigh its words."""
+    out, todo = [], [(0, len(found) - 1)] if found else []
+    cost = [0, *np.cumsum(gaps).tolist()]
+    worth = [max(q[0] - p[0] - p[2], q[1] - p[1] - p[2]) - weight * d for p, q, d in zip(found, found[1:], gaps, strict=False)]
+    while todo:
+        low, high = todo.pop()
+        d = cost[high] - cost[low]
+        (s, o, _), (e, oe, n) = found[low], found[high]
+        if max(e + n - s, oe + n - o) >= weight * d - 1e-6:
+            out.append((low, high, d))
+        else:
+            at = min(range(low, high), key=worth.__getitem__)
+            todo += [(low, at), (at + 1, high)]
+    return out
+
+
+def _aligned(identity: float):
+    """Chains (uid, other, x, y, n, words, other words, first word, other first word) to grown parts with their identity."""
+    weight = 1 / max(1 - identity, 1e-9)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            u, o, xs, ys, ns = (batch.column(i).to_pylist() for i in range(5))
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column(5), batch.column(6))]
+            a0, b0 = (batch.column(i).to_pylist() for i in (7, 8))
+            for r in range(len(u)):
+                wide = [v[at[r] : at[r + 1]] for at, v in lists]
+                a, b = (v.tolist() for v in wide)
+                held, first = [], 0
+                for n in ns[r]:
+                    anchors = [(x - a0[r], y - b0[r]) for x, y in zip(xs[r][first : first + n], ys[r][first : first + n], strict=True)]
+                    first += n
+                    (s, o_), (e, oe) = anchors[0], anchors[-1]
+                    if any(h[0] <= s and e + K <= h[1] and h[2] <= o_ and oe + K <= h[3] for h in held):
+                        continue
+                    found = exact_blocks(a, b, anchors)
+                    gaps = [edits(wide[0][p[0] + p[2] : q[0]], wide[1][p[1] + p[2] : q[1]]) for p, q in zip(found, found[1:], strict=False)]
+                    for low, high, d in parts(found, gaps, weight):
+                        (s, o_, _), (e, oe, k) = found[low], found[high]
+                        e, oe = e + k, oe + k
+                        long = max(e - s, oe - o_)
+                        held.append((s, e, o_, oe))
+                        out.append((u[r], o[r], s + a0[r], e + a0[r], o_ + b0[r], oe + b0[r], 1 - d / long))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()], strict=True)],
+                names=["uid", "other", "s", "e", "os", "oe", "identity"],
+            )
+
+    return run
 
 
 def _words(batches):
@@ -258,17 +333,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     found = materialize(matches.repartition("uid").sortWithinPartitions("uid", "other", "p").mapInArrow(_chained, _CHAIN))
     wanted = materialize(found.select("uid").union(found.select("other")).distinct().join(rows.select("uid", "place"), "uid"))
     words = materialize(narrow(docs.select("text", place), wanted, "place").select("text", "uid").mapInArrow(_words, "uid long, words array<int>").dropDuplicates(["uid"]))
-    # only the stretch around a chain travels: as much again as the chain is long, on either side
-    margin = F.greatest(F.col("e") - F.col("s"), F.col("oe") - F.col("os"), F.lit(200))
+    # only the stretch around chains travels: as much again as they are long, on either side
+    margin = F.greatest(F.col("e") - F.col("s"), F.col("oe") - F.col("os"), F.lit(MARGIN))
     cut = lambda d, low, high: F.slice(d, F.greatest(low - margin, F.lit(0)) + 1, high - low + 2 * margin)
-    left = found.join(words, "uid").select("uid", "other", "s", "e", "os", "oe", cut(F.col("words"), F.col("s"), F.col("e")).alias("a"), F.greatest(F.col("s") - margin, F.lit(0)).alias("a0"))
+    held = ["uid", "other", "x", "y", "n"]
+    left = found.join(words, "uid").select(*held, "s", "e", "os", "oe", cut(F.col("words"), F.col("s"), F.col("e")).alias("a"), F.greatest(F.col("s") - margin, F.lit(0)).alias("a0"))
     both = left.join(words.select(F.col("uid").alias("other"), "words"), "other").withColumn("b", cut(F.col("words"), F.col("os"), F.col("oe"))).withColumn("b0", F.greatest(F.col("os") - margin, F.lit(0)))
-    at = lambda c, base: (F.col(c) - F.col(base)).cast("int").alias(c)
-    shifted = both.select(F.struct("uid", "a0").alias("u"), F.struct("other", "b0").alias("o"), at("s", "a0"), at("e", "a0"), at("os", "b0"), at("oe", "b0"), "a", "b")
-    placed = shifted.select(
-        F.col("u.uid").alias("uid"), F.col("o.other").alias("other"), "s", "e", "os", "oe", "a", "b", F.col("u.a0").alias("a0"), F.col("o.b0").alias("b0")
-    )
-    aligned = materialize(placed.select("uid", "other", "s", "e", "os", "oe", "a", "b", "a0", "b0").mapInArrow(_with_base, "uid long, other long, s int, e int, os int, oe int, identity double").where(F.col("identity") >= identity))
+    aligned = materialize(both.select(*held, "a", "b", "a0", "b0").mapInArrow(_aligned(identity), "uid long, other long, s int, e int, os int, oe int, identity double"))
     spans = aligned.select("uid", "s", "e", "other", "identity").union(aligned.select("other", "os", "oe", "uid", "identity"))
     spans = spans.groupBy("uid", "s", "e").agg(F.min("other").alias("other"), F.max("identity").alias("identity"))
     merged = spans.repartition("uid").sortWithinPartitions("uid", "s").mapInArrow(_joined, "uid long, s int, e int, other long, identity double").where(F.col("e") - F.col("s") >= min_words)
@@ -282,16 +353,5 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     return part.union(copies)
 
 
-def _with_base(batches):
-    """_aligned over stretches, with the places counted from the texts' starts again."""
-    for batch in batches:
-        for got in _aligned([pa.RecordBatch.from_arrays(batch.columns[:8], names=batch.schema.names[:8])]):
-            base = [batch.column(i).to_numpy(zero_copy_only=False) for i in (8, 9)]
-            col = lambda name, b: pa.array((got.column(name).to_numpy(zero_copy_only=False) + b).astype(np.int32))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [got.column("uid"), got.column("other"), col("s", base[0]), col("e", base[0]), col("os", base[1]), col("oe", base[1]), got.column("identity")], names=got.schema.names
-            )
-
-
 def op3_chained_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))

@@ -114,6 +114,19 @@ def test_substrings(spark):
     assert {r.doc_id for r in got} == {1, 2} and all(r.n_words >= 60 for r in got)
 
 
+def passages(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.start_word, r.n_words) for r in substring_dedup.repeated_passages(docs).collect()}
+
+
+def test_substrings_around_another_body(spark):
+    head, foot = prose(60), prose(60)
+    got = passages(spark, *(f"{head} {prose(90)} {foot}" for _ in range(2)))
+    for i in (0, 1):
+        own = sorted(x[1:] for x in got if x[0] == i)
+        assert len(own) == 2 and own[0][0] == 0 and 60 <= own[0][1] < 75 and 135 < own[1][0] <= 150 and sum(own[1]) == 210
+
+
 def test_chat_round_trip(spark):
     turns = [(1, k, "system" if k == 0 else ("user", "assistant")[k % 2 == 0], f"{prose(random.randint(1, 400))} </s>[INST]&lt;") for k in range(60)] + [(2, None, None, None)]
     r = {x.conv_id: x for x in chat_format.digests(chat_format.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
