@@ -5,7 +5,7 @@ the one with the smallest hash, so two texts that share K + W - 1 words share a
 seed.  Texts that are equal as a whole are joined first; one of each goes on.
 
 Matches.  Every occurrence of a seed is matched to the seed's first occurrence
-in the corpus (of a repeated word: its longest), so a passage in m texts gives m matches, not m squared.
+in the corpus (of words repeated on: the longest), so a passage in m texts gives m matches, not m squared.
 
 Chains.  The matches of a pair of texts are chained in order of both positions;
 a link costs GAP per word skipped on either side.  As that cost is a sum of
@@ -13,7 +13,8 @@ coordinates, the best predecessor is a prefix maximum in a Fenwick tree.
 
 Alignment.  A chain is a row of exact blocks.  It is split at its worst gap until
 each part has an identity of at least ``identity``; blocks are grown first by the
-words that agree at their ends.  Spans of a text that overlap are joined;
+words that agree at their ends.  Only then are parts of fewer than LEAST_CHAIN
+words left out.  Spans of a text that overlap are joined;
 those of at least ``min_words`` are returned.
 
 Edge cases: null, empty and short texts have no seeds; texts equal as a whole
@@ -62,11 +63,16 @@ def _seeded(batches):
             w = Words(batch.column(1).slice(at, n), SPACE)
             flat, bounds = shingles(w.key, w.first, K, short=False)
             spot = minimizers(flat, bounds)
-            # a word repeated on and on is one seed, at its first run
+            # words repeated on and on are one seed, at its first run
+            order = np.lexsort((spot, flat[spot]))
+            ranked, text = spot[order], np.searchsorted(bounds, spot[order], side="right")
             again = np.zeros(len(spot), dtype=bool)
-            again[1:] = (np.diff(spot) == 1) & (flat[spot[1:]] == flat[spot[:-1]])
-            run = np.diff(np.append(np.flatnonzero(~again), len(spot)))
-            spot = spot[~again]
+            again[1:] = (flat[ranked[1:]] == flat[ranked[:-1]]) & (np.diff(ranked) <= K + SAMPLE) & (text[1:] == text[:-1])
+            head = np.flatnonzero(~again)
+            run = ranked[np.append(head[1:], len(spot)) - 1] - ranked[head] + 1 if len(spot) else np.zeros(0, np.int64)
+            spot = ranked[head]
+            back = np.argsort(spot)
+            spot, run = spot[back], run[back]
             cuts = np.searchsorted(spot, bounds).astype(np.int32)
             pos = spot - bounds[np.searchsorted(bounds, spot, side="right") - 1]
             # order matters in a signature of the whole text: weigh each word's hash by its place
@@ -138,13 +144,11 @@ _CHAIN = "uid long, other long, s int, e int, os int, oe int, x array<int>, y ar
 _CHAIN_TYPES = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 3
 
 
-def clusters(x: list[int], y: list[int], most: int) -> list[tuple]:
+def clusters(x: list[int], y: list[int]) -> list[tuple]:
     """The chains of two texts, those near each other in one row: (start, end, start, end, x, y, matches of each chain)."""
     out: list[list] = []
     for own in sorted(chains(x, y), key=lambda c: x[c[0]]):
         s, e, os_, oe = x[own[0]], x[own[-1]] + K, y[own[0]], y[own[-1]] + K
-        if min(e - s, oe - os_) + most - 1 < LEAST_CHAIN:
-            continue
         last = out[-1] if out else None
         if not last or s > last[1] + MARGIN or os_ > last[3] + MARGIN or oe < last[2] - MARGIN:
             last = [s, e, os_, oe, [], [], []]
@@ -157,24 +161,23 @@ def clusters(x: list[int], y: list[int], most: int) -> list[tuple]:
 
 
 def _chained(batches):
-    """Matches (uid, pos, other, opos, run), sorted by uid and other, to chains."""
-    key, x, y, most, out = None, [], [], 1, []
+    """Matches (uid, pos, other, opos), sorted by uid and other, to chains."""
+    key, x, y, out = None, [], [], []
 
     def close():
         if key is not None:
-            out.extend((*key, *c) for c in clusters(x, y, most))
+            out.extend((*key, *c) for c in clusters(x, y))
 
     def emit():
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, _CHAIN_TYPES, strict=True)], names=["uid", "other", "s", "e", "os", "oe", "x", "y", "n"])
 
     for batch in batches:
-        for u, p, o, q, r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for u, p, o, q in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if (u, o) != key:
                 close()
-                key, x, y, most = (u, o), [], [], 1
+                key, x, y = (u, o), [], []
             x.append(p)
             y.append(q)
-            most = max(most, r)
         yield emit()
         out = []
     close()
@@ -268,8 +271,9 @@ def _aligned(identity: float):
                         (s, o_, _), (e, oe, k) = found[low], found[high]
                         e, oe = e + k, oe + k
                         long = max(e - s, oe - o_)
-                        held.append((s, e, o_, oe))
-                        out.append((u[r], o[r], s + a0[r], e + a0[r], o_ + b0[r], oe + b0[r], 1 - d / long))
+                        if long >= LEAST_CHAIN:
+                            held.append((s, e, o_, oe))
+                            out.append((u[r], o[r], s + a0[r], e + a0[r], o_ + b0[r], oe + b0[r], 1 - d / long))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()], strict=True)],
                 names=["uid", "other", "s", "e", "os", "oe", "identity"],
@@ -328,7 +332,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     seeds = narrow(full.select("uid", "h", "p", "r"), same.select("uid"), "uid").select("uid", F.explode(F.arrays_zip("h", "p", "r")).alias("x")).select("uid", "x.*")
     own = W.partitionBy("h")
     matched = seeds.withColumn("first", F.min(F.struct((-F.col("r")).alias("m"), "uid", "p", "r")).over(own)).where("uid <> first.uid")
-    matches = materialize(matched.select("uid", "p", F.col("first.uid").alias("other"), F.col("first.p").alias("op"), F.least("r", "first.r").alias("run")))
+    matches = materialize(matched.select("uid", "p", F.col("first.uid").alias("other"), F.col("first.p").alias("op")))
     discard(full)
     found = materialize(matches.repartition("uid").sortWithinPartitions("uid", "other", "p").mapInArrow(_chained, _CHAIN))
     wanted = materialize(found.select("uid").union(found.select("other")).distinct().join(rows.select("uid", "place"), "uid"))

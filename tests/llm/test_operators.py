@@ -127,6 +127,15 @@ def test_substrings_around_another_body(spark):
         assert len(own) == 2 and own[0][0] == 0 and 60 <= own[0][1] < 75 and 135 < own[1][0] <= 150 and sum(own[1]) == 210
 
 
+def test_substrings_grow_from_one_seed(spark):
+    line = prose(5)
+    got = passages(spark, *(f"{prose(30)} {' '.join([line] * 20)} {prose(40)}" for _ in range(2)))
+    assert {x[0] for x in got} == {0, 1} and all(x[2] >= 100 for x in got)
+    passage = prose(50)  # its first words also stand in an earlier text
+    got = passages(spark, f"{prose(20)} {' '.join(passage.split()[:30])} {prose(40)}", f"{prose(20)} {passage} {prose(30)}", f"{prose(25)} {passage} {prose(30)}")
+    assert {1, 2} <= {x[0] for x in got}
+
+
 def test_chat_round_trip(spark):
     turns = [(1, k, "system" if k == 0 else ("user", "assistant")[k % 2 == 0], f"{prose(random.randint(1, 400))} </s>[INST]&lt;") for k in range(60)] + [(2, None, None, None)]
     r = {x.conv_id: x for x in chat_format.digests(chat_format.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
