@@ -12,9 +12,9 @@ a link costs GAP per word skipped on either side.  As that cost is a sum of
 coordinates, the best predecessor is a prefix maximum in a Fenwick tree.
 
 Alignment.  A chain is a row of exact blocks.  It is split at its worst gap until
-each part has an identity of at least ``identity``; blocks are grown first by the
-words that agree at their ends.  Only then are parts of fewer than LEAST_CHAIN
-words left out.  Spans of a text that overlap are joined;
+each part has an identity of at least ``identity``; parts are grown at both ends
+by alignment until the score falls DROP below its best.  Only then are parts of
+fewer than LEAST_CHAIN words left out.  Spans of a text that overlap are joined;
 those of at least ``min_words`` are returned.
 
 Edge cases: null, empty and short texts have no seeds; texts equal as a whole
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import discard, hot_limit, materialize, narrow, salted, table
 from sparkloom.llm.text import SPACE, Words, blocks, mix, shingles
 
-K, SAMPLE, GAP = 8, 12, 0.15
+K, SAMPLE, GAP = 7, 8, 0.15
 MIN_WORDS, IDENTITY, LEAST_CHAIN = 50, 0.8, 16
-MARGIN = 200
+DROP, MARGIN = 30, 200
 
 
 def minimizers(flat: np.ndarray, bounds: np.ndarray, width: int = SAMPLE) -> np.ndarray:
@@ -209,6 +209,34 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def reach(a: list[int], b: list[int], i: int, j: int, step: int, weight: float) -> tuple[int, int, int]:
+    """Words of a and b, from i and j on by step, up to the best score, and the edits there.
+
+    An edit costs ``weight`` words.  Of each diagonal only the furthest place is
+    kept; it ends where its score is DROP below the best.
+    """
+    n, m = (len(a) - i, len(b) - j) if step > 0 else (i + 1, j + 1)
+    best, top, row, d = (0, 0, 0), 0.0, {0: 0}, 0
+    while row:
+        kept = {}
+        for k, f in row.items():
+            g = f + k
+            while f < n and g < m and a[i + step * f] == b[j + step * g]:
+                f, g = f + 1, g + 1
+            score = max(f, g) - weight * d
+            if score > top:
+                best, top = (f, g, d), score
+            if score >= top - DROP and (f < n or g < m):
+                kept[k] = f
+        row, d = {}, d + 1
+        for k, f in kept.items():
+            g = f + k
+            for to, ff, gg in ((k, f + 1, g + 1), (k + 1, f, g + 1), (k - 1, f + 1, g)):
+                if ff <= n and gg <= m and ff > row.get(to, -1):
+                    row[to] = ff
+    return best
+
+
 def exact_blocks(a: list[int], b: list[int], anchors) -> list[tuple[int, int, int]]:
     """Ordered, disjoint stretches of equal words (start in a, start in b, words) around a chain's matches."""
     out, pi, pj = [], 0, 0
@@ -270,6 +298,8 @@ def _aligned(identity: float):
                     for low, high, d in parts(found, gaps, weight):
                         (s, o_, _), (e, oe, k) = found[low], found[high]
                         e, oe = e + k, oe + k
+                        left, right = reach(a, b, s - 1, o_ - 1, -1, weight), reach(a, b, e, oe, 1, weight)
+                        s, o_, e, oe, d = s - left[0], o_ - left[1], e + right[0], oe + right[1], d + left[2] + right[2]
                         long = max(e - s, oe - o_)
                         if long >= LEAST_CHAIN:
                             held.append((s, e, o_, oe))

@@ -136,6 +136,17 @@ def test_substrings_grow_from_one_seed(spark):
     assert {1, 2} <= {x[0] for x in got}
 
 
+@pytest.mark.parametrize(("every", "least"), [(10, 0.9), (15, 1.0)])
+def test_substrings_with_changed_words(spark, every, least):
+    texts = []
+    for _ in range(40):
+        w = prose(80).split()
+        other = [f"x{random.randrange(10**9)}" if i % every == every // 2 else x for i, x in enumerate(w)]
+        texts += [f"{prose(60)} {' '.join(w)} {prose(60)}", f"{prose(70)} {' '.join(other)} {prose(50)}"]
+    got = {x[0] for x in passages(spark, *texts)}
+    assert sum(2 * k in got and 2 * k + 1 in got for k in range(40)) >= least * 40
+
+
 def test_chat_round_trip(spark):
     turns = [(1, k, "system" if k == 0 else ("user", "assistant")[k % 2 == 0], f"{prose(random.randint(1, 400))} </s>[INST]&lt;") for k in range(60)] + [(2, None, None, None)]
     r = {x.conv_id: x for x in chat_format.digests(chat_format.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
