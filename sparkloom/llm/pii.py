@@ -41,6 +41,11 @@ PATTERNS = {
 #: Syllables that names are made of, by script; the ending tells the gender.
 SYLLABLES = {"latin": "ba be bi bo da de di do fa fi ga go ha jo ka ke ko la le li lo ma me mi mo na ne ni no pa ra re ri ro sa se si so ta te ti to va vi", "cyrillic": "ба ве ви га да де ка ла ле ли ма ме ми на не ни ра ре ри са се си та те ти ва"}
 ENDINGS = {"latin": {"female": "na ra la ta", "male": "n r l t"}, "cyrillic": {"female": "на ра ла та", "male": "н р л т"}}
+#: Every text with an entity matches it: a part that each pattern must contain.
+HINT = (
+    r"@|[0-9]{3}|[0-9]\.[0-9]|AKIA|gh[pousr]_|\bsk-[A-Za-z0-9]{20}|[0-9a-fA-F]{32}|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3}"
+    r"|\b(?:Mrs|Ms|Frau|Mme|Sra|Señora|Madame|Mr|Herr|Sr|Señor|Monsieur|Госпожа|Господин)\.? \p{Lu}"
+)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -119,7 +124,7 @@ def _found(docs: DataFrame) -> DataFrame:
     A cheap test of the whole text comes first: most texts hold none.
     """
     text = F.col("text")
-    hint = text.rlike(r"@|[0-9]{3}|[0-9]\.[0-9]|\b(?:Mrs|Ms|Frau|Mme|Sra|Señora|Madame|Mr|Herr|Sr|Señor|Monsieur|Госпожа|Господин)\b")
+    hint = text.rlike(HINT)
     return docs.select("doc_id", "text", F.when(hint, F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("ents"))
 
 
