@@ -8,8 +8,9 @@ format stay.  The same entity has the same surrogate everywhere (coreference).
 Distinctness.  All distinct entities are gathered with their surrogates; where
 two entities of a type have one surrogate, or a surrogate is itself an entity
 of the texts, all but the smallest take the next try of the keyed function,
-until no collision is left.  These exceptions are joined back; usually there
-are none, and the surrogate is computed where the entity stands.
+until no collision is left.  A person called by both genders has the one
+surrogate of the gender most mentions say.  These exceptions are joined back; the
+other surrogates are computed where the entity stands.
 
 Edge cases: null text stays null with no entities, empty text stays; a null
 doc_id is kept; repeated rows are rewritten alike; an empty table gives an
@@ -133,15 +134,16 @@ def _gender(before: Column) -> Column:
 
 
 def _entities(found: DataFrame) -> DataFrame:
-    """Distinct (entity, gender): a person's gender is the one most of the mentions say."""
+    """Distinct (entity, gender, both): a person's gender is the one most of the mentions say; both marks persons called by either."""
     each = found.where(F.size("ents") > 0).select("ents", F.split("text", _ANY, -1).alias("rest"))
     pair = F.transform("ents", lambda e, i: F.struct(e.alias("entity"), _gender(F.element_at("rest", i + 1)).alias("gender")))
     flat = each.select(F.explode(pair).alias("p")).select("p.*").groupBy("entity", "gender").agg(F.count("*").alias("n"))
-    return flat.groupBy("entity").agg(F.max_by("gender", F.struct("n", "gender")).alias("gender"))
+    one = flat.groupBy("entity").agg(F.max_by("gender", F.struct("n", "gender")).alias("gender"), (F.count("*") > 1).alias("both"))
+    return one.withColumn("both", F.col("both") & (kind_of(F.col("entity")) == "name"))
 
 
 def exceptions(entities: DataFrame) -> DataFrame:
-    """(entity, tries, gender) of entities whose first surrogate would collide, and of persons called by both genders."""
+    """(entity, s) of entities whose first surrogate would collide, and of persons called by both genders."""
     held = materialize(entities.withColumn("tries", F.lit(0)).withColumn("s", surrogate(F.col("entity"), F.col("gender"))))
     while True:
         taken = held.select(F.col("entity").alias("s")).withColumn("real", F.lit(True))
@@ -149,9 +151,9 @@ def exceptions(entities: DataFrame) -> DataFrame:
         clash = held.withColumn("r", F.row_number().over(w)).join(taken, "s", "left").where("r > 1 OR real").select("entity").distinct()
         clash = materialize(clash)
         if clash.isEmpty():
-            return held.where("tries > 0").select("entity", "s")
+            return held.where("tries > 0 OR both").select("entity", "s")
         again = held.join(clash.withColumn("again", F.lit(1)), "entity", "left").withColumn("tries", F.col("tries") + F.coalesce("again", F.lit(0)))
-        held = materialize(again.withColumn("s", surrogate(F.col("entity"), F.col("gender"), F.col("tries"))).select("entity", "gender", "tries", "s"))
+        held = materialize(again.withColumn("s", surrogate(F.col("entity"), F.col("gender"), F.col("tries"))).select("entity", "gender", "both", "tries", "s"))
 
 
 def pseudonymize(docs: DataFrame) -> DataFrame:

@@ -174,6 +174,12 @@ def test_surrogates_of_each_kind_alone(spark):
     assert {r.doc_id for r in got if r.n_entities == 1 and texts[r.doc_id] not in r.text} == set(range(len(texts)))
 
 
+def test_one_surrogate_for_a_name_of_both_genders(spark):
+    rows = [(1, "Mr Kim Lee spoke"), (2, "Ms Kim Lee spoke"), (3, "Ms Kim Lee spoke"), (4, "Mr Sam Poe spoke")]
+    got = {r.doc_id: r.text.split(" ", 1)[1] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == got[3] != got[4] and "Kim" not in got[1]
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=x>Menu</a></nav><div class=ad>Buy</div><article><h1>T &amp; U</h1><p><b>One<br><p>two  three</p><div class='comments'>no</div></article><footer>f</footer>"
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(1, "http://h/a", page), (2, None, None), (3, "http://h/b", "")], "page_id long, url string, html string")).collect()}
