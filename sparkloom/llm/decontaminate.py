@@ -64,6 +64,10 @@ class Index:
         w = Words(pa.array(texts, pa.string()), PUNCT, fold=True)
         flat, bounds = shingles(w.key, w.first, WIDTH)
         self.ids, self.words = np.array(ids, np.int64), np.diff(w.first)
+        for n in range(1, WIDTH):  # brief items are hashed as the texts are for them
+            own, at = shingles(w.key, w.first, n, short=False)
+            brief = np.flatnonzero(self.words == n)
+            flat[bounds[brief]] = own[at[brief]]
         self.sets = [np.unique(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.key, df = np.unique(np.concatenate(self.sets) if self.sets else flat, return_counts=True)
         self.weight = 1.0 / np.sqrt(df)

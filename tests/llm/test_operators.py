@@ -107,6 +107,14 @@ def test_decontamination(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 9)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_decontamination_by_a_brief_item(spark, n):
+    item = " ".join(f"rare{k}" for k in range(n))
+    docs = spark.createDataFrame([(1, f"{prose(40)} {item.upper()}, {prose(20)}"), (2, prose(90)), (3, item), (4, f"rare{n} {prose(3)}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (7, prose(25))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_words, r.similarity) for r in decontaminate.contaminated(docs, bench).collect()) == [(1, 9, n, 1.0), (3, 9, n, 1.0)]
+
+
 def test_substrings(spark):
     passage = prose(60)
     docs = spark.createDataFrame([(1, f"{prose(80)} {passage} {prose(9)}"), (2, f"{passage} {prose(50)}"), (3, prose(120)), (4, None), (5, "")], "doc_id long, text string")
