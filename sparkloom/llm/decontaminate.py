@@ -14,7 +14,7 @@ only stretches around a benchmark shingle are fingerprinted; nothing is lost
 by that.
 
 The benchmark is loaded into every task, so its size is checked first: beyond
-``MOST_ITEM_BYTES`` it is gone through in slices of that size, one pass each.
+``MOST_ITEM_BYTES`` it is gone through in slices of that size, one pass each, with weights of the whole.
 
 Edge cases: items of fewer words than a shingle are one shingle of all their
 words; null or empty items and texts match nothing; repeated items are each
@@ -57,19 +57,41 @@ def _near() -> list[np.ndarray]:
     return [np.flatnonzero(apart[b] <= RADIUS // BLOCKS) for b in range(256)]
 
 
+def item_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Words of each item, shingles with their bounds, and each item's set of them."""
+    w = Words(texts, PUNCT, fold=True)
+    flat, bounds = shingles(w.key, w.first, WIDTH)
+    words = np.diff(w.first)
+    for n in range(1, WIDTH):  # brief items are hashed as the texts are for them
+        own, at = shingles(w.key, w.first, n, short=False)
+        brief = np.flatnonzero(words == n)
+        flat[bounds[brief]] = own[at[brief]]
+    return words, flat, bounds, [np.unique(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _item_keys(batches):
+    for batch in batches:
+        for at, n in blocks(batch.column(0)):
+            sets = item_shingles(batch.column(0).slice(at, n))[3]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["k"])
+
+
+def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several items have, in order, and how many items have each."""
+    got = items.select("text").mapInArrow(_item_keys, "k long").groupBy("k").count().where("count > 1").toArrow()
+    key, df = got.column("k").to_numpy().astype(np.int64).view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(key)
+    return key[order], df[order]
+
+
 class Index:
-    """The items' shingles, weights, fingerprints and block tables."""
-
-    def __init__(self, ids: list[int], texts: list[str | None]):
-        w = Words(pa.array(texts, pa.string()), PUNCT, fold=True)
-        flat, bounds = shingles(w.key, w.first, WIDTH)
-        self.ids, self.words = np.array(ids, np.int64), np.diff(w.first)
-        for n in range(1, WIDTH):  # brief items are hashed as the texts are for them
-            own, at = shingles(w.key, w.first, n, short=False)
-            brief = np.flatnonzero(self.words == n)
-            flat[bounds[brief]] = own[at[brief]]
-        self.sets = [np.unique(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    """The items' shingles, weights, fingerprints and block tables; ``shared`` where they are a slice of all items."""
+
+    def __init__(self, ids: list[int], texts: list[str | None], shared: tuple[np.ndarray, np.ndarray] | None = None):
+        self.words, flat, bounds, self.sets = item_shingles(pa.array(texts, pa.string()))
+        self.ids = np.array(ids, np.int64)
         self.key, df = np.unique(np.concatenate(self.sets) if self.sets else flat, return_counts=True)
+        self.shared, df = shared or (self.key[df > 1], df[df > 1])
         self.weight = 1.0 / np.sqrt(df)
         self.fp = np.zeros((len(ids), 8), np.uint8)
         owner: dict[int, list[tuple[int, int]]] = {}
@@ -91,10 +113,10 @@ class Index:
 
     def weigh(self, keys: np.ndarray) -> np.ndarray:
         """Shingles that no item has weigh as much as those that one item has."""
-        if not len(self.key):
+        if not len(self.shared):
             return np.ones(len(keys))
-        spot = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return np.where(self.key[spot] == keys, self.weight[spot], 1.0)
+        spot = np.minimum(np.searchsorted(self.shared, keys), len(self.shared) - 1)
+        return np.where(self.shared[spot] == keys, self.weight[spot], 1.0)
 
     def lookup(self, fp: np.ndarray) -> list[int]:
         """All items within RADIUS bits of a fingerprint."""
@@ -170,10 +192,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     slices = -(-size // MOST_ITEM_BYTES) or 1
     if slices > 1:
         items = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
+    shared = shared_shingles(items) if slices > 1 else None
     out = None
     for k in range(slices):
         own = (items.where(F.col("slice") == k) if slices > 1 else items).orderBy("item_id").select("item_id", "text").toArrow()
-        index = Index(own.column("item_id").to_pylist(), own.column("text").to_pylist())
+        index = Index(own.column("item_id").to_pylist(), own.column("text").to_pylist(), shared)
         found = docs.select("doc_id", "text").mapInArrow(_matches(index, similarity), _HITS)
         out = found if out is None else out.union(found)
     return out

@@ -115,6 +115,17 @@ def test_decontamination_by_a_brief_item(spark, n):
     assert sorted((r.doc_id, r.item_id, r.n_words, r.similarity) for r in decontaminate.contaminated(docs, bench).collect()) == [(1, 9, n, 1.0), (3, 9, n, 1.0)]
 
 
+def test_decontamination_does_not_depend_on_slices(spark, monkeypatch):
+    stem = prose(12)
+    items = [f"{stem} {prose(14)}" for _ in range(20)]
+    docs = spark.createDataFrame([(i, f"{prose(10)} {t if i % 2 else t.rsplit(' ', 1)[0] + ' other'} {prose(10)}") for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in decontaminate.contaminated(docs, bench).collect())
+    whole = found()
+    monkeypatch.setattr(decontaminate, "MOST_ITEM_BYTES", 400)
+    assert len(whole) >= 20 and found() == whole
+
+
 def test_substrings(spark):
     passage = prose(60)
     docs = spark.createDataFrame([(1, f"{prose(80)} {passage} {prose(9)}"), (2, f"{passage} {prose(50)}"), (3, prose(120)), (4, None), (5, "")], "doc_id long, text string")
