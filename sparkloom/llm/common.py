@@ -116,5 +116,10 @@ MOST_KEYS = 1_000_000
 def narrow(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """big joined to a table of distinct keys; the keys are broadcast if a count
     shows that they are few, otherwise both sides are shuffled."""
+    return narrow_by(big, keys, [on])
+
+
+def narrow_by(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The same for several key columns."""
     few = keys.count() <= MOST_KEYS
     return big.join(F.broadcast(keys) if few else keys, on)

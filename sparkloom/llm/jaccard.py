@@ -22,8 +22,9 @@ every set is described by its difference from the group's centre (the elements
 that most of some of its sets have; any origin gives the same result): |A ^ B| = |D(A) ^ D(B)|.  Sets whose differences are
 short enough together link without a look at them, so all of these link with
 the one that has most to spare; sets beyond it can link only where their
-differences overlap: they are dealt into blocks by the size of the difference,
-and blocks that can hold a link meet, through inverted lists, emitting links only.
+differences overlap: near and far sets are dealt into blocks by the size of the
+difference, and a far block meets each block that can hold a link with it once,
+through inverted lists, emitting links only.
 Near sets never meet each other, so a large group costs little more than its size.
 
 Edge cases: null, empty and wordless texts have no set and link with nothing;
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import MOST_KEYS, discard, hot_limit, materialize, narrow, salted, table
+from sparkloom.llm.common import MOST_KEYS, discard, hot_limit, materialize, narrow, narrow_by, salted, table
 from sparkloom.llm.components import components
 from sparkloom.llm.text import SPACE, Words, blocks, gather, mix, release, shingles
 
@@ -50,6 +51,10 @@ SPARE = 3
 SMALL = 64
 #: Elements of differences, and 16 a set, that one task holds of a large group at a time: about 50 MB with their index.
 BLOCK = 1 << 20
+#: A group's near and far sets are dealt into about PARTS blocks each, unless they hold less than LEAST_BLOCK or more than BLOCK.
+PARTS, LEAST_BLOCK = 8, 1 << 13
+#: Bytes of centres up to which they are broadcast.
+MOST_CENTRES = 32 << 20
 
 
 class Levels:
@@ -248,15 +253,40 @@ def opened_groups(shared: DataFrame, need: DataFrame) -> DataFrame:
     return overlap.join(need, "uid").where("c >= need").select("grp", "uid")
 
 
+def _centres(batches):
+    """Voters (grp, elements), sorted by grp, to (grp, centre): what most of a group's voters have.
+
+    Voters beyond BLOCK elements are not heard, which bounds what a task holds.
+    """
+    group, held, size = None, [], 0
+
+    def closed():
+        if not held:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], names=["grp", "centre"])
+        flat, n = np.unique(np.concatenate(held), return_counts=True)
+        own = flat[2 * n > len(held)]
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own, pa.int64()))], names=["grp", "centre"])
+
+    for batch in batches:
+        for g, e in zip(batch.column(0).to_pylist(), _lists(batch.column(1)), strict=True):
+            if g != group:
+                yield closed()
+                group, held, size = g, [], 0
+            if not held or size + len(e) <= BLOCK:
+                held.append(e.copy())
+                size += len(e)
+        release()
+    yield closed()
+
+
 def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The links that make up the components of groups with over SMALL sets."""
     own = narrow(elements, part, "uid")
     # the centre is only an origin to measure from, any will do: about SMALL sets of each group vote for it
     voters = materialize(part.join(sizes, "grp").where(F.pmod(F.xxhash64("uid", F.lit(1)), F.ceil(F.col("sets") / SMALL)) == 0).select("grp", "uid"))
-    electorate = voters.groupBy("grp").agg(F.count("*").alias("sets"))
-    seen = narrow(elements, voters, "uid").select("grp", F.explode("elements").alias("x")).groupBy("grp", "x").agg(F.count("*").alias("c"))
-    centre = materialize(seen.join(electorate, "grp").where("c * 2 > sets").groupBy("grp").agg(F.sort_array(F.collect_list("x")).alias("centre")))
-    few = centre.count() <= 2_000  # each as long as a set
+    voting = narrow(elements, voters, "uid").select("grp", "elements").repartition("grp").sortWithinPartitions("grp")
+    centre = materialize(voting.mapInArrow(_centres, "grp long, centre array<long>"))
+    few = (centre.agg(F.sum(8 * F.size("centre") + 64).alias("b")).first()["b"] or 0) <= MOST_CENTRES
     with_centre = own.join(F.broadcast(centre) if few else centre, "grp", "left").select("grp", "uid", "elements", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"))
     diffs = materialize(
         with_centre.mapInArrow(_differences, "grp long, uid long, n long, e long, diff array<long>")
@@ -268,30 +298,33 @@ def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent
     star = near.where("slack + spare >= 0 AND uid <> mid").select(F.col("uid").alias("src"), F.col("mid").alias("dst"))
     # sets beyond the middle one's reach can link only with sets whose differences overlap enough; sets are
     # dealt into blocks by the size of their difference, and only blocks that can hold such pairs meet
-    outer = F.col("slack") + F.col("spare") < 0
-    lined = near.withColumn("outer", outer)
-    # the blocks of a group are about equal: sizes that follow each other share one until it is full, a size too frequent is dealt over several
+    lined = near.withColumn("far", F.col("slack") + F.col("spare") < 0)
+    # sizes that follow each other share a block until it is full, a size too frequent is dealt over several
     heavy = F.col("many") * (F.col("e") + 16)
-    upto = W.partitionBy("grp").orderBy("e")
+    whole = W.partitionBy("grp", "far")
+    full = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum(heavy).over(whole) / PARTS)))
+    side = ["grp", "far", "e"]
     chunks = materialize(
-        lined.groupBy("grp", "e").agg(F.count("*").alias("many"))
-        .select("grp", "e", F.floor((F.sum(heavy).over(upto) - heavy) / BLOCK).cast("int").alias("e_at"), F.ceil(heavy / BLOCK).cast("int").alias("chunks"))
+        lined.groupBy(*side).agg(F.count("*").alias("many"))
+        .select(*side, F.floor((F.sum(heavy).over(whole.orderBy("e")) - heavy) / full).cast("int").alias("e_at"), F.ceil(heavy / full).cast("int").alias("chunks"))
     )
     few = chunks.count() <= MOST_KEYS
     dealt = materialize(
-        lined.join(F.broadcast(chunks) if few else chunks, ["grp", "e"])
-        .select("grp", "e_at", F.pmod(F.xxhash64("uid"), F.col("chunks")).alias("chunk"), "uid", "n", "e", "slack", "outer", "diff")
+        lined.join(F.broadcast(chunks) if few else chunks, side)
+        .select("grp", "far", "e_at", F.pmod(F.xxhash64("uid"), F.col("chunks")).alias("chunk"), "uid", "n", "e", "slack", "diff")
     )
-    block = ["grp", "e_at", "chunk"]
-    table = materialize(dealt.groupBy(*block).agg(F.max("e").alias("e"), F.max("slack").alias("slack"), F.max(F.when(F.col("outer"), F.col("slack"))).alias("far"), F.max(F.when(F.col("outer"), F.col("e"))).alias("far_e")))
-    one = table.where("far IS NOT NULL").select("grp", F.col("e_at").alias("ea"), F.col("chunk").alias("ca"), "far", "far_e")
-    two = table.select("grp", F.col("e_at").alias("eb"), F.col("chunk").alias("cb"), "e", "slack")
-    met = materialize(one.join(two, "grp").where(-(F.col("far") + F.col("slack")) <= 2 * (100 + percent) * F.least("far_e", "e")).withColumn("meet", F.xxhash64("grp", "ea", "ca", "eb", "cb")))
+    block = ["grp", "far", "e_at", "chunk"]
+    table = materialize(dealt.groupBy(*block).agg(F.max("e").alias("e"), F.max("slack").alias("slack")))
+    one = table.where("far").select("grp", F.struct("e_at", "chunk").alias("a"), F.col("e").alias("ea"), F.col("slack").alias("sa"))
+    two = table.select("grp", F.col("far").alias("far_b"), F.struct("e_at", "chunk").alias("b"), "e", "slack")
+    able = -(F.col("sa") + F.col("slack")) <= 2 * (100 + percent) * F.least("ea", "e")
+    met = materialize(one.join(two, "grp").where(able & (~F.col("far_b") | (F.col("a") >= F.col("b")))).withColumn("meet", F.monotonically_increasing_id()))
     row = ["meet", "side", "uid", "n", "e", "diff"]
-    b = dealt.join(met.select("grp", F.col("eb").alias("e_at"), F.col("cb").alias("chunk"), "meet"), block).withColumn("side", F.lit(0)).select(*row)
-    a = dealt.where("outer").join(met.select("grp", F.col("ea").alias("e_at"), F.col("ca").alias("chunk"), "meet"), block).withColumn("side", F.lit(1)).select(*row)
-    far = b.union(a).repartition("meet").sortWithinPartitions("meet", "side").mapInArrow(_met(percent), "src long, dst long")
-    return star.union(far)
+    to_b = met.select("grp", F.col("far_b").alias("far"), "b.e_at", "b.chunk", "meet", F.lit(0).alias("side"))
+    to_a = met.select("grp", F.lit(True).alias("far"), "a.e_at", "a.chunk", "meet", F.lit(1).alias("side"))
+    meeting = narrow_by(dealt, to_b.union(to_a), block).select(*row)
+    found = meeting.repartition("meet").sortWithinPartitions("meet", "side").mapInArrow(_met(percent), "src long, dst long")
+    return star.union(found)
 
 
 def _met(percent: int):
