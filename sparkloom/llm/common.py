@@ -93,6 +93,21 @@ def hot_limit(total: int, groups: int = 1024, least: int = 200) -> int:
     return max(least, -(-total // groups))
 
 
+#: Texts in which common keys are looked for.
+SAMPLED = 10_000
+
+
+def frequent(rows: DataFrame, key: str, by: str, total: int) -> DataFrame | None:
+    """(key, hot): keys that look to be in more than hot_limit of rows' texts, judged by a sample of the ``by``; None without any.
+
+    Only the way that a key's rows take may hang on it, never a result.
+    """
+    share = min(1.0, SAMPLED / max(total, 1))
+    some = rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 20)) < int(share * (1 << 20)))
+    hot = materialize(some.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > max(4.0, hot_limit(total) * share)).select(key, F.lit(True).alias("hot")))
+    return None if hot.isEmpty() else hot
+
+
 def null_safe(*pairs: tuple[Column, Column]) -> Column:
     out = None
     for a, b in pairs:

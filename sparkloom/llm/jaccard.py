@@ -27,6 +27,10 @@ difference, and a far block meets each block that can hold a link with it once,
 through inverted lists, emitting links only.
 Near sets never meet each other, so a large group costs little more than its size.
 
+Hot tokens.  A family of a third of all sets has tokens as common.  Tokens that
+look common in a sample of the sets are counted with a sum that combines before
+the shuffle instead of a window; which way a token goes changes no result.
+
 Edge cases: null, empty and wordless texts have no set and link with nothing;
 repeated rows have one set and thus link; a null doc_id takes part but names
 no component; an empty table gives an empty result; extra columns are ignored.
@@ -42,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import MOST_KEYS, discard, hot_limit, materialize, narrow, narrow_by, salted, table
+from sparkloom.llm.common import MOST_KEYS, discard, frequent, hot_limit, materialize, narrow, narrow_by, salted, table
 from sparkloom.llm.components import components
 from sparkloom.llm.text import SPACE, Words, blocks, gather, mix, release, shingles
 
@@ -392,7 +396,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     key = ["n", "s0", "s1"]
     same = materialize(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m"), F.count("*").alias("size")).select(*key, "m.doc_id", "m.uid", "size"))
     every = narrow(full.select("uid", "tokens"), same.select("uid"), "uid").select("uid", F.explode("tokens").alias("token"))
-    shared = materialize(_repeated(every))
+    shared = materialize(_repeated(every, total))
     discard(full)  # the tokens that one set alone has are of no more use
     part = materialize(opened_groups(shared, rows.select("uid", "need")))
     sizes = materialize(part.groupBy("grp").agg(F.count("*").alias("sets")).where("sets > 1"))
@@ -417,11 +421,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     return linked.union(alone)
 
 
-def _repeated(every: DataFrame) -> DataFrame:
+def _repeated(every: DataFrame, total: int) -> DataFrame:
     """The (token, uid) rows whose token at least two sets have, and the token's smallest set."""
     same = W.partitionBy("token")
-    both = every.select("*", F.count("*").over(same).alias("c"), F.min("uid").over(same).alias("leader"))
-    return both.where("c > 1").select("token", "uid", "leader")
+    window = lambda rows: rows.select("token", "uid", F.count("*").over(same).alias("c"), F.min("uid").over(same).alias("leader")).where("c > 1").select("token", "uid", "leader")
+    hot = frequent(every, "token", "uid", total)
+    if hot is None:
+        return window(every)
+    small = hot.count() <= MOST_KEYS
+    marked = every.join(F.broadcast(hot) if small else hot, "token", "left")
+    common = marked.where("hot").select("token", "uid")
+    led = materialize(common.groupBy("token").agg(F.count("*").alias("c"), F.min("uid").alias("leader")).where("c > 1").select("token", "leader"))
+    return window(marked.where("hot IS NULL")).union(common.join(F.broadcast(led) if small else led, "token").select("token", "uid", "leader"))
 
 
 def _place():
