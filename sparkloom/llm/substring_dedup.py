@@ -13,9 +13,22 @@ coordinates, the best predecessor is a prefix maximum in a Fenwick tree.
 
 Alignment.  A chain is a row of exact blocks.  It is split at its worst gap until
 each part has an identity of at least ``identity``; parts are grown at both ends
-by alignment until the score falls DROP below its best.  Only then are parts of
-fewer than LEAST_CHAIN words left out.  Spans of a text that overlap are joined;
-those of at least ``min_words`` are returned.
+by alignment until the score falls DROP below its best.  A gap of over MOST_GAP
+words without a seed in common counts as changed throughout.
+
+Further rounds.  Where the seeds of a passage first occur in several earlier texts,
+its copies see only short parts.  So the parts of a text are joined, and stretches
+of at least ``min_words`` go into another round with what no single text covers of
+them, and with the seeds there alone: short earlier pieces are gone from it.  There an occurrence is also matched to the one before it, in a seed's order of texts.
+Rounds end when one finds nothing more.
+
+Spans of parts of at least ``min_words`` that overlap in a text are joined and
+returned; what a text has in common with several others, none of which holds
+``min_words`` of it, isn't a passage.
+
+Hot seeds.  A seed that looks common in a sample of the texts gets its first
+occurrence from a sum that combines before the shuffle, and its occurrences are
+dealt over salts; which way a seed goes changes no first occurrence.
 
 Edge cases: null, empty and short texts have no seeds; texts equal as a whole
 are one span each if long enough; repeats inside one text are no passages that
@@ -31,12 +44,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import discard, hot_limit, materialize, narrow, salted, table
+from sparkloom.llm.common import MOST_KEYS, discard, frequent, hot_limit, materialize, narrow, salted, table
 from sparkloom.llm.text import SPACE, Words, blocks, mix, shingles
 
 K, SAMPLE, GAP = 7, 8, 0.15
-MIN_WORDS, IDENTITY, LEAST_CHAIN = 50, 0.8, 16
-DROP, MARGIN = 30, 200
+MIN_WORDS, IDENTITY = 50, 0.8
+DROP, MARGIN, MOST_GAP = 30, 200, 4096
 
 
 def minimizers(flat: np.ndarray, bounds: np.ndarray, width: int = SAMPLE) -> np.ndarray:
@@ -57,6 +70,13 @@ def minimizers(flat: np.ndarray, bounds: np.ndarray, width: int = SAMPLE) -> np.
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def signatures(w: Words) -> list[np.ndarray]:
+    """128 bits of each whole text, in two columns; each word's hash is weighed by its place, as order matters."""
+    place = np.arange(len(w.key), dtype=np.uint64) - np.repeat(w.first[:-1], np.diff(w.first)).astype(np.uint64)
+    total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(w.key + mix(place + np.uint64(s)))))) for s in (1, 99)]
+    return [(t[w.first[1:]] - t[w.first[:-1]]).view(np.int64) for t in total]
+
+
 def _seeded(batches):
     for batch in batches:
         for at, n in blocks(batch.column(1)):
@@ -75,10 +95,7 @@ def _seeded(batches):
             spot, run = spot[back], run[back]
             cuts = np.searchsorted(spot, bounds).astype(np.int32)
             pos = spot - bounds[np.searchsorted(bounds, spot, side="right") - 1]
-            # order matters in a signature of the whole text: weigh each word's hash by its place
-            place = np.arange(len(w.key), dtype=np.uint64) - np.repeat(w.first[:-1], np.diff(w.first)).astype(np.uint64)
-            total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(w.key + mix(place + np.uint64(s)))))) for s in (1, 99)]
-            sig = [(t[w.first[1:]] - t[w.first[:-1]]).view(np.int64) for t in total]
+            sig = signatures(w)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(w.first), pa.int64()), pa.array(sig[0]), pa.array(sig[1]),
@@ -195,8 +212,8 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
     while tail < n and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        return len(a) + len(b)
+    if not len(a) or not len(b) or max(len(a), len(b)) > MOST_GAP:
+        return max(len(a), len(b))
     if len(a) > len(b):
         a, b = b, a
     if len(a) == 1:
@@ -300,10 +317,8 @@ def _aligned(identity: float):
                         e, oe = e + k, oe + k
                         left, right = reach(a, b, s - 1, o_ - 1, -1, weight), reach(a, b, e, oe, 1, weight)
                         s, o_, e, oe, d = s - left[0], o_ - left[1], e + right[0], oe + right[1], d + left[2] + right[2]
-                        long = max(e - s, oe - o_)
-                        if long >= LEAST_CHAIN:
-                            held.append((s, e, o_, oe))
-                            out.append((u[r], o[r], s + a0[r], e + a0[r], o_ + b0[r], oe + b0[r], 1 - d / long))
+                        held.append((s, e, o_, oe))
+                        out.append((u[r], o[r], s + a0[r], e + a0[r], o_ + b0[r], oe + b0[r], 1 - d / max(e - s, oe - o_)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()], strict=True)],
                 names=["uid", "other", "s", "e", "os", "oe", "identity"],
@@ -313,16 +328,17 @@ def _aligned(identity: float):
 
 
 def _words(batches):
+    """(text, uid, s0) to (uid, words); rows that only their hash brought here go."""
     for batch in batches:
         for at, n in blocks(batch.column(0)):
             w = Words(batch.column(0).slice(at, n), SPACE)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(at, n), pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array((w.key >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["uid", "words"]
-            )
+            meant = pa.array(signatures(w)[0] == batch.column(2).slice(at, n).to_numpy())
+            lists = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array((w.key >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, n).filter(meant), lists.filter(meant)], names=["uid", "words"])
 
 
 def _joined(batches):
-    """Spans (uid, s, e, other, identity), sorted by uid and s, with overlapping ones joined."""
+    """Spans (uid, s, e, other, identity), sorted by uid and s, with overlapping ones joined; other: that of the longest."""
     held, out = None, []
     for batch in batches:
         for u, s, e, o, d in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -343,6 +359,92 @@ def _spans(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64()], strict=True)], names=["uid", "s", "e", "other", "identity"])
 
 
+def uncovered(spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """What spans of under min_words, in order, cover beside the longer ones."""
+    out, done = [], 0
+    long = [x for x in spans if x[1] - x[0] >= min_words] + [(1 << 60, 1 << 60)]
+    for s, e in spans:
+        if e - s >= min_words:
+            continue
+        s = max(s, done)
+        for a, b in long:
+            if a >= e:
+                break
+            if b > s:
+                if a > s:
+                    out.append((s, a))
+                s = b
+        if e > s:
+            out.append((s, e))
+        done = max(done, e)
+    return out
+
+
+def _open(min_words: int):
+    """Spans (uid, s, e), sorted by uid and s: what no span of min_words covers of stretches so long that spans fill, but for gaps without a whole seed."""
+
+    def run(batches):
+        uid, stretch, end, out = None, [], 0, []
+
+        def close():
+            if stretch and end - stretch[0][0] >= min_words:
+                out.extend((uid, *x) for x in uncovered(stretch, min_words))
+
+        for batch in batches:
+            for u, s, e in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if u != uid or s > end + K + SAMPLE:
+                    close()
+                    uid, stretch, end = u, [], 0
+                stretch.append((s, e))
+                end = max(end, e)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, [pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["uid", "s", "e"])
+            out = []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, [pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["uid", "s", "e"])
+
+    return run
+
+
+def matches(seeds: DataFrame, total: int, neighbours: bool) -> DataFrame:
+    """(uid, p, other, op): occurrences of seeds(uid, h, p, r) beside their seed's first one in another of total texts; neighbours: beside the one before them too."""
+    first = F.min(F.struct((-F.col("r")).alias("m"), "uid", "p"))
+    before = F.lag(F.struct("uid", "p"))
+
+    def beside(rows: DataFrame, own) -> DataFrame:
+        ends = [F.struct(F.col("first.uid").alias("other"), F.col("first.p").alias("op"))]
+        if neighbours:
+            rows = rows.withColumn("before", before.over(own.orderBy("uid", "p")))
+            ends.append(F.when(F.col("before.uid") != F.col("first.uid"), F.struct(F.col("before.uid").alias("other"), F.col("before.p").alias("op"))))
+        return rows.select("uid", "p", F.explode(F.array(*ends)).alias("x")).select("uid", "p", "x.*").where("uid <> other")
+
+    own = W.partitionBy("h")
+    hot = frequent(seeds, "h", "uid", total)
+    if hot is None:
+        return beside(seeds.withColumn("first", first.over(own)), own)
+    small = hot.count() <= MOST_KEYS
+    marked = seeds.join(F.broadcast(hot) if small else hot, "h", "left")
+    common = marked.where("hot").select("uid", "h", "p", "r")
+    led = materialize(common.groupBy("h").agg(first.alias("first"), F.ceil(F.count("*") / hot_limit(total)).alias("salts")))
+    dealt = common.join(F.broadcast(led) if small else led, "h").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")))
+    rare = marked.where("hot IS NULL").select("uid", "h", "p", "r").withColumn("first", first.over(own))
+    return beside(rare, own).union(beside(dealt, W.partitionBy("h", "salt")))
+
+
+def aligned_parts(found: DataFrame, words: DataFrame, identity: float) -> DataFrame:
+    """The parts (uid, other, s, e, os, oe, identity) of chains, as the words of both texts say."""
+    # only the stretch around chains travels: as much again as they are long, on either side
+    margin = F.greatest(F.col("e") - F.col("s"), F.col("oe") - F.col("os"), F.lit(MARGIN))
+    cut = lambda d, low, high: F.slice(d, F.greatest(low - margin, F.lit(0)) + 1, high - low + 2 * margin)
+    held = ["uid", "other", "x", "y", "n"]
+    left = found.join(words, "uid").select(*held, "s", "e", "os", "oe", cut(F.col("words"), F.col("s"), F.col("e")).alias("a"), F.greatest(F.col("s") - margin, F.lit(0)).alias("a0"))
+    # a text may be the first one of very many: they are dealt over salts, it goes to each
+    sizes = found.groupBy("other").agg(F.count("*").alias("size"))
+    firsts = materialize(words.select(F.col("uid").alias("other"), "words").join(sizes, "other"))
+    dealt, spread = salted(left, firsts, ["other"], "size", hot_limit(found.count()))
+    both = dealt.join(spread, ["other", "_salt"]).withColumn("b", cut(F.col("words"), F.col("os"), F.col("oe"))).withColumn("b0", F.greatest(F.col("os") - margin, F.lit(0)))
+    return both.select(*held, "a", "b", "a0", "b0").mapInArrow(_aligned(identity), "uid long, other long, s int, e int, os int, oe int, identity double")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """One row per passage of docs(doc_id, text) that another text also holds.
 
@@ -359,25 +461,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     total = rows.count()
     key = ["n", "s0", "s1"]
     same = materialize(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("m"), F.count("*").alias("size")).select(*key, "m.doc_id", "m.uid", "size"))
-    seeds = narrow(full.select("uid", "h", "p", "r"), same.select("uid"), "uid").select("uid", F.explode(F.arrays_zip("h", "p", "r")).alias("x")).select("uid", "x.*")
-    own = W.partitionBy("h")
-    matched = seeds.withColumn("first", F.min(F.struct((-F.col("r")).alias("m"), "uid", "p", "r")).over(own)).where("uid <> first.uid")
-    matches = materialize(matched.select("uid", "p", F.col("first.uid").alias("other"), F.col("first.p").alias("op")))
+    every = narrow(full.select("uid", "h", "p", "r"), same.select("uid"), "uid").select("uid", F.explode(F.arrays_zip("h", "p", "r")).alias("x")).select("uid", "x.*")
+    seeds, words, every_part, done = every, None, None, False
+    while True:
+        found = materialize(matches(seeds, total, done).repartition("uid").sortWithinPartitions("uid", "other", "p").mapInArrow(_chained, _CHAIN))
+        if words is None:
+            wanted = materialize(found.select("uid").union(found.select("other")).distinct().join(rows.select("uid", "place", "s0"), "uid"))
+            words = materialize(narrow(docs.select("text", place), wanted, "place").select("text", "uid", "s0").mapInArrow(_words, "uid long, words array<int>").dropDuplicates(["uid"]))
+        parts = aligned_parts(found, words, identity)
+        ends = F.explode(F.array(F.struct("uid", "s", "e", "other", "identity"), F.struct(F.col("other").alias("uid"), F.col("os").alias("s"), F.col("oe").alias("e"), F.col("uid").alias("other"), "identity")))
+        parts = materialize(parts.select(ends.alias("x")).select("x.*").groupBy("uid", "s", "e").agg(F.min("other").alias("other"), F.max("identity").alias("identity")))
+        long = F.col("e") - F.col("s") >= min_words
+        if done and parts.where(long).isEmpty():
+            break
+        every_part = parts if every_part is None else materialize(every_part.where(long).union(parts))
+        done = True
+        left = materialize(every_part.select("uid", "s", "e").repartition("uid").sortWithinPartitions("uid", "s").mapInArrow(_open(min_words), "uid long, s int, e int"))
+        if left.isEmpty():
+            break
+        seeds = materialize(every.join(left, "uid").where("p >= s AND p < e").select("uid", "h", "p", "r").distinct())
+    spans = every_part.where(F.col("e") - F.col("s") >= min_words)
+    merged = materialize(spans.repartition("uid").sortWithinPartitions("uid", "s").mapInArrow(_joined, "uid long, s int, e int, other long, identity double"))
     discard(full)
-    found = materialize(matches.repartition("uid").sortWithinPartitions("uid", "other", "p").mapInArrow(_chained, _CHAIN))
-    wanted = materialize(found.select("uid").union(found.select("other")).distinct().join(rows.select("uid", "place"), "uid"))
-    words = materialize(narrow(docs.select("text", place), wanted, "place").select("text", "uid").mapInArrow(_words, "uid long, words array<int>").dropDuplicates(["uid"]))
-    # only the stretch around chains travels: as much again as they are long, on either side
-    margin = F.greatest(F.col("e") - F.col("s"), F.col("oe") - F.col("os"), F.lit(MARGIN))
-    cut = lambda d, low, high: F.slice(d, F.greatest(low - margin, F.lit(0)) + 1, high - low + 2 * margin)
-    held = ["uid", "other", "x", "y", "n"]
-    left = found.join(words, "uid").select(*held, "s", "e", "os", "oe", cut(F.col("words"), F.col("s"), F.col("e")).alias("a"), F.greatest(F.col("s") - margin, F.lit(0)).alias("a0"))
-    both = left.join(words.select(F.col("uid").alias("other"), "words"), "other").withColumn("b", cut(F.col("words"), F.col("os"), F.col("oe"))).withColumn("b0", F.greatest(F.col("os") - margin, F.lit(0)))
-    aligned = materialize(both.select(*held, "a", "b", "a0", "b0").mapInArrow(_aligned(identity), "uid long, other long, s int, e int, os int, oe int, identity double"))
-    spans = aligned.select("uid", "s", "e", "other", "identity").union(aligned.select("other", "os", "oe", "uid", "identity"))
-    spans = spans.groupBy("uid", "s", "e").agg(F.min("other").alias("other"), F.max("identity").alias("identity"))
-    merged = spans.repartition("uid").sortWithinPartitions("uid", "s").mapInArrow(_joined, "uid long, s int, e int, other long, identity double").where(F.col("e") - F.col("s") >= min_words)
-    merged = materialize(merged)
     single = same.where("size = 1").select("uid", "doc_id").join(merged, "uid").join(rows.select(F.col("uid").alias("other"), F.col("doc_id").alias("other_id")), "other")
     part = single.select("doc_id", F.col("s").alias("start_word"), (F.col("e") - F.col("s")).cast("long").alias("n_words"), "other_id", "identity", F.lit(False).alias("whole"))
     several = same.where((F.col("size") > 1) & (F.col("n") >= min_words)).withColumnRenamed("doc_id", "other_id").drop("uid")
