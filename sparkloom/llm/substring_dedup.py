@@ -436,11 +436,15 @@ def aligned_parts(found: DataFrame, words: DataFrame, identity: float) -> DataFr
     margin = F.greatest(F.col("e") - F.col("s"), F.col("oe") - F.col("os"), F.lit(MARGIN))
     cut = lambda d, low, high: F.slice(d, F.greatest(low - margin, F.lit(0)) + 1, high - low + 2 * margin)
     held = ["uid", "other", "x", "y", "n"]
-    left = found.join(words, "uid").select(*held, "s", "e", "os", "oe", cut(F.col("words"), F.col("s"), F.col("e")).alias("a"), F.greatest(F.col("s") - margin, F.lit(0)).alias("a0"))
+    own = narrow(words, found.select("uid").distinct(), "uid")
+    left = found.join(own, "uid").select(*held, "s", "e", "os", "oe", cut(F.col("words"), F.col("s"), F.col("e")).alias("a"), F.greatest(F.col("s") - margin, F.lit(0)).alias("a0"))
     # a text may be the first one of very many: they are dealt over salts, it goes to each
-    sizes = found.groupBy("other").agg(F.count("*").alias("size"))
-    firsts = materialize(words.select(F.col("uid").alias("other"), "words").join(sizes, "other"))
-    dealt, spread = salted(left, firsts, ["other"], "size", hot_limit(found.count()))
+    sizes = materialize(found.groupBy("other").agg(F.count("*").alias("size")))
+    limit = hot_limit(sizes.agg(F.sum("size")).first()[0] or 0)
+    hot = F.broadcast(sizes.where(F.col("size") > limit).select("other", F.ceil(F.col("size") / limit).alias("salts")))
+    dealt = left.join(hot, "other", "left").withColumn("_salt", F.pmod(F.xxhash64("uid", "s", "e"), F.coalesce("salts", F.lit(1).cast("long")))).drop("salts")
+    others = narrow(words.select(F.col("uid").alias("other"), "words"), sizes.select("other"), "other").join(hot, "other", "left")
+    spread = others.select("other", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)).alias("_salt"))
     both = dealt.join(spread, ["other", "_salt"]).withColumn("b", cut(F.col("words"), F.col("os"), F.col("oe"))).withColumn("b0", F.greatest(F.col("os") - margin, F.lit(0)))
     return both.select(*held, "a", "b", "a0", "b0").mapInArrow(_aligned(identity), "uid long, other long, s int, e int, os int, oe int, identity double")
 
