@@ -1,24 +1,37 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are found by patterns.  Each is replaced by a surrogate of its own
-type that a key determines: digits by digits, letters by letters of the same
-case, names by names of the same gender and script, so length, separators and
-format stay.  The same entity has the same surrogate everywhere (coreference).
-
-Distinctness.  All distinct entities are gathered with their surrogates; where
-two entities of a type have one surrogate, or a surrogate is itself an entity
-of the texts, all but the smallest take the next try of the keyed function,
-until no collision is left.  A person called by both genders has the one
-surrogate of the gender most mentions say.  These exceptions are joined back; the
+Entities are found by patterns; a person's name is found behind a title, and then
+wherever one of its words stands in the same text.  Each entity is replaced by a
+surrogate of its own type that a key determines.  Letters and digits become others
+of their class, so length, separators and format stay; beyond that
+- an IBAN keeps its country, a card its first digit, and both a valid check digit;
+- an address on the net keeps the lengths of its numbers, an e-mail address its last label;
+- a secret keeps a known prefix;
+- a name's words become words of the same script and case.  A first name has an
+  ending of its person's gender; a word that is a family name has none.
+The same entity has the same surrogate everywhere (coreference), and so has each
+word of a name: Mr Smith, SMITH and Mr John Smith share one.
+
+Distinctness.  All distinct entities (of names: words, in lower case) are gathered
+with their surrogates; where two entities have one surrogate, or a surrogate is
+itself an entity of the texts, all but the smallest take the next try of the keyed
+function, until no collision is left.  From WIDEN tries on, surrogates grow longer
+(an address on the net may have any numbers), so that a type whose format is full
+of real entities ends too; MOST_TRIES would be an error.  A word that mentions
+disagree on (first name of both genders, or a family name elsewhere) has the one
+surrogate that most of the texts ask for.  These exceptions are joined back; the
 other surrogates are computed where the entity stands.
 
 Edge cases: null text stays null with no entities, empty text stays; a null
 doc_id is kept; repeated rows are rewritten alike; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored.  Names in scripts without syllables below
+keep their length and script, not a gender; without a title no name is found.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,7 +39,15 @@ from pyspark.sql import Window as W
 from sparkloom.llm.common import MOST_KEYS, materialize, table
 
 KEY = "sparkloom"
-
+WIDEN, MOST_TRIES = 4, 100
+
+#: A word of a name: with capitals, or of a script that has none.
+NAME = r"(?:\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{Lu}[\p{L}\p{M}]+)+|\p{Lu}[\p{L}\p{M}]+|\p{IsHan}{2,4}|(?!\p{IsHan})\p{Lo}[\p{Lo}\p{M}]+)"
+WORD = r"[\p{L}\p{M}]+"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# Titles by gender.
+FEMALE = "Mrs Ms Miss Frau Mme Sra Señora Madame Госпожа Κυρία".split()
+MALE = "Mr Herr Sr Señor Monsieur Господин Κύριος".split()
 #: Patterns by type, in the order in which they take precedence.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -34,26 +55,36 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "ip": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
+    "ip": rf"(?<![0-9.])(?<![Vv]ersion )(?<![Vv])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|\b[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}\b|\+[0-9]{8,14}\b",
-    "female": r"(?<=\b(?:Mrs|Ms|Frau|Mme|Sra|Señora|Madame|Госпожа)\.? )\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
-    "male": r"(?<=\b(?:Mr|Herr|Sr|Señor|Monsieur|Господин)\.? )\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "name": rf"(?<=\b(?:{'|'.join(FEMALE + MALE)})\.? ){NAME}(?: {NAME})?",
 }
 #: Syllables that names are made of, by script; the ending tells the gender.
-SYLLABLES = {"latin": "ba be bi bo da de di do fa fi ga go ha jo ka ke ko la le li lo ma me mi mo na ne ni no pa ra re ri ro sa se si so ta te ti to va vi", "cyrillic": "ба ве ви га да де ка ла ле ли ма ме ми на не ни ра ре ри са се си та те ти ва"}
-ENDINGS = {"latin": {"female": "na ra la ta", "male": "n r l t"}, "cyrillic": {"female": "на ра ла та", "male": "н р л т"}}
-#: Every text with an entity matches it: a part that each pattern must contain.
-HINT = (
-    r"@|[0-9]{3}|[0-9]\.[0-9]|AKIA|gh[pousr]_|\bsk-[A-Za-z0-9]{20}|[0-9a-fA-F]{32}|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3}"
-    r"|\b(?:Mrs|Ms|Frau|Mme|Sra|Señora|Madame|Mr|Herr|Sr|Señor|Monsieur|Госпожа|Господин)\.? \p{Lu}"
-)
+SYLLABLES = {
+    "latin": "ba be bi bo da de di do fa fi ga go ha jo ka ke ko la le li lo ma me mi mo na ne ni no pa ra re ri ro sa se si so ta te ti to va vi",
+    "cyrillic": "ба ве ви га да де ка ла ле ли ма ме ми на не ни ра ре ри са се си та те ти ва",
+    "greek": "βα γα δα δε ζα θε κα κε λα λε λι μα με μι να νε νι πα ρα ρε ρι σα σε σι τα τε τι φα χα",
+}
+ENDINGS = {"latin": {"female": "na ra la ta", "male": "n r l t"}, "cyrillic": {"female": "на ра ла та", "male": "н р л т"}, "greek": {"female": "να ρα λη τη", "male": "νος ρος λης της"}}
+#: Letters of other scripts, by their range in Unicode (first, step, how many).
+RANGES = {
+    "Han": (0x4E00, 64, 256), "Hangul": (0xAC00, 28, 256), "Hiragana": (0x304B, 1, 40), "Katakana": (0x30AB, 1, 40), "Arabic": (0x0628, 1, 17),
+    "Hebrew": (0x05D0, 1, 27), "Devanagari": (0x0915, 1, 37), "Thai": (0x0E01, 1, 46), "Georgian": (0x10D0, 1, 33), "Armenian": (0x0561, 1, 38),
+}
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def hinted(text: Column) -> Column:
+    """Whether a text may hold an entity: every pattern implies one of these, and each is a plain search."""
+    words = ["@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", *{t[:2] if t.isascii() else t for t in FEMALE + MALE}]
+    tests = [F.contains(text, F.lit(w)) for w in words] + [text.rlike(p) for p in (r"[0-9]{3}", r"[0-9]\.[0-9]", r"[A-Z]{2}[0-9]{2}", r"[0-9a-fA-F]{32}")]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def kind_of(e: Column) -> Column:
-    """The type of an entity that _ANY has found; names by gender come from their title and are told apart by what is left."""
+    """The type of an entity that was found; what no other pattern fits is a name."""
     out = None
-    for kind in ("email", "secret", "iban", "card", "ssn", "ip", "phone"):
+    for kind in list(PATTERNS)[:-1]:
         test = e.rlike(f"^(?:{PATTERNS[kind]})$")
         out = F.when(test, kind) if out is None else out.when(test, kind)
     return out.otherwise("name")
@@ -71,89 +102,177 @@ def _nibble(d: Column, i: Column) -> Column:
     return F.conv(d.substr(at, F.lit(2)), 16, 10).cast("int")
 
 
+def _pick(alphabet: str, n: Column) -> Column:
+    return F.lit(alphabet).substr((F.pmod(n, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+
+
 def _char(c: Column, n: Column, hexed: Column) -> Column:
     """A character of the same class, chosen by n."""
-    pick = lambda alphabet: F.lit(alphabet).substr((F.pmod(n, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
     return (
-        F.when(c.rlike("[0-9]"), pick("0123456789"))
-        .when(hexed & c.rlike("[a-f]"), pick("abcdef"))
-        .when(hexed & c.rlike("[A-F]"), pick("ABCDEF"))
-        .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
-        .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        F.when(c.rlike("[0-9]"), _pick("0123456789", n))
+        .when(hexed & c.rlike("[a-f]"), _pick("abcdef", n))
+        .when(hexed & c.rlike("[A-F]"), _pick("ABCDEF", n))
+        .when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n))
+        .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
         .otherwise(c)
     )
 
 
+def _chars(e: Column) -> Column:
+    return F.split(e, "(?!^)", -1)
+
+
+def _mod97(e: Column) -> Column:
+    """Of letters and digits as an IBAN counts them; what is neither counts for nothing."""
+    value = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).when(c.rlike("[A-Z]"), (a * 100 + F.ascii(c) - 55) % 97).otherwise(a)
+    return F.aggregate(_chars(e), F.lit(0), value)
+
+
+def _luhn(digits: Column) -> Column:
+    """The Luhn sum of a string of digits, modulo 10."""
+    each = F.transform(_chars(F.reverse(digits)), lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(c.try_cast("int") * 2 - F.when(c >= "5", 9).otherwise(0)))
+    return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
+
+
+def _iban(e: Column, spelled: Column) -> Column:
+    """The country and the spelled rest, with check digits that hold if e's do."""
+    land, rest = e.substr(1, 2), spelled.substr(F.lit(5), F.length(e))
+    check = F.lpad((98 - _mod97(F.concat(rest, land, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(e.substr(F.lit(5), F.length(e)), e.substr(1, 4))) == 1
+    return F.concat(land, F.when(valid, check).otherwise(spelled.substr(3, 2)), rest)
+
+
+def _card(e: Column, spelled: Column) -> Column:
+    """The first digit and the spelled rest, with a last digit that holds if e's does."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    head = F.concat(e.substr(1, 1), spelled.substr(F.lit(2), F.length(e) - 2))
+    last = F.pmod(10 - _luhn(F.concat(digits(head), F.lit("0"))), F.lit(10)).cast("string")
+    return F.concat(head, F.when(_luhn(digits(e)) == 0, last).otherwise(F.substring(spelled, -1, 1)))
+
+
+def _octet(o: Column, n: Column, free: Column) -> Column:
+    """A number of as many digits, or any."""
+    return F.when(free, n % 256).when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10).otherwise(n % 156 + 100).cast("string")
+
+
 def _by_format(kind: Column, e: Column, tries: Column) -> Column:
-    """Every letter and digit replaced by one of its class; domains keep their last label, octets stay below 256."""
+    """Every letter and digit replaced by one of its class, but for what the type keeps."""
     d = _digest(kind, e, tries)
     fixed = F.when(kind == "email", F.length(F.regexp_extract(e, r"\.[A-Za-z]+$", 0))).otherwise(0)
-    chars = F.split(e, "(?!^)", -1)
+    head = F.when(kind == "secret", F.length(F.regexp_extract(e, "^(?:AKIA|gh[pousr]_|sk-)", 0))).otherwise(0)
     hexed = kind == "secret"
-    spelled = F.transform(chars, lambda c, i: F.when(i >= F.length(e) - fixed, c).when((kind == "phone") & (i == 1) & F.startswith(e, F.lit("+")), c).otherwise(_char(c, _nibble(d, i), hexed)))
-    octets = F.transform(F.split(e, r"\."), lambda o, i: F.pmod(_nibble(d, i) * 256 + _nibble(d, i + 9), F.lit(254)) + 1)
-    return F.when(kind == "ip", F.concat_ws(".", F.transform(octets, lambda o: o.cast("string")))).otherwise(F.concat_ws("", spelled))
+    spelled = F.concat_ws(
+        "", F.transform(_chars(e), lambda c, i: F.when((i >= F.length(e) - fixed) | (i < head), c).when((kind == "phone") & (i == 1) & F.startswith(e, F.lit("+")), c).otherwise(_char(c, _nibble(d, i), hexed)))
+    )
+    octets = F.transform(F.split(e, r"\."), lambda o, i: _octet(o, _nibble(d, i) * 256 + _nibble(d, i + 9), tries >= WIDEN))
+    more = F.floor(tries / WIDEN).cast("int")
+    longer = F.when(kind.isin("email", "secret"), F.concat(F.translate(F.substring(F.sha2(d, 256), 1, 60).substr(F.lit(1), more), "0123456789", "ghijklmnop"), spelled)).otherwise(
+        F.concat(spelled, F.translate(F.sha2(d, 256).substr(F.lit(1), more), "abcdef", "012345"))
+    )
+    return (
+        F.when(kind == "ip", F.concat_ws(".", octets)).when(more > 0, longer)
+        .when(kind == "iban", _iban(e, spelled)).when(kind == "card", _card(e, spelled)).otherwise(spelled)
+    )
 
 
-def _name(e: Column, gender: Column, tries: Column) -> Column:
-    """A name of as many words, in the entity's script, with an ending of its gender."""
-    d = _digest(gender, e, tries)
+def _word(w: Column, role: Column, tries: Column) -> Column:
+    """A word of a name, in lower case, for one in lower case; role: female or male for a first name, else family."""
+    d = _digest(role, w, tries)
+    more = F.floor(tries / WIDEN).cast("int")
+    of = lambda a, n: F.element_at(a, (F.pmod(n, F.size(a)) + 1).cast("int"))
 
     def spell(script):
         s = F.array(*map(F.lit, SYLLABLES[script].split()))
         ends = {g: F.array(*map(F.lit, x.split())) for g, x in ENDINGS[script].items()}
-        of = lambda a, n: F.element_at(a, (F.pmod(n, F.size(a)) + 1).cast("int"))
-
-        def word(w, i):
-            core = F.concat(*[of(s, _nibble(d, i * 5 + k)) for k in range(4)])
-            return F.initcap(F.concat(core, F.when(i > 0, "").when(gender == "female", of(ends["female"], _nibble(d, i + 40))).otherwise(of(ends["male"], _nibble(d, i + 40)))))
+        core = F.concat_ws("", F.transform(F.sequence(F.lit(0), 3 + more), lambda k: of(s, _nibble(d, k))))
+        end = F.when(role == "female", of(ends["female"], _nibble(d, F.lit(40)))).when(role == "male", of(ends["male"], _nibble(d, F.lit(40)))).otherwise("")
+        return F.concat(core, end)
 
-        return F.concat_ws(" ", F.transform(F.split(e, " "), word))
+    def letters(alphabet):
+        return F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(w) + more), lambda k: _pick(alphabet, _nibble(d, k))))
 
-    return F.when(e.rlike(r"\p{IsCyrillic}"), spell("cyrillic")).otherwise(spell("latin"))
+    out = None
+    for script in ("cyrillic", "greek"):
+        test = w.rlike(rf"\p{{Is{script.capitalize()}}}")
+        out = F.when(test, spell(script)) if out is None else out.when(test, spell(script))
+    for script, (first, step, n) in RANGES.items():
+        out = out.when(w.rlike(rf"\p{{Is{script}}}"), letters("".join(chr(first + step * i) for i in range(n))))
+    return out.otherwise(spell("latin"))
 
 
-def surrogate(e: Column, gender: Column, tries: Column | None = None) -> Column:
+def surrogate(e: Column, role: Column, tries: Column | None = None) -> Column:
+    """Of a whole entity; of a name: of one word in lower case, for which role isn't null."""
     tries = F.lit(0) if tries is None else tries
-    kind = kind_of(e)
-    return F.when(kind == "name", _name(e, gender, tries)).otherwise(_by_format(kind, e, tries))
+    return F.when(role.isNotNull(), _word(e, role, tries)).otherwise(_by_format(kind_of(e), e, tries))
+
+
+def _cased(new: Column, w: Column) -> Column:
+    """new as w is written: capitals throughout, one, or none."""
+    return F.when((F.length(w) > 1) & (F.upper(w) == w), F.upper(new)).when(F.upper(w.substr(1, 1)) == w.substr(1, 1), F.initcap(new)).otherwise(new)
+
+
+def _gender(before: Column) -> Column:
+    return F.when(before.rlike(rf"\b(?:{'|'.join(FEMALE)})\.? $"), "female").otherwise("male")
+
+
+def _words(e: Column) -> Column:
+    return F.regexp_extract_all(e, F.lit(WORD), F.lit(0))
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ents): the entities of each text in order; ents is empty without any.
+    """(doc_id, text, ents, rest, who): each text's entities in order, what stands around them, and the roles of its names' words.
 
-    A cheap test of the whole text comes first: most texts hold none.
+    A cheap test of the whole text comes first: most texts hold none.  Words
+    of names found behind titles are then looked for in the whole text.
     """
+    none = F.array().cast("array<string>")
     text = F.col("text")
-    hint = text.rlike(HINT)
-    return docs.select("doc_id", "text", F.when(hint, F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("ents"))
+    found = docs.select("doc_id", "text", F.when(hinted(text), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))).otherwise(none).alias("first"))
+    names = F.filter("first", lambda e: kind_of(e) == "name")
+    found = found.withColumn("names", F.when(F.size("first") > 0, F.filter(F.array_distinct(F.flatten(F.transform(names, _words))), lambda w: F.length(w) > 1)).otherwise(none))
+    alone = F.concat(F.lit(_ANY + r"|(?<![\p{L}\p{M}])(?:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    pattern = F.when(F.size("names") > 0, alone).otherwise(F.lit(_ANY))
+    found = found.withColumn("ents", F.when(F.size("names") > 0, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.col("first")))
+    found = found.withColumn("rest", F.when(F.size("ents") > 0, F.split("text", pattern, -1)))
+    titled = rf"\b(?:{'|'.join(FEMALE + MALE)})\.? $"
+    told = F.transform(
+        "ents",
+        lambda e, i: F.when(
+            F.element_at("rest", i + 1).rlike(titled) & (kind_of(e) == "name"),
+            F.transform(_words(e), lambda w, k: F.struct(F.lower(w).alias("w"), F.when((k == 0) & e.contains(" "), _gender(F.element_at("rest", i + 1))).otherwise("family").alias("role"))),
+        ).otherwise(F.array().cast("array<struct<w:string,role:string>>")),
+    )
+    who = F.when(F.size("names") > 0, F.flatten(told)).otherwise(F.array().cast("array<struct<w:string,role:string>>"))
+    return found.select("doc_id", "text", "ents", "rest", who.alias("who"))
 
 
-def _gender(before: Column) -> Column:
-    return F.when(before.rlike(r"\b(?:Mrs|Ms|Frau|Mme|Sra|Señora|Madame|Госпожа)\.? $"), "female").otherwise("male")
+def _role(w: Column) -> Column:
+    """What a text takes a word of a name for: what its first mention behind a title says."""
+    return F.coalesce(F.get(F.filter("who", lambda x: x["w"] == w), F.lit(0))["role"], F.lit("family"))
 
 
 def _entities(found: DataFrame) -> DataFrame:
-    """Distinct (entity, gender, both): a person's gender is the one most of the mentions say; both marks persons called by either."""
-    each = found.where(F.size("ents") > 0).select("ents", F.split("text", _ANY, -1).alias("rest"))
-    pair = F.transform("ents", lambda e, i: F.struct(e.alias("entity"), _gender(F.element_at("rest", i + 1)).alias("gender")))
-    flat = each.select(F.explode(pair).alias("p")).select("p.*").groupBy("entity", "gender").agg(F.count("*").alias("n"))
-    one = flat.groupBy("entity").agg(F.max_by("gender", F.struct("n", "gender")).alias("gender"), (F.count("*") > 1).alias("both"))
-    return one.withColumn("both", F.col("both") & (kind_of(F.col("entity")) == "name"))
+    """Distinct (entity, role, both): role is null but for words of names, and that which most texts say; both marks words on which they disagree."""
+    own = lambda e: F.when(kind_of(e) == "name", F.transform(_words(e), lambda w: F.struct(F.lower(w).alias("entity"), _role(F.lower(w)).alias("role")))).otherwise(
+        F.array(F.struct(e.alias("entity"), F.lit(None).cast("string").alias("role")))
+    )
+    flat = found.where(F.size("ents") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("ents", own)))).alias("p")).select("p.*").groupBy("entity", "role").agg(F.count("*").alias("n"))
+    return flat.groupBy("entity", F.col("role").isNull().alias("_plain")).agg(F.max_by("role", F.struct("n", "role")).alias("role"), (F.count("*") > 1).alias("both")).drop("_plain")
 
 
 def exceptions(entities: DataFrame) -> DataFrame:
-    """(entity, s) of entities whose first surrogate would collide, and of persons called by both genders."""
-    held = materialize(entities.withColumn("tries", F.lit(0)).withColumn("s", surrogate(F.col("entity"), F.col("gender"))))
-    while True:
-        taken = held.select(F.col("entity").alias("s")).withColumn("real", F.lit(True))
+    """(entity, s) of entities whose first surrogate would collide, and of words of names that have several roles."""
+    held = materialize(entities.withColumn("tries", F.lit(0)).withColumn("s", surrogate(F.col("entity"), F.col("role"))))
+    for _ in range(MOST_TRIES):
+        taken = held.select(F.col("entity").alias("s"), F.lit(True).alias("real")).distinct()
         w = W.partitionBy("s").orderBy("tries", "entity")
-        clash = held.withColumn("r", F.row_number().over(w)).join(taken, "s", "left").where("r > 1 OR real").select("entity").distinct()
+        clash = held.withColumn("r", F.row_number().over(w)).join(taken, "s", "left").where("r > 1 OR real").select("entity", F.col("role").isNull().alias("plain")).distinct()
         clash = materialize(clash)
         if clash.isEmpty():
-            return held.where("tries > 0 OR both").select("entity", "s")
-        again = held.join(clash.withColumn("again", F.lit(1)), "entity", "left").withColumn("tries", F.col("tries") + F.coalesce("again", F.lit(0)))
-        held = materialize(again.withColumn("s", surrogate(F.col("entity"), F.col("gender"), F.col("tries"))).select("entity", "gender", "both", "tries", "s"))
+            return held.where("tries > 0 OR both").select("entity", F.col("role").isNull().alias("plain"), "s")
+        again = held.withColumn("plain", F.col("role").isNull()).join(clash.withColumn("again", F.lit(1)), ["entity", "plain"], "left").withColumn("tries", F.col("tries") + F.coalesce("again", F.lit(0)))
+        held = materialize(again.withColumn("s", F.when(F.col("again") == 1, surrogate(F.col("entity"), F.col("role"), F.col("tries"))).otherwise(F.col("s"))).select("entity", "role", "both", "tries", "s"))
+    raise ValueError(f"no distinct surrogates after {MOST_TRIES} tries")
 
 
 def pseudonymize(docs: DataFrame) -> DataFrame:
@@ -161,23 +280,28 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
     found = _found(docs)
     entities = materialize(_entities(found))
     odd = materialize(exceptions(entities))
-    text = F.col("text")
-    rest = F.split(text, _ANY, -1)
-    plain = F.transform("ents", lambda e, i: surrogate(e, _gender(F.element_at(rest, i + 1))))
+    empty = F.create_map().cast("map<string,string>")
     if odd.isEmpty():
-        swaps = plain
+        found = found.withColumn("own", empty)
     else:
-        keyed = found.select(F.xxhash64("doc_id", "text").alias("at"), F.explode(F.array_distinct("ents")).alias("entity"))
+        # a word of a name and another entity may be written alike: the words' keys begin with a mark
+        key = lambda plain, e: F.when(plain, e).otherwise(F.concat(F.lit("\x1f"), e))
+        odd = odd.select(key(F.col("plain"), F.col("entity")).alias("entity"), "s")
+        marked = lambda e: F.when(kind_of(e) == "name", F.transform(_words(e), lambda w: F.concat(F.lit("\x1f"), F.lower(w)))).otherwise(F.array(e))
+        keyed = found.where(F.size("ents") > 0).select(F.xxhash64("doc_id", "text").alias("at"), F.explode(F.array_distinct(F.flatten(F.transform("ents", marked)))).alias("entity"))
         few = odd.count() <= MOST_KEYS
         own = keyed.join(F.broadcast(odd) if few else odd, "entity").select("at", "entity", "s").distinct().groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("entity", "s"))).alias("own"))
         own = materialize(own)
         few = own.count() <= MOST_KEYS // 10
-        found = found.withColumn("at", F.xxhash64("doc_id", "text")).join(F.broadcast(own) if few else own, "at", "left")
-        swaps = F.transform("ents", lambda e, i: F.coalesce(F.element_at(F.coalesce("own", F.create_map().cast("map<string,string>")), e), surrogate(e, _gender(F.element_at(rest, i + 1)))))
-    put = F.concat_ws("", F.flatten(F.zip_with(rest, swaps, lambda r, s: F.array(r, F.coalesce(s, F.lit(""))))))
+        found = found.withColumn("at", F.xxhash64("doc_id", "text")).join(F.broadcast(own) if few else own, "at", "left").withColumn("own", F.coalesce("own", empty))
+    word = lambda w: _cased(F.coalesce(F.element_at("own", F.concat(F.lit("\x1f"), F.lower(w))), _word(F.lower(w), _role(F.lower(w)), F.lit(0))), w)
+    between = lambda e: F.split(e, WORD, -1)
+    name = lambda e: F.concat_ws("", F.flatten(F.zip_with(between(e), F.transform(_words(e), word), lambda r, s: F.array(r, F.coalesce(s, F.lit(""))))))
+    swaps = F.transform("ents", lambda e: F.when(kind_of(e) == "name", name(e)).otherwise(F.coalesce(F.element_at("own", e), _by_format(kind_of(e), e, F.lit(0)))))
+    put = F.concat_ws("", F.flatten(F.zip_with("rest", swaps, lambda r, s: F.array(r, F.coalesce(s, F.lit(""))))))
     return found.select(
         "doc_id",
-        F.when(F.size("ents") > 0, put).otherwise(text).alias("text"),
+        F.when(F.size("ents") > 0, put).otherwise(F.col("text")).alias("text"),
         F.size("ents").cast("long").alias("n_entities"),
     )
 
