@@ -11,6 +11,11 @@ span of its own.  Every window keeps the leading system turn and repeats the
 end of its predecessor, up to ``history`` tokens.  The loss mask holds each
 assistant text once: repeated turns are not targets.
 
+Budget.  A leading system turn of over ``system_share`` of the budget stands whole
+in the first window alone; repeated, it would leave the others no room.  Turns are
+never cut, so one that is longer than what system turn and history leave makes a
+window beyond the budget, in which it is the only turn that is not repeated.
+
 Sums run in two steps (per block of turns, then over the block sums), so that a
 conversation with very many turns is not one task's work until its windows are
 gathered into the one digest that a conversation has.
@@ -28,7 +33,7 @@ from pyspark.sql import Window as W
 
 from sparkloom.llm.common import materialize, table
 
-BUDGET, HISTORY, BLOCK = 1024, 192, 256
+BUDGET, HISTORY, SYSTEM_SHARE, BLOCK = 1024, 192, 0.5, 256
 #: What is escaped, in the order in which it is.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("]", "&#93;"))
 
@@ -50,7 +55,7 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("long") + 4
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, system_share: float = SYSTEM_SHARE) -> DataFrame:
     """One row per window of turns(conv_id, turn, role, text).
 
     conv_id, window, formatted, repeated (turns at the head that a previous
@@ -60,13 +65,14 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     t = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("tokens", token_count(F.col("text")))
-    same = [F.coalesce(F.col("conv_id"), F.lit(-(1 << 63))).alias("c")]
+    same = [F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c")]  # null is a conversation
     t = t.select("*", *same, F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).alias("block"))
     inner = W.partitionBy("c", "block").orderBy("turn", "role", "text")
     first = t.groupBy("c").agg(F.min_by(F.struct("role", "tokens"), F.struct(F.col("turn"), F.col("role"), F.col("text"))).alias("head"))
-    head = F.when(F.col("head.role") == "system", F.col("head.tokens")).otherwise(0)
+    leads = (F.col("head.role") == "system") & (F.col("head.tokens") <= int(budget * system_share))
+    head = F.when(leads, F.col("head.tokens")).otherwise(0)
     room = F.greatest((F.lit(budget - history) - head) / 2, F.lit(16)).cast("long")
-    first = materialize(first.select("c", room.alias("room"), (F.col("head.role") == "system").alias("has_system")))
+    first = materialize(first.select("c", room.alias("room"), leads.alias("has_system")))
     t = t.join(first, "c")
     # ends of long turns break spans; both sums need what came before in the block and in earlier blocks
     long_turn = (F.col("tokens") > F.col("room")).cast("long")
