@@ -2,14 +2,16 @@
 
 Every partition packs its own pieces best-fit in decreasing order and emits
 the bins that are nearly full.  The underfull ones go on as items: bins of
-neighbouring partitions meet, are packed best-fit again, and so on up a tree,
-with a bound on what one task holds, until one group is left or a round stops
-closing bins.
+several partitions meet, are packed best-fit again, and so on up a tree, with a
+bound on what one task holds.  Where all that is left fits one task, that task
+is the root.  Otherwise bins are dealt anew each round, and when rounds hardly
+close any more, no two bins of a group fit together, so of each group at most
+one bin is at most half full: these meet the emptiest others in one last task.
 
 Only documents longer than a sequence are cut, into full pieces and a rest.
 
 Edge cases: null and empty texts count as empty and occupy one id (the
-terminating 0); repeated doc_ids are packed as rows of their own; an empty
+terminating 0); texts of any length are read whole, one at a time; repeated doc_ids are packed as rows of their own; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import materialize, table
 from sparkloom.llm.text import Words, blocks, gather
 
-SEQUENCE = 2048
+SEQUENCE, PER_TASK = 2048, 60_000
 END_ID = 0
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: Per worker process: the ids of words met before, as sorted keys and ragged ids.
+#: Per worker process: the bytes and ids of words met before, by sorted hashes.
 _known: dict[str, dict] = {}
 _MOST_WORDS = 1_500_000
 
@@ -45,10 +47,32 @@ def _tokenizer(path: str) -> dict:
         tok = Tokenizer.from_file(path)
         held = _known[path] = {"tok": tok}
     if "key" not in held or len(held["key"]) > _MOST_WORDS:
-        held |= {"key": np.zeros(0, np.uint64), "at": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32)}
+        held |= {"key": np.zeros(0, np.uint64), "ids": np.zeros(0, np.uint32), "bytes": np.zeros(0, np.uint8)} | {k: np.zeros(0, np.int64) for k in ("at", "n", "from", "width")}
     return held
 
 
+def _encoded(w: Words, which: np.ndarray, tok) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of these words, end to end, and how many each has."""
+    raw = w.data.tobytes()
+    texts = [raw[s:e].decode("utf-8") for s, e in zip(w.start[which].tolist(), w.end[which].tolist(), strict=True)]
+    ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((i for one in ids for i in one), np.uint32, int(n.sum())), n
+
+
+def _same(w: Words, held: dict, spot: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each word are those of the known word at its spot."""
+    width = w.end - w.start
+    same = held["width"][spot] == width
+    at = np.flatnonzero(same)
+    long = width[at]
+    if len(at):
+        differ = gather(w.data, w.start[at], long) != gather(held["bytes"], held["from"][spot[at]], long)
+        if differ.any():
+            same[at[np.repeat(np.arange(len(at)), long)[differ]]] = False
+    return same
+
+
 def encode_block(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each text, end to end, and their n + 1 bounds.
 
@@ -63,22 +87,27 @@ def encode_block(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     near = spot < len(held["key"])
     new[near] = held["key"][spot[near]] != uniq[near]
     if new.any():
-        raw = w.data.tobytes()
         which = index[new]
-        texts = [raw[s:e].decode("utf-8") for s, e in zip(w.start[which].tolist(), w.end[which].tolist(), strict=True)]
-        ids = [e.ids for e in held["tok"].encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(n.sum()))
+        flat, n = _encoded(w, which, held["tok"])
         at = len(held["ids"]) + np.concatenate(([0], np.cumsum(n)[:-1]))
+        width = w.end[which] - w.start[which]
+        from_ = len(held["bytes"]) + np.concatenate(([0], np.cumsum(width)[:-1]))
         key = np.concatenate([held["key"], uniq[new]])
         order = np.argsort(key, kind="stable")
         held["key"] = key[order]
-        held["at"] = np.concatenate([held["at"], at])[order]
-        held["n"] = np.concatenate([held["n"], n])[order]
+        for name, more in (("at", at), ("n", n), ("from", from_), ("width", width)):
+            held[name] = np.concatenate([held[name], more])[order]
         held["ids"] = np.concatenate([held["ids"], flat])
+        held["bytes"] = np.concatenate([held["bytes"], gather(w.data, w.start[which], width)])
         spot = np.searchsorted(held["key"], uniq)
-    at, n = held["at"][spot][inverse], held["n"][spot][inverse]
-    out = gather(held["ids"], at, n)
+    spot = spot[inverse]
+    at, n, ids = held["at"][spot], held["n"][spot], held["ids"]
+    odd = np.flatnonzero(~_same(w, held, spot))
+    if len(odd):  # words that only share a hash with a word met before
+        flat, own = _encoded(w, odd, held["tok"])
+        at[odd], n[odd] = len(ids) + np.concatenate(([0], np.cumsum(own)[:-1])), own
+        ids = np.concatenate([ids, flat])
+    out = gather(ids, at, n)
     ends = np.concatenate(([0], np.cumsum(n)))
     return out, ends[w.first]
 
@@ -180,39 +209,40 @@ def _packer(room: int, level: int):
     return pack
 
 
-def pack(pieces: DataFrame, room: int = SEQUENCE, per_task: int = 60_000, nearly: float = 0.995, fan_in: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, room: int = SEQUENCE, per_task: int = PER_TASK, nearly: float = 0.995, fan_in: int = 8, gain: float = 0.01) -> DataFrame:
     """Pieces with sequence_id and offset added.
 
     per_task: items that one task packs at a time, the bound on its memory;
-    nearly: a bin at least so full leaves the tree at once.
+    nearly: a bin at least so full leaves the tree at once; gain: the share of
+    bins that a round over several tasks must save for another one.
     """
-    n = pieces.count()
-    groups = max(1, -(-n // per_task))
+    left = pieces.count()
+    groups = max(1, -(-left // per_task))
     item = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset")))
     items = pieces.select(
         F.lit(0).cast("long").alias("bin"), F.col("length").alias("size"), item.alias("pieces"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("grp"),
+        F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("grp"),
     )
-    done, level, left = [], 1, n
+    done, level = [], 1
     while left:
-        packed = materialize(items.groupBy("grp").applyInArrow(_packer(room, level), _ITEM).withColumn("grp", (F.shiftright("bin", 28).bitwiseAND(F.lit((1 << 28) - 1)))))
-        under = packed.where(F.col("size") < room * nearly)
+        packed = materialize(items.groupBy("grp").applyInArrow(_packer(room, level), _ITEM))
         if groups == 1:
             done.append(packed)
             break
-        counts = packed.agg(F.count("*").alias("n"), F.count(F.when(F.col("size") < room * nearly, 1)).alias("under")).first()
+        under = packed.where(F.col("size") < room * nearly)
         done.append(packed.where(F.col("size") >= room * nearly))
-        if counts["under"] >= left:  # a whole round closed nothing: no two of these bins fit together nearby
-            done.append(under)
-            break
-        left = counts["under"]
-        merged = max(-(-groups // fan_in), -(-left // per_task))
-        fewer = merged if merged < groups else max(1, groups - 1)
-        items = under.select("bin", "size", "pieces", F.pmod(F.xxhash64("bin"), F.lit(fewer)).alias("grp"))
-        groups, level = fewer, level + 1
-        if level > 60:
-            done.append(under)
-            break
+        was, left = left, under.count()
+        level += 1
+        if left <= per_task:
+            groups = 1
+        elif left > (1 - gain) * was:
+            # at most one bin of each group is at most half full: what they can be put into is among the emptiest
+            some = materialize(under.orderBy("size", "bin").limit(min(per_task, 2 * groups)).select("bin", "size", "pieces"))
+            done.append(under.join(F.broadcast(some.select("bin")), "bin", "left_anti").select(*packed.columns))
+            left, groups, under = some.count(), 1, some
+        else:
+            groups = max(-(-groups // fan_in), -(-left // per_task))
+        items = under.select("bin", "size", "pieces", F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("grp"))
     if not done:
         return pieces.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long"))
     out = done[0]
