@@ -9,16 +9,20 @@ r // BLOCKS bits, so a table of each block's neighbourhood holds every item
 within the radius.  Items found are verified by the exact weighted Jaccard
 similarity of shingles with the window.
 
-A window without any shingle of the benchmark cannot reach the similarity, so
-only stretches around a benchmark shingle are fingerprinted; nothing is lost
-by that.
+A window can reach the similarity only if the benchmark's shingles in it weigh
+at least that share of an item, so only windows that do are fingerprinted; nothing
+is lost by that.  Long texts are gone through STRETCH windows at a time, so a
+text's memory does not grow with its hits.
 
 The benchmark is loaded into every task, so its size is checked first: beyond
-``MOST_ITEM_BYTES`` it is gone through in slices of that size, one pass each, with weights of the whole.
+``MOST_ITEM_BYTES`` it is gone through in slices of that size, one after the other,
+with weights of the whole.  The texts that share any shingle with it are written
+once before, by a Bloom filter, and the slices read those alone.
 
 Edge cases: items of fewer words than a shingle are one shingle of all their
 words; null or empty items and texts match nothing; repeated items are each
-reported; an empty table gives an empty result; extra columns are ignored.
+reported; a text is matched whole, however long; an item found several times in a
+text is reported where it is most similar, first among equals; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import materialize, table
 from sparkloom.llm.text import PUNCT, Words, blocks, mix, shingles
 
 WIDTH = 5
@@ -36,6 +40,10 @@ RADIUS = 20
 BLOCKS = 8
 SIMILARITY = 0.8
 MOST_ITEM_BYTES = 8 << 20
+#: Windows of a text, and shingles under their sums, that are held at a time.
+STRETCH = 1 << 15
+#: Bits of the filter of a large benchmark's shingles, and how many each sets.
+FILTER_BITS, FILTER_HASHES = 1 << 26, 4
 _HITS = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 
 
@@ -109,6 +117,7 @@ class Index:
                 for j in range(BLOCKS):
                     for b in near[self.fp[i, j]]:
                         self.blocks[j][b].add(i)
+        self.heavy = [float(self.weigh(own).sum()) for own in self.sets]
         self.brief = {int(n) for n, s in zip(self.words, self.sets, strict=True) if 0 < n < WIDTH and len(s)}
 
     def weigh(self, keys: np.ndarray) -> np.ndarray:
@@ -161,30 +170,123 @@ def _matches(index: Index, similarity: float):
     return run
 
 
+def _runs(hits: np.ndarray, m: int, n: int) -> list[tuple[int, int]]:
+    """The windows (first, last) of m shingles, of n in all, that hold a hit; hits are in order."""
+    low, high = np.maximum(hits - m + 1, 0), np.minimum(hits, max(n - m, 0))
+    low = np.minimum(low, high)
+    new = np.flatnonzero(np.r_[True, low[1:] > high[:-1] + 1])
+    return list(zip(low[new].tolist(), high[np.r_[new[1:], len(high)] - 1].tolist(), strict=True))
+
+
+def _prints(index: Index, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The fingerprints of windows of a stretch, from running sums, 8 bits at a time."""
+    weight, bits = index.weigh(part), mix(part).view(np.uint8).reshape(-1, 8)
+    out = np.empty((len(starts), 8), np.uint8)
+    for j in range(8):
+        signed = (np.unpackbits(bits[:, j : j + 1], axis=1).astype(np.float64) * 2 - 1) * weight[:, None]
+        total = np.concatenate((np.zeros((1, 8)), np.cumsum(signed, axis=0)))
+        out[:, j : j + 1] = np.packbits(total[ends] - total[starts] > 0, axis=-1)
+    return out
+
+
 def _text_matches(index: Index, flat: np.ndarray, hits: np.ndarray, width: int, allowed: set[int], similarity: float):
     """The best window of each item that one text's shingles reach."""
-    lengths = {int(index.words[i]) - width + 1 for h in hits for i, _ in index.owner.get(int(flat[h]), ()) if i in allowed}
+    items: dict[int, set[int]] = {}
+    for k in np.unique(flat[hits]).tolist():
+        for i, _ in index.owner.get(k, ()):
+            if i in allowed:
+                items.setdefault(int(index.words[i]) - width + 1, set()).add(i)
     best: dict[int, tuple] = {}
-    for m in lengths:  # shingles in a window
-        starts = np.unique(np.concatenate([np.arange(max(0, h - m + 1), h + 1) for h in hits]))
-        starts = np.unique(np.minimum(starts, max(len(flat) - m, 0)))
-        low, high = int(starts[0]), min(int(starts[-1]) + m, len(flat))
-        # long gaps between hits are skipped by cutting the starts into runs
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1):
-            low, high = int(run[0]), min(int(run[-1]) + m, len(flat))
-            part = flat[low:high]
-            total = np.concatenate((np.zeros((1, 64)), np.cumsum(_signs(part) * index.weigh(part)[:, None], axis=0)))
-            ends = np.minimum(run + m, len(flat)) - low
-            prints = _print(total[ends] - total[run - low])
-            for s, fp in zip(run.tolist(), prints, strict=True):
-                for i in index.lookup(fp):
-                    if i in allowed and index.words[i] == m + width - 1:
-                        got = index.similarity(flat[s : s + m], i)
-                        if got >= similarity and got > best.get(i, (0, 0, 0.0))[2]:
-                            best[i] = (s, int(index.words[i]), got)
+    for m, own in sorted(items.items()):  # shingles in a window
+        least = similarity * min(index.heavy[i] for i in own) - 1e-9
+        for first, last in _runs(hits, m, len(flat)):
+            for low in range(first, last + 1, STRETCH):
+                starts = np.arange(low, min(low + STRETCH, last + 1))
+                part = flat[low : min(int(starts[-1]) + m, len(flat))]
+                held = np.zeros(len(part))
+                at = hits[np.searchsorted(hits, low) : np.searchsorted(hits, low + len(part))] - low
+                held[at] = index.weigh(part[at])
+                worth = np.concatenate(([0.0], np.cumsum(held)))
+                ends = np.minimum(starts + m, len(flat)) - low
+                able = worth[ends] - worth[starts - low] >= least
+                starts, ends = starts[able], ends[able]
+                if not len(starts):
+                    continue
+                for s, fp in zip(starts.tolist(), _prints(index, part, starts - low, ends), strict=True):
+                    for i in index.lookup(fp):
+                        if i in own:
+                            got = index.similarity(flat[s : s + m], i)
+                            if got >= similarity and got > best.get(i, (0, 0, 0.0))[2]:
+                                best[i] = (s, int(index.words[i]), got)
     return [(i, *v) for i, v in sorted(best.items())]
 
 
+def _spots(keys: np.ndarray) -> list[np.ndarray]:
+    """The bits of a filter that each key sets."""
+    return [(mix(keys + np.uint64(k)) % np.uint64(FILTER_BITS)).astype(np.int64) for k in range(FILTER_HASHES)]
+
+
+def _filter(items: DataFrame) -> np.ndarray:
+    """The Bloom filter of all items' shingles, a fixed 8 MB; only its set bytes leave the tasks."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            for at, n in blocks(batch.column(0)):
+                for spot in _spots(np.concatenate([np.zeros(0, np.uint64), *item_shingles(batch.column(0).slice(at, n))[3]])):
+                    np.bitwise_or.at(bits, spot >> 3, np.left_shift(1, spot & 7).astype(np.uint8))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].astype(np.int16), pa.int16())], names=["at", "bits"])
+
+    got = items.select("text").mapInArrow(run, "at long, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+    return out
+
+
+def _touched(held, widths: list[int]):
+    """The rows (doc_id, text) with a shingle that the broadcast filter may have."""
+
+    def run(batches):
+        bits = held.value
+        for batch in batches:
+            for at, n in blocks(batch.column(1)):
+                w = Words(batch.column(1).slice(at, n), PUNCT, fold=True)
+                keep = np.zeros(n, bool)
+                for width in widths:
+                    flat, bounds = shingles(w.key, w.first, width, short=False)
+                    hit = np.ones(len(flat), bool)
+                    for spot in _spots(flat):
+                        hit &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+                    keep[np.searchsorted(bounds, np.flatnonzero(hit), side="right") - 1] = True
+                yield batch.slice(at, n).filter(pa.array(keep))
+
+    return run
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per (doc_id, item_id) where a text holds an item: the best window and its similarity."""
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    docs = docs.select("doc_id", "text")
+    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    slices = -(-size // MOST_ITEM_BYTES) or 1
+    if slices == 1:
+        own = items.orderBy("item_id").toArrow()
+        return docs.mapInArrow(_matches(Index(own.column("item_id").to_pylist(), own.column("text").to_pylist()), similarity), _HITS)
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
+    shared = shared_shingles(items)
+    held = docs.sparkSession.sparkContext.broadcast(_filter(items))
+    docs = materialize(docs.mapInArrow(_touched(held, list(range(1, WIDTH + 1))), docs.schema))
+    held.destroy()
+    out = None
+    for k in range(slices):
+        own = items.where(F.col("slice") == k).orderBy("item_id").select("item_id", "text").toArrow()
+        index = Index(own.column("item_id").to_pylist(), own.column("text").to_pylist(), shared)
+        found = materialize(docs.mapInArrow(_matches(index, similarity), _HITS))  # the slice can leave the driver
+        out = found if out is None else out.union(found)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per (doc_id, item_id) where a text holds an item: the best window and its similarity."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
