@@ -8,8 +8,9 @@
    voter says toxic, clean or abstains.
 3. A generative label model is fitted to the votes of all rows (only the counts
    of vote patterns leave Spark: at most 3**voters): expectation maximisation
-   estimates each voter's accuracy, and voters that agree beyond what the label
-   explains share their weight.
+   estimates each voter's accuracy and the correlations of voters: given the label,
+   each voter may depend on one other, along the tree of pairs that tell most about
+   each other beyond what the label explains.
 4. A linear classifier over the lexicon features is trained on the posterior
    labels of a bounded sample (``fit_rows``) and scores every whole text.  It is
    solved to convergence on rows in an order of their own, so the same table
@@ -18,8 +19,13 @@
 Labels, lang, source and doc_id never enter a score.  Rows whose
 crc32(doc_id as text) mod 4 is 2 are held out of everything learned from labels.
 
+``lexicon_size`` bounds the features of each kind (words, prefixes, clean ones) that
+voters and classifier know, as the classifier is solved on the driver; those that
+speak most go in.  A text without any of them has the score of the bias.
+
 Edge cases: null and empty texts are scored by the bias alone; no labels give
-the prior 0.5 to no row (score 0); repeated rows are scored alike; an empty
+the prior 0.5 to no row (score 0); very long texts are read whole; ties between
+features are broken by their hash; repeated rows are scored alike; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -110,10 +116,10 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def lexicons(labelled: DataFrame) -> Model:
+def lexicons(labelled: DataFrame, size: int = LEXICON_SIZE) -> Model:
     """The voters' features, from the counts over all of labelled(text, toxic)."""
-    size = labelled.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
-    pos, neg = size["p"] or 0, (size["n"] or 0) - (size["p"] or 0)
+    rows = labelled.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
+    pos, neg = rows["p"] or 0, (rows["n"] or 0) - (rows["p"] or 0)
     if not pos or not neg:
         return Model()
     counts = labelled.mapInArrow(_counts, "k long, p long, n long").groupBy("k").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -125,9 +131,9 @@ def lexicons(labelled: DataFrame) -> Model:
     isword = F.col("k").bitwiseAND(F.lit(1)) == 1
     top = lambda cond, by, n: counts.where(cond).orderBy(by, "k").limit(n).select("k", "lift").toArrow()
     groups = (
-        [(top(isword & (F.col("z") > 0), F.desc("z"), LEXICON_SIZE), 0, WORD_LEXICONS)]
-        + [(top(~isword & (F.col("z") > 0), F.desc("z"), LEXICON_SIZE), WORD_LEXICONS, PREFIX_LEXICONS)]
-        + [(top(F.col("z") < 0, F.asc("z"), LEXICON_SIZE), WORD_LEXICONS + PREFIX_LEXICONS, CLEAN_LEXICONS)]
+        [(top(isword & (F.col("z") > 0), F.desc("z"), size), 0, WORD_LEXICONS)]
+        + [(top(~isword & (F.col("z") > 0), F.desc("z"), size), WORD_LEXICONS, PREFIX_LEXICONS)]
+        + [(top(F.col("z") < 0, F.asc("z"), size), WORD_LEXICONS + PREFIX_LEXICONS, CLEAN_LEXICONS)]
     )
     keys, voter = [], []
     for rows, first, many in groups:
@@ -191,40 +197,81 @@ def _patterns(keys: np.ndarray, voter: np.ndarray):
     return run
 
 
-def label_model(v: np.ndarray, n: np.ndarray, rounds: int = 50, seen: np.ndarray | None = None) -> np.ndarray:
-    """The posterior of label 1 for each vote pattern v with n rows.
+#: What a pair of voters must tell about each other, in nats a row, to count as dependent.
+LEAST_SHARED = 1e-3
+
+
+def _tree(joint: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Each voter's parent, -1 for none: the largest spanning forest by what pairs tell about each other given the label.
+
+    joint: class x voter x vote x voter x vote, the rows' mass.
+    """
+    many = joint.shape[1]
+    p = (joint + 1e-3) / (joint + 1e-3).sum(axis=(2, 4), keepdims=True)
+    told = (p * np.log(p / (p.sum(axis=4, keepdims=True) * p.sum(axis=2, keepdims=True)))).sum(axis=(2, 4))
+    told = (told * (total / total.sum())[:, None, None]).sum(axis=0)
+    parent, best, link = np.full(many, -1), np.full(many, -1.0), np.full(many, -1)
+    left = set(range(many))
+    while left:
+        j = max(left, key=lambda i: (best[i], -i))
+        left.remove(j)
+        parent[j] = link[j] if best[j] > LEAST_SHARED else -1
+        for i in left:
+            if told[j, i] > best[i]:
+                best[i], link[i] = told[j, i], j
+    return parent
+
+
+def label_model(v: np.ndarray, n: np.ndarray, rounds: int = 100, seen: np.ndarray | None = None) -> np.ndarray:
+    """The posterior of label 1 for each vote pattern v (1 toxic, -1 clean, 0 abstains) with n rows.
 
     seen: per pattern the rows labelled 0 and 1 by hand, which anchor the
-    classes.  Voters are independent given the label but for pairs whose votes
-    agree more than that allows; these share their evidence.
+    classes.  Given the label, a voter depends on its parent in the tree alone.
     """
-    post = np.clip(0.5 + v[:, :_TOXIC].sum(axis=1) * 0.4 - 0.3, 0.02, 0.98)
-    weight = np.ones(v.shape[1])
     seen = np.zeros((len(n), 2)) if seen is None else seen
+    if not len(n):
+        return np.zeros(0)
+    # two starts: any toxic vote counts; or votes weigh less the more voters vote alike, so that copies of a voter don't outvote the rest
+    mean = (n @ v) / n.sum()
+    d = (v - mean) * np.sqrt(n)[:, None]
+    size = np.sqrt((d * d).sum(axis=0)) + 1e-9
+    weight = 1 / np.abs(d.T @ d / size[:, None] / size).sum(axis=0).clip(1)
+    starts = 0.2 + (v > 0).sum(axis=1) * 0.4, 0.5 + 0.5 * (v @ weight) / np.maximum(np.abs(v) @ weight, 1e-9) * (v != 0).any(axis=1)
+    return max((_fitted(v, n, seen, np.clip(x, 0.02, 0.98), rounds) for x in starts), key=lambda x: x[1])[0]
+
+
+def _fitted(v: np.ndarray, n: np.ndarray, seen: np.ndarray, post: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Expectation maximisation from a start: the posterior and the likelihood."""
+    many = v.shape[1]
     free = n - seen.sum(axis=1)
+    hot = (v[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    flat = hot.reshape(len(n), -1)
+    at = v.astype(np.int64) + 1
     for r in range(rounds):
         mass = np.stack([free * (1 - post) + seen[:, 0], free * post + seen[:, 1]])
         total = mass.sum(axis=1)
-        logs = np.zeros(len(n))
-        resid = np.zeros((v.shape[1], v.shape[1]))
-        for value in (-1, 0, 1):
-            is_v = (v == value).astype(float)
-            p = (mass @ is_v + 0.5) / (total[:, None] + 1.5)
-            logs += is_v @ (weight * np.log(p[1] / p[0]))
-        for y in (0, 1):
-            mean = (mass[y] @ v) / max(total[y], 1e-9)
-            d = (v - mean) * np.sqrt(mass[y])[:, None]
-            cov = d.T @ d
-            s = np.sqrt(np.diag(cov)) + 1e-9
-            resid += np.abs(cov / s[:, None] / s) * (total[y] / total.sum())
-        np.fill_diagonal(resid, 0)
-        weight = 1 / (1 + resid.sum(axis=1))
-        prior = np.log((total[1] + 1) / (total[0] + 1))
-        new = 1 / (1 + np.exp(-np.clip(prior + logs, -30, 30)))
-        if r and np.abs(new - post).max() < 1e-6:
-            break
+        joint = np.stack([((flat * m[:, None]).T @ flat).reshape(many, 3, many, 3) for m in mass])
+        logs = np.log((total + 1) / (total.sum() + 2))[:, None] + np.zeros((2, len(n)))
+        for j, up in enumerate(_tree(joint, total).tolist()):
+            own = np.einsum("cjkjk->cjk", joint)[:, j] + 0.5
+            p = own / own.sum(axis=1, keepdims=True)
+            if up < 0:
+                logs += np.log(p[:, at[:, j]])
+            else:  # drawn towards the voter's own rates where the parent's vote is rare
+                both = joint[:, up, :, j, :] + p[:, None, :]
+                logs += np.log(both / both.sum(axis=2, keepdims=True))[:, at[:, up], at[:, j]]
+        new = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -30, 30)))
+        done = r and np.abs(new - post).max() < 1e-6
         post = new
-    return post
+        if done:
+            break
+    return post, float(free @ np.logaddexp(*logs) + (seen.T * logs).sum())
+
+
+def accuracies(v: np.ndarray, n: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """How often each voter that doesn't abstain is right, by the posterior."""
+    right = np.where(v > 0, post[:, None], 1 - post[:, None]) * (v != 0)
+    return (n @ right) / np.maximum(n @ (v != 0), 1e-9)
 
 
 def _sampled(keys: np.ndarray):
@@ -301,16 +348,16 @@ def train(model: Model, rows, posterior_of, l2: float = L2, most_steps: int = 50
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon_size: int = LEXICON_SIZE) -> Model:
     """Learns from docs(doc_id, text) and the labels(doc_id, toxic) that aren't held out.
 
-    fit_rows bounds the sample the classifier is trained on; everything else
-    is gathered from all rows.
+    fit_rows bounds the sample the classifier is trained on, lexicon_size its
+    features of a kind; everything else is gathered from all rows.
     """
     own = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = materialize(own.withColumn("toxic", F.col("toxic").cast("long")))
     labelled = narrow(docs.select("doc_id", "text"), own, "doc_id").select("text", "toxic")
-    model = lexicons(labelled)
+    model = lexicons(labelled, lexicon_size)
     if not len(model.keys):
         return model
     # the labels meet the short vote patterns, not the texts
