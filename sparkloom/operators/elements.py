@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark import RDD, StorageLevel
@@ -36,6 +37,11 @@ def collect_with(df: DataFrame, condition, value, name: str = "value") -> DataFr
     return df.where(condition).select(value.alias(name))
 
 
+def map_partitions_to_pair(df: DataFrame, f: Callable[[Iterator], Iterator], key: str, value: str) -> DataFrame:
+    """f takes Arrow batches and yields batches of the columns k and v, of the types key and value."""
+    return df.mapInArrow(f, f"k {key}, v {value}")
+
+
 def key_by(df: DataFrame, key, name: str = "k") -> DataFrame:
     return df.select(key.alias(name), F.struct(*df.columns).alias("v"))
 
@@ -48,9 +54,8 @@ def zip_frames(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str
 
 
 def zip_with_unique_id(df: DataFrame, name: str = "uid") -> DataFrame:
-    """partition + place * partitions: no second job, not gapless."""
-    schema = df.schema.add(name, "long")
-    return df.sparkSession.createDataFrame(df.rdd.zipWithUniqueId().map(lambda x: (*x[0], x[1])), schema)
+    """Place in the partition, after the partition's number: unique without a second job, not gapless."""
+    return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def glom(df: DataFrame, column: str) -> DataFrame:
@@ -76,6 +81,16 @@ def take_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
 
 
+def bernoulli(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """Each row on its own with a probability; no row twice."""
+    return df.where(F.rand(seed) < fraction)
+
+
+def poisson(df: DataFrame, mean: float, seed: int = 0) -> DataFrame:
+    """Each row as many times as a Poisson draw says."""
+    return df.sample(True, mean, seed)
+
+
 def sample(df: DataFrame, fraction: float, replace: bool = False, seed: int = 0) -> DataFrame:
     return df.sample(replace, fraction, seed)
 
@@ -92,11 +107,26 @@ def count_approx(df: DataFrame, timeout_ms: int, confidence: float = 0.95) -> in
 
 
 def sum_approx(df: DataFrame, column: str, timeout_ms: int, confidence: float = 0.95) -> float:
-    return float(df.select(F.col(column).cast("double")).rdd.map(lambda r: r[0] or 0.0).sumApprox(timeout_ms, confidence))
+    """What was summed by the deadline, extrapolated; each task sums its rows natively, and only its sum is Python's."""
+    return float(_partial(df, column).map(lambda r: r[0]).sumApprox(timeout_ms, confidence))
 
 
 def mean_approx(df: DataFrame, column: str, timeout_ms: int, confidence: float = 0.95) -> float:
-    return float(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double")).rdd.map(lambda r: r[0]).meanApprox(timeout_ms, confidence))
+    return sum_approx(df, column, timeout_ms, confidence) / max(sum_approx(df.select(F.col(column).isNotNull().cast("double").alias(column)), column, timeout_ms, confidence), 1.0)
+
+
+def _partial(df: DataFrame, column: str) -> RDD:
+    """One row a partition: its sum."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        total = 0.0
+        for b in batches:
+            total += pc.sum(b.column(0)).as_py() or 0.0
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64())], names=["x"])
+
+    return df.select(F.col(column).cast("double")).mapInArrow(run, "x double").rdd
 
 
 def fold(rdd: RDD, zero, f: Callable):
@@ -180,3 +210,49 @@ def with_group(spark, group: str, f: Callable, about: str = ""):
 
 def cancel(spark, group: str) -> None:
     spark.interruptTag(group)
+
+
+def debug_string(df: DataFrame) -> str:
+    """The physical plan, stage by stage."""
+    return explained(df, "formatted")
+
+
+def explained(df: DataFrame, mode: str = "simple") -> str:
+    """What explain() prints: simple, extended, codegen, cost or formatted."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def measured(spark, f: Callable):
+    """f's result and the jobs, stages and tasks that it ran, with the bytes they read and shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    group = f"measured-{uuid.uuid4().hex}"
+    out = with_group(spark, group, f)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    found = {"jobs": 0, "stages": 0, "tasks": 0, "input_bytes": 0, "shuffle_bytes": 0}
+    jobs = store.jobsList(None)
+    for i in range(jobs.size()):
+        job = jobs.apply(i)
+        if group not in str(job.jobTags()):
+            continue
+        found["jobs"] += 1
+        for k in range(job.stageIds().size()):
+            stage = store.lastStageAttempt(job.stageIds().apply(k))
+            if str(stage.status()) == "COMPLETE":
+                found["stages"] += 1
+                found["tasks"] += stage.numCompleteTasks()
+                found["input_bytes"] += stage.inputBytes()
+                found["shuffle_bytes"] += stage.shuffleWriteBytes()
+    return out, found
+
+
+def profile(cores: int = 1, memory: str | None = None, task_cpus: int = 1):
+    """What executors of a kind have, for with_workers."""
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    executors = ExecutorResourceRequests().cores(cores)
+    return ResourceProfileBuilder().require(executors.memory(memory) if memory else executors).require(TaskResourceRequests().cpus(task_cpus)).build
+
+
+def with_workers(df: DataFrame, f: Callable[[Iterator], Iterator], schema, kind) -> DataFrame:
+    """map_partitions on executors of a profile; a cluster manager must be there to start them."""
+    return df.mapInArrow(f, schema, profile=kind)

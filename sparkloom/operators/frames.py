@@ -47,10 +47,18 @@ def except_all(a: DataFrame, b: DataFrame, ansi: bool = True) -> DataFrame:
     return a.exceptAll(b) if ansi else _match(a, b, "left_anti")
 
 
-def pivot(df: DataFrame, group: list[str], on: str, value: str, agg: str = "sum") -> DataFrame:
-    """One column per value of ``on`` (as strings, sorted, without null)."""
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files can't be read by so many tasks (a few large row groups); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def pivot(df: DataFrame, group: list[str], on: str, value: str, agg: str = "sum", most: int = 10_000) -> DataFrame:
+    """One column per value of ``on`` (as strings, sorted, without null); more than ``most`` values are an error."""
     key = F.col(on).cast("string")
-    values = [r[0] for r in df.where(key.isNotNull()).select(key).distinct().orderBy(key).collect()]
+    values = sorted(r[0] for r in df.where(key.isNotNull()).select(key).distinct().limit(most + 1).collect())
+    if len(values) > most:
+        raise ValueError(f"{on} has more than {most} values")
     return df.withColumn("_p", key).groupBy(*group).pivot("_p", values).agg(getattr(F, agg)(value))
 
 

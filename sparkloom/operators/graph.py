@@ -10,13 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators.lineage import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        conf = df.sparkSession.conf
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+
+_cut = cut
+
+
+def from_edges(e: DataFrame, default=None) -> tuple[DataFrame, DataFrame]:
+    """A graph from its edges; every vertex gets the default attribute."""
+    return vertices_of(e).withColumn("attr", F.lit(default)), e
+
+
+def from_pairs(pairs: DataFrame, default=None) -> tuple[DataFrame, DataFrame]:
+    """A graph from (src, dst): edges have the attribute 1."""
+    return from_edges(pairs.select("src", "dst", F.lit(1.0).alias("attr")), default)
+
+
+def from_parts(v: DataFrame, e: DataFrame, default=None) -> tuple[DataFrame, DataFrame]:
+    """A graph from both: ends of edges without a vertex get the default attribute, of repeated vertices one stays."""
+    ends = vertices_of(e).join(v.select("id"), "id", "left_anti")
+    return v.dropDuplicates(["id"]).unionByName(ends.withColumn("attr", F.lit(default).cast(dict(v.dtypes)["attr"]))), e
+
+
+def counts(v: DataFrame, e: DataFrame) -> DataFrame:
+    """(vertices, edges) as one row."""
+    return v.agg(F.count("*").alias("vertices")).crossJoin(F.broadcast(e.agg(F.count("*").alias("edges"))))
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -87,6 +105,11 @@ def join_vertices(v: DataFrame, other: DataFrame, name: str, value: str) -> Data
     return v.join(o, "id", "left").withColumn(name, F.coalesce("_new", name)).drop("_new")
 
 
+def outer_join_vertices(v: DataFrame, other: DataFrame, name: str, value) -> DataFrame:
+    """A new attribute from an expression over v's columns and other's, which are null for vertices that other(id, ...) lacks."""
+    return v.join(other, "id", "left").select(*v.columns, value.alias(name))
+
+
 def mask(v: DataFrame, e: DataFrame, other_v: DataFrame, other_e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the other graph has too; parallel edges are kept as they are."""
     return v.join(other_v.select("id"), "id", "left_semi"), e.join(other_e.select("src", "dst"), ["src", "dst"], "left_semi")
@@ -101,13 +124,13 @@ def pick_random_vertex(v: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def pregel_until_quiet(v: DataFrame, e: DataFrame, send, merge, program, most_rounds: int = 100) -> DataFrame:
-    """Like pregel, until a round sends no message."""
+    """Like pregel, until a round sends no message; that most_rounds don't get there is an error."""
     for _ in range(most_rounds):
         got = _cut(send(triplets(v, e)).groupBy("id").agg(merge(F.col("msg")).alias("msg")))
         if got.isEmpty():
-            break
+            return v
         v = _cut(program(v.join(got, "id", "left")).drop("msg"))
-    return v
+    raise RuntimeError(f"messages are still sent after {most_rounds} rounds")
 
 
 def pregel(v: DataFrame, e: DataFrame, send, merge, program, rounds: int) -> DataFrame:
@@ -118,21 +141,38 @@ def pregel(v: DataFrame, e: DataFrame, send, merge, program, rounds: int) -> Dat
     return v
 
 
+#: Rounds of page_rank after which the lineage is cut.
+CUT_EVERY = 5
+
+
 def page_rank(e: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance: float | None = None, sources: list | None = None) -> DataFrame:
-    """(id, rank): reset / n plus what in-neighbours hand on; dangling mass is lost."""
-    v = vertices_of(e)
+    """(id, rank): reset / n plus what in-neighbours hand on; dangling mass is lost.
+
+    With a tolerance it goes on until no rank moves by more; that ``rounds``
+    don't get there is an error.  Links stay partitioned by their source, and a
+    round's one shuffle leaves ranks where the links are.
+    """
+    v = _cut(vertices_of(e))
     n = v.count()
-    base = F.lit(reset / n) if sources is None else F.when(F.col("id").isin(sources), reset / len(sources)).otherwise(0.0)
-    start = F.lit(1.0 / n) if sources is None else F.when(F.col("id").isin(sources), 1.0 / len(sources)).otherwise(0.0)
-    links = e.select("src", "dst").join(e.groupBy("src").agg(F.count("*").alias("deg")), "src")
-    links = _cut(links.repartition("src"))
-    rank = _cut(v.withColumn("rank", start))
-    for _ in range(rounds):
-        handed = links.join(rank, links.src == rank.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        new = _cut(rank.join(handed, rank.id == handed.dst, "left").select("id", (base + (1 - reset) * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("was")))
-        rank = new.select("id", "rank")
-        if tolerance is not None and (new.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < tolerance:
-            break
+    at = F.col("id").isin(sources) if sources is not None else None
+    base = v.select("id", (F.lit(reset / max(n, 1)) if at is None else F.when(at, reset / len(sources)).otherwise(0.0)).alias("rank"))
+    start = v.select("id", (F.lit(1.0 / max(n, 1)) if at is None else F.when(at, 1.0 / len(sources)).otherwise(0.0)).alias("rank"))
+    deg = e.groupBy("src").agg(F.count("*").alias("deg"))
+    links = _cut(e.select("src", "dst").join(deg, "src").repartition("src"))
+    rank = start
+    for i in range(1, rounds + 1):
+        handed = links.join(rank.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), ((1 - reset) * F.col("rank") / F.col("deg")).alias("rank"))
+        new = base.union(handed).groupBy("id").agg(F.sum("rank").alias("rank"))
+        if tolerance is not None:
+            new = _cut(new)
+            moved = new.join(rank.withColumnRenamed("rank", "was"), "id").agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            if (moved or 0.0) < tolerance:
+                return new
+        elif i % CUT_EVERY == 0 and i < rounds:
+            new = _cut(new)
+        rank = new
+    if tolerance is not None:
+        raise RuntimeError(f"ranks still move by more than {tolerance} after {rounds} rounds")
     return rank
 
 
@@ -155,6 +195,14 @@ def strongly_connected(e: DataFrame) -> DataFrame:
     left, done = _cut(e.select("src", "dst").distinct()), None
     alive = _cut(vertices_of(e))
     while not alive.isEmpty():
+        # vertices that nothing enters or leaves are components of their own: no colour need travel for them
+        core = alive.join(left.select(F.col("src").alias("id")), "id", "left_semi").join(left.select(F.col("dst").alias("id")), "id", "left_semi")
+        alone = _cut(alive.join(core, "id", "left_anti").select("id", F.col("id").alias("component")))
+        if not alone.isEmpty():
+            done = alone if done is None else _cut(done.union(alone))
+            alive = _cut(core)
+            left = _cut(left.join(alive, left.src == alive.id, "left_semi").join(alive, left.dst == alive.id, "left_semi"))
+            continue
         colour = _cut(alive.withColumn("c", F.col("id")))
         while True:  # the largest id that reaches a vertex
             got = left.join(colour, left.src == colour.id).groupBy("dst").agg(F.max("c").alias("m"))
@@ -173,7 +221,7 @@ def strongly_connected(e: DataFrame) -> DataFrame:
         done = part if done is None else _cut(done.union(part))
         alive = _cut(alive.join(part, "id", "left_anti"))
         left = _cut(left.join(alive, left.src == alive.id, "left_semi").join(alive, left.dst == alive.id, "left_semi"))
-    return done
+    return done if done is not None else alive.withColumn("component", F.col("id"))
 
 
 def label_propagation(e: DataFrame, rounds: int = 5) -> DataFrame:

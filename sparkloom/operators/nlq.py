@@ -9,7 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,7 +36,7 @@ def run_plan(steps: list[Step], tools: dict[str, Callable]) -> dict:
         if not wave:
             raise ValueError(f"steps wait for each other: {sorted(left)}")
         with ThreadPoolExecutor(len(wave)) as pool:
-            for s, out in zip(wave, pool.map(lambda s: tools[s.tool](**s.args, **{d: done[d] for d in s.depends_on}), wave), strict=True):
+            for s, out in zip(wave, pool.map(lambda s: resolve(tools, s.tool)(**s.args, **{d: done[d] for d in s.depends_on}), wave), strict=True):
                 done[s.id] = out
                 left.pop(s.id)
     return done
@@ -72,25 +74,118 @@ def llm_map(df: DataFrame, name: str, kind: str, client: Callable[[list[str]], l
     return df.mapInPandas(run, _with(df, name, kind))
 
 
-def vector_search(queries: DataFrame, index: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+def vector_search(queries: DataFrame, index: DataFrame, k: int, most_queries: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
     """The k nearest of index(id, vector) by cosine for each of queries(qid, q); a zero norm scores 0.
 
-    The stated queries are dealt into blocks of about most_queries, each
-    broadcast on its own; the index is read in place and keeps k per task and
-    query before anything is shuffled.
+    Scores count to 12 digits, ties go to the smaller id.  The stated queries are
+    dealt into blocks of at most about most_bytes, each broadcast on its own; a
+    task multiplies its vectors with a block and keeps k for each query.
     """
-    parts = max(1, -(-queries.count() // most_queries))
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("x")).first()
+    parts = max(1, -(-size["n"] // most_queries), -(-(8 * size["x"] + 16 * size["n"]) // most_bytes))
     block = F.pmod(F.xxhash64("qid"), F.lit(parts))
     return reduce(DataFrame.union, [_nearest(queries.where(block == i), index, k) for i in range(parts)])
 
 
+def _matrix(lists, n: int) -> np.ndarray:
+    """The rows of a list column at unit length; null vectors and those of no length are zero."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(lists) and not lists.null_count and len(flat) % len(lists) == 0 and (np.diff(lists.offsets.to_numpy()) == len(flat) // len(lists)).all():
+        rows = flat.reshape(len(lists), -1)
+    else:
+        rows = np.array([x if x is not None and len(x) == n else [0.0] * n for x in lists.to_pylist()], np.float64).reshape(len(lists), n)
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
 def _nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    both = index.withColumn("_n", norm(F.col("vector"))).crossJoin(F.broadcast(queries.withColumn("_m", norm(F.col("q")))))
-    scored = both.select("qid", "id", F.coalesce(F.try_divide(dot(F.col("vector"), F.col("q")), F.col("_n") * F.col("_m")), F.lit(0.0)).alias("score"))
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    got = queries.select("qid", "q").orderBy("qid").toArrow()
+    width = max((len(x) for x in got.column("q").to_pylist() if x is not None), default=0)
+    held = queries.sparkSession.sparkContext.broadcast(_matrix(got.column("q"), width))
+
+    def run(batches):
+        ids, score = np.zeros((0, 0), np.int64), None
+        q = held.value
+        for batch in batches:
+            own = np.round(_matrix(batch.column(1), q.shape[1]) @ q.T, 12).T if q.size else np.zeros((len(q), batch.num_rows))
+            new = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), own.shape)
+            ids, score = (new, own) if score is None else (np.concatenate((ids, new), axis=1), np.concatenate((score, own), axis=1))
+            best = np.lexsort((ids, -score), axis=1)[:, :k]
+            ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
+        if score is not None:
+            at = np.repeat(np.arange(len(q)), score.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ids.ravel(), pa.int64()), pa.array(score.ravel(), pa.float64())], names=["at", "id", "score"])
+
+    found = index.select(F.col("id").cast("long"), "vector").mapInArrow(run, "at long, id long, score double")
+    w = W.partitionBy("at").orderBy(F.desc("score"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    names = queries.sparkSession.createDataFrame(got.select(["qid"]).append_column("at", pa.array(np.arange(got.num_rows), pa.int64())))
+    return ranked.join(F.broadcast(names), "at").select("qid", "id", "score", "rank")
+
+
+@dataclass
+class VectorIndex:
+    """Vectors of one width by id, in a folder that all executors share: upserts replace what has the same id."""
+
+    spark: object
+    path: str
+    dim: int
+
+    def upsert(self, rows: DataFrame) -> int:
+        """rows(id, vector); of repeated ids the last in vector order stays.  Vectors of another width are an error."""
+        wrong = rows.where(F.col("vector").isNull() | (F.size("vector") != self.dim)).count()
+        if wrong:
+            raise ValueError(f"{wrong} vectors are not of width {self.dim}")
+        version = self._versions()
+        new = rows.groupBy("id").agg(F.max("vector").alias("vector"))
+        if version:
+            new = new.unionByName(self.frame().join(new.select("id"), "id", "left_anti"))
+        new.write.parquet(f"{self.path}/{version + 1}")
+        self._name(version + 1)
+        return version + 1
+
+    def _file(self):
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> int:
+        at, fs = self._file()
+        if not fs.exists(at):
+            return 0
+        held = fs.open(at)
+        try:
+            return held.readInt()
+        finally:
+            held.close()
+
+    def _name(self, version: int) -> None:
+        at, fs = self._file()
+        held = fs.create(at, True)
+        held.writeInt(version)
+        held.close()
+
+    def frame(self) -> DataFrame:
+        version = self._versions()
+        return self.spark.read.parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], "id long, vector array<float>")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return vector_search(queries, self.frame(), k)
+
+
+def batches_for(rows: int, tokens_each: float, most_tokens: int, most_rows: int = 50) -> int:
+    """The batching rule: rows that a call of a model takes, so that its tokens stay in bounds; 1 at least."""
+    return max(1, min(most_rows, int(most_tokens // max(tokens_each, 1e-9)), max(rows, 1)))
+
+
+def resolve(tools: dict[str, Callable], name: str) -> Callable:
+    """A tool by its name, in any case and with dashes or dots for underscores; none or several that fit are an error."""
+    plain = lambda x: x.lower().replace("-", "_").replace(".", "_")
+    fits = [t for t in tools if t == name] or [t for t in tools if plain(t) == plain(name)]
+    if len(fits) != 1:
+        raise ValueError(f"{len(fits)} tools fit {name}")
+    return tools[fits[0]]
 
 
 def embed(df: DataFrame, column: str, name: str, client: Callable[[list[str]], list[list[float]]], dim: int, batch_size: int = 50) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,47 @@ def table_names(spark: SparkSession) -> list[str]:
     return [t.name for t in spark.catalog.listTables()]
 
 
+def database_names(spark: SparkSession) -> list[str]:
+    return [d.name for d in spark.catalog.listDatabases()]
+
+
+def schema_names(spark: SparkSession, catalog: str | None = None) -> list[str]:
+    """The schemas (databases) of a catalog, by default the current one."""
+    return [r[0] for r in spark.sql(f"SHOW SCHEMAS{f' IN {catalog}' if catalog else ''}").collect()]
+
+
+def parallelize(spark: SparkSession, rows: list, schema: str, partitions: int | None = None) -> DataFrame:
+    """Rows of the driver, dealt over partitions."""
+    df = spark.createDataFrame(rows, schema)
+    return df.repartition(partitions) if partitions else df
+
+
+def partitioned(spark: SparkSession, batches: list) -> DataFrame:
+    """Arrow batches of one schema, a partition each."""
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(batches)
+    at = pa.array([i for i, b in enumerate(batches) for _ in range(b.num_rows)], pa.int32())
+    return spark.createDataFrame(table.append_column("_at", at)).repartitionById(len(batches), F.col("_at")).drop("_at")
+
+
+def batches(df: DataFrame, most_rows: int = 10_000) -> Iterator:
+    """df as Arrow batches, a partition at a time in the driver."""
+    import pyarrow as pa
+
+    def packed(rows):
+        for b in rows:
+            held = io.BytesIO()
+            with pa.ipc.new_stream(held, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], names=["b"])
+
+    for r in df.mapInArrow(packed, "b binary").toLocalIterator():
+        for b in pa.ipc.open_stream(r["b"]):
+            for at in range(0, b.num_rows, most_rows):
+                yield b.slice(at, most_rows)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -38,11 +38,34 @@ def windowed(df: DataFrame, keys: list[str], aggs: list, size: str, slide: str |
     return out.select(F.unix_millis("w.start").alias("window_start"), *keys, *out.columns[1 + len(keys) :]).where("window_start >= 0")
 
 
-def sessions(df: DataFrame, keys: list[str], aggs: list, gap: str, at: str = "event_time") -> DataFrame:
-    """Sessions from their first to their last event."""
+def sessions(df: DataFrame, keys: list[str], aggs: list, gap: str, at: str = "event_time", unit: str = "millis") -> DataFrame:
+    """Sessions from their first to their last event, in whole milliseconds begun or in microseconds."""
     out = df.groupBy(F.session_window(at, gap).alias("w"), *keys).agg(*aggs, F.max(at).alias("_last"))
     named = [c for c in out.columns if c not in ("w", "_last", *keys)]
-    return out.select(F.unix_millis("w.start").alias("session_start"), F.unix_millis("_last").alias("session_end"), *keys, *named)
+    since = {"millis": F.unix_millis, "micros": F.unix_micros}[unit]
+    return out.select(since("w.start").alias("session_start"), since("_last").alias("session_end"), *keys, *named)
+
+
+def panes(df: DataFrame, keys: list[str], aggs: list, slide: str, at: str = "event_time") -> DataFrame:
+    """What a sliding window adds up, once per slide."""
+    return windowed(df, keys, aggs, slide, at=at)
+
+
+def reduce_by_window(done: DataFrame, keys: list[str], value: str, size_ms: int, slide_ms: int) -> DataFrame:
+    """Sums over sliding windows from the panes (window_start, keys, value) that a stream left.
+
+    A window is what has come in up to its end less what had come in up to its
+    start (the inverse of the sum), so a pane is read twice however long windows are.
+    """
+    if size_ms % slide_ms:
+        raise ValueError("windows are whole slides")
+    change = lambda at, sign: F.struct((F.col("window_start") + at).alias("t"), (sign * F.col(value)).alias("d"), F.lit(sign).alias("c"))
+    steps = done.select(*keys, F.explode(F.array(change(0, 1), change(size_ms, -1))).alias("x"))
+    steps = steps.groupBy(*keys, F.col("x.t").alias("t")).agg(F.sum("x.d").alias("d"), F.sum("x.c").alias("c"))
+    w = W.partitionBy(*keys).orderBy("t")
+    running = steps.select(*keys, "t", F.sum("d").over(w).alias(value), F.sum("c").over(w).alias("_panes"), F.lead("t").over(w).alias("_next")).where("_panes > 0")
+    each = F.explode(F.sequence(F.col("t"), F.col("_next") - slide_ms, F.lit(slide_ms).cast("long")))
+    return running.select(*keys, each.alias("_t"), value).select((F.col("_t") - (size_ms - slide_ms)).alias("window_start"), *keys, value)
 
 
 def dedup(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,19 +106,23 @@ def sql(df: DataFrame, text: str) -> DataFrame:
     return df.sparkSession.sql(text, input=df)
 
 
-def drained(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def drained(df: DataFrame, mode: str = "append", keys: list[str] | None = None, at: str | None = None, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Runs the stream until its source is drained; the result as a table.
 
     Each epoch is written under its own name, so a repeated epoch replaces
     itself.  append: all epochs; complete: the last; update: the last row of
-    each of the keys.
+    each of the keys; epochs: all, with their number.  With the folder ``at`` of
+    an earlier run it goes on where that one stopped.  each: what an epoch's rows
+    become before they are written.
     """
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/sparkloom-stream-{uuid.uuid4().hex}"
-    schema = df.schema
+    at = at or f"{shared_folder(spark)}/sparkloom-stream-{uuid.uuid4().hex}"
+    numbered, mode = mode == "epochs", "append" if mode == "epochs" else mode
+    each = each or (lambda batch: batch)
+    schema = each(spark.createDataFrame([], df.schema)).schema
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+        each(batch).write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/check").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -105,7 +132,89 @@ def drained(df: DataFrame, mode: str = "append", keys: list[str] | None = None)
     elif mode == "update":
         w = W.partitionBy(*keys).orderBy(F.desc("epoch"))
         out = out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return out.drop("epoch")
+    return out if numbered else out.drop("epoch")
+
+
+class Queue:
+    """A source that is fed by hand: what is put in becomes one micro-batch, in order."""
+
+    def __init__(self, spark: SparkSession, schema, path: str | None = None):
+        self.spark, self.schema = spark, schema
+        self.path = path or f"{shared_folder(spark)}/sparkloom-queue-{uuid.uuid4().hex}"
+        self.held = 0
+
+    def put(self, rows) -> Queue:
+        """A DataFrame, or rows of the schema, as one file; files are read in the order of their times."""
+        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schema)
+        df.coalesce(1).write.parquet(f"{self.path}/{self.held:08d}")
+        self.held += 1
+        return self
+
+    def stream(self) -> DataFrame:
+        schema = self.schema if not isinstance(self.schema, str) else self.spark.createDataFrame([], self.schema).schema
+        return file_source(self.spark, f"{self.path}/*", schema, files_per_batch=1)
+
+
+TRIGGERS = {"drain": {"availableNow": True}, "once": {"once": True}}
+
+
+def start(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", trigger: str = "drain", path: str | None = None, name: str | None = None, **options):
+    """A query on a sink; trigger: drain, once, an interval ("5 seconds") or "continuous 1 second"."""
+    writer = df.writeStream.format(sink).outputMode(mode).option("checkpointLocation", checkpoint).options(**options)
+    if name:
+        writer = writer.queryName(name)
+    kind = TRIGGERS.get(trigger) or ({"continuous": trigger.split(" ", 1)[1]} if trigger.startswith("continuous ") else {"processingTime": trigger})
+    writer = writer.trigger(**kind)
+    return writer.start(path) if path else writer.start()
+
+
+def status(query) -> dict:
+    """What a query's handle tells: name, id, active, rows and number of the last batch, its error."""
+    last = query.lastProgress
+    return {
+        "name": query.name, "id": str(query.id), "active": query.isActive, "batch": last["batchId"] if last else None,
+        "rows": last["numInputRows"] if last else 0, "error": str(query.exception()) if query.exception() else None,
+    }
+
+
+class Streams:
+    """Queries that start and stop together, each with a checkpoint in one folder.
+
+    Made again with the same folder they go on where they stopped.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.made, self.running = spark, folder, {}, {}
+
+    def add(self, name: str, make: Callable[[], DataFrame], put: Callable[[DataFrame, int], None], mode: str = "append", trigger: str = "drain") -> Streams:
+        """make builds the stream, put takes its batches."""
+        if self.running:
+            raise RuntimeError("streams have started")
+        self.made[name] = (make, put, mode, trigger)
+        return self
+
+    def start(self) -> Streams:
+        for name, (make, put, mode, trigger) in self.made.items():
+            kind = TRIGGERS.get(trigger) or {"processingTime": trigger}
+            writer = make().writeStream.outputMode(mode).option("checkpointLocation", f"{self.folder}/{name}").foreachBatch(put)
+            self.running[name] = writer.queryName(f"{name}-{uuid.uuid4().hex[:8]}").trigger(**kind).start()
+        return self
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Whether all have ended; the first error goes up."""
+        return all([q.awaitTermination(seconds) if seconds else q.awaitTermination() is None for q in self.running.values()])
+
+    def stop(self) -> None:
+        """After the batches that run."""
+        for q in self.running.values():
+            q.stop()
+        self.running = {}
+
+
+def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str | None = None):
+    """Rows as JSON, at least once; needs the Kafka connector's jar."""
+    rows = df.select(*([F.col(key).cast("string").alias("key")] if key else []), F.to_json(F.struct(*df.columns)).alias("value"))
+    return start(rows, "kafka", checkpoint, **{"kafka.bootstrap.servers": servers, "topic": topic})
 
 
 def stateful(df: DataFrame, keys: list[str], step: Callable, output: str, state: str, timeout: str = "none", mode: str = "update") -> DataFrame:

@@ -1,10 +1,11 @@
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import udfs
 from sparkloom.operators import elements, frames, keyed
-from sparkloom.sources import tables
+from sparkloom.sources import session, tables
 
 
 def test_zip_wants_one_length(spark):
@@ -20,6 +21,51 @@ def test_take_sample_is_exact(spark):
     assert elements.take_sample(spark.range(3), 17).count() == 3
 
 
+def test_numbers_of_rows_follow_the_order(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("k"), "id")
+    got = keyed.zip_with_index(df, ["k", "id"]).collect()
+    assert [r["k"] for r in sorted(got, key=lambda r: r["index"])] == sorted(r["k"] for r in got) and {r["index"] for r in got} == set(range(5000))
+    assert keyed.zip_with_index(df.limit(0), ["k"]).count() == 0
+
+
+def test_folds_in_parts(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(300)], "k long, v long")
+    got = keyed.fold_by_key(df, "k", "v", F.lit(0).cast("long"), lambda a, x: a + 2 * x, merge=lambda a, b: a + b, salts=5)
+    assert dict(map(tuple, got.collect())) == {k: 2 * sum(range(k, 300, 3)) for k in range(3)}
+
+
+def test_bounds_are_kept(spark):
+    df = spark.createDataFrame([(i, i) for i in range(30)], "k long, v long")
+    assert keyed.collect_as_map(df, "k", "v") == {i: i for i in range(30)}
+    with pytest.raises(ValueError):
+        keyed.collect_as_map(df, "k", "v", most=29)
+    with pytest.raises(ValueError):
+        frames.pivot(df, ["v"], "k", "v", most=29)
+
+
+def test_settings_come_back(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with pytest.raises(KeyError), session.settings(spark, spark__sql__shuffle__partitions="3", my__own="x"):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3" and spark.conf.get("my.own") == "x"
+        raise KeyError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("my.own", None) is None
+    assert session.session() is spark or session.session().sparkContext is spark.sparkContext
+
+
+def test_a_profile_of_workers():
+    from pyspark.resource import ResourceProfile
+
+    made = elements.profile(cores=2, memory="1g")
+    assert isinstance(made, ResourceProfile)
+
+
+def test_batches_and_partitions(spark):
+    cut = pa.table({"x": list(range(20))}).to_batches(max_chunksize=6)
+    df = tables.partitioned(spark, cut)
+    assert sorted(len(r["values"]) for r in elements.glom(df, "x").collect()) == [2, 6, 6, 6]
+    assert sorted(x for b in tables.batches(df, 4) for x in b.column(0).to_pylist()) == list(range(20))
+
+
 def test_glom_and_unique_ids(spark):
     df = spark.range(0, 12, 1, 3)
     assert sorted(sum((r["values"] for r in elements.glom(df, "id").collect()), [])) == list(range(12))

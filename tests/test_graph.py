@@ -80,16 +80,57 @@ def test_label_propagation(spark, pairs):
     assert dict(map(tuple, graph.label_propagation(frame(spark, pairs), rounds=2).collect())) == label
 
 
-def test_messages_and_maps(spark):
-    v = spark.createDataFrame([(0, 100), (1, 200), (2, 300)], "id long, w long")
-    e = spark.createDataFrame([(0, 1, 5), (1, 2, 7)], "src long, dst long, attr long")
-    total = graph.map_triplets(v, e, F.col("attr") + F.col("src_w") + F.col("dst_w"))
-    assert sorted(r["attr"] for r in total.collect()) == [305, 507]
-    got = graph.aggregate_messages(v, e, to_dst=F.col("src_w"), to_src=F.col("dst_w"))
-    assert dict(map(tuple, got.collect())) == {0: 200, 1: 400, 2: 200}
-    assert graph.reverse(e).where("src = 2").count() == 1 and graph.find(e, 0, 1).count() == 1
-    new = graph.join_vertices(v, spark.createDataFrame([(1, 9)], "id long, x long"), "w", "x")
-    assert {r["id"]: r["w"] for r in new.collect()} == {0: 100, 1: 9, 2: 300}
+def weighted(spark, pairs, seed):
+    r = random.Random(seed)
+    v = {x: r.randint(-50, 50) for x in nodes(pairs)}
+    e = [(a, b, r.randint(1, 9)) for a, b in pairs for _ in range(r.choice([1, 1, 2]))]
+    return v, e, spark.createDataFrame(list(v.items()), "id long, w long"), spark.createDataFrame(e, "src long, dst long, attr long")
+
+
+def test_triplets_and_messages(spark, pairs):
+    v, e, vs, es = weighted(spark, pairs, 3)
+    got = graph.map_triplets(vs, es, F.col("attr") * F.col("src_w") - F.col("dst_w"))
+    assert Counter(map(tuple, got.collect())) == Counter((a, b, w * v[a] - v[b]) for a, b, w in e)
+    told = defaultdict(list)
+    for a, b, w in e:
+        told[b].append(v[a])
+        if w > 4:  # null sends nothing
+            told[a].append(w)
+    got = graph.aggregate_messages(vs, es, to_dst=F.col("src_w"), to_src=F.when(F.col("attr") > 4, F.col("attr")), merge=F.max)
+    assert dict(map(tuple, got.collect())) == {k: max(x) for k, x in told.items()}
+
+
+def test_edges_found_and_turned(spark, pairs):
+    v, e, vs, es = weighted(spark, pairs, 4)
+    assert Counter(map(tuple, graph.reverse(es).collect())) == Counter((b, a, w) for a, b, w in e)
+    a, b, _ = e[0]
+    assert graph.find(es, a, b).count() == sum(x[:2] == (a, b) for x in e) and graph.find(es, -1, b).isEmpty()
+    new = graph.join_vertices(vs, spark.createDataFrame([(e[0][0], 99), (-5, 1)], "id long, x long"), "w", "x")
+    assert dict(map(tuple, new.select("id", "w").collect())) == v | {e[0][0]: 99}
+
+
+def test_vertices_of_a_graph_from_parts(spark, pairs):
+    some = spark.createDataFrame([(pairs[0][0], 5), (pairs[0][0], 5), (1000, 6)], "id long, attr long")
+    v, _ = graph.from_parts(some, frame(spark, pairs), -1)
+    assert dict(map(tuple, v.collect())) == {x: -1 for x in nodes(pairs)} | {pairs[0][0]: 5, 1000: 6} and v.count() == len(nodes(pairs)) + 1
+
+
+def test_rounds_that_do_not_end_are_an_error(spark):
+    v, e = spark.createDataFrame([(0, 0), (1, 0)], "id long, n long"), spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, attr double")
+    send = lambda t: t.select(F.col("dst").alias("id"), (F.col("src_n") + 1).alias("msg"))
+    with pytest.raises(RuntimeError):
+        graph.pregel_until_quiet(v, e, send, F.max, lambda x: x.withColumn("n", F.col("msg")), most_rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.page_rank(spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "src long, dst long"), rounds=2, tolerance=1e-12)
+
+
+def test_personal_ranks_start_and_stay_near_their_sources(spark, pairs):
+    v, out = nodes(pairs), Counter(a for a, _ in pairs)
+    home = {x: float(x == v[0]) for x in v}
+    rank = dict(home)
+    for _ in range(7):
+        rank = {x: 0.15 * home[x] + 0.85 * sum(rank[a] / out[a] for a, b in pairs if b == x) for x in v}
+    assert dict(map(tuple, graph.page_rank(frame(spark, pairs), rounds=7, sources=[v[0]]).collect())) == pytest.approx(rank)
 
 
 def test_pregel_runs_until_quiet(spark):

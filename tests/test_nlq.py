@@ -51,3 +51,32 @@ def test_vector_search_in_blocks(spark):
     whole = sorted(map(tuple, nlq.vector_search(queries, index, 2).collect()))
     assert whole == sorted(map(tuple, nlq.vector_search(queries, index, 2, most_queries=1).collect()))
     assert {(r[0], r[1]) for r in whole if r[3] == 1} == {(0, 1), (1, 0), (2, 8)}
+
+
+def test_vectors_that_tie_go_by_id(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in (9, 4, 7, 2, 1, 8)] + [(3, None)]
+    index = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(5, [0.0, 2.0]), (6, None)], "qid long, q array<double>")
+    got = [tuple(r)[:2] for r in sorted(nlq.vector_search(queries, index, 2).collect(), key=lambda r: (r["qid"], r["rank"]))]
+    assert got == [(5, 9), (5, 1), (6, 1), (6, 2)]
+    assert nlq.vector_search(queries.limit(0), index, 2).count() == 0 and nlq.vector_search(queries, index.limit(0), 2).count() == 0
+
+
+def test_an_index_takes_new_vectors_for_old(spark, tmp_path):
+    index = nlq.VectorIndex(spark, str(tmp_path / "index"), 2)
+    assert index.frame().count() == 0
+    index.upsert(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<float>"))
+    index.upsert(spark.createDataFrame([(2, [1.0, 0.1]), (3, [0.0, 2.0])], "id long, vector array<float>"))
+    q = spark.createDataFrame([(0, [0.0, 1.0])], "qid long, q array<float>")
+    assert [r["id"] for r in index.search(q, 1).collect()] == [3] and index.frame().count() == 3
+    with pytest.raises(ValueError):
+        index.upsert(spark.createDataFrame([(4, [1.0])], "id long, vector array<float>"))
+    assert nlq.VectorIndex(spark, str(tmp_path / "index"), 2).frame().count() == 3
+
+
+def test_tools_by_name():
+    tools = {"Count_Rows": 1, "count.tables": 2, "a-b": 3, "a_b": 4}
+    assert nlq.resolve(tools, "count-rows") == 1 and nlq.resolve(tools, "COUNT_TABLES") == 2 and nlq.resolve(tools, "a_b") == 4
+    for name in ("none", "A.B"):
+        with pytest.raises(ValueError):
+            nlq.resolve(tools, name)
