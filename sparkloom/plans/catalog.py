@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import frames, graph, keyed, nlq
-from sparkloom.plans import families, streams  # noqa: F401  (they register their queries)
+from sparkloom.plans import elements, families, graphs, language, micro, streams, tables  # noqa: F401  (they register their queries)
 from sparkloom.plans.registry import ORACLES, QUERIES, TABLES, plain, query  # noqa: F401
 from sparkloom.sources.tables import load
 
@@ -154,8 +154,8 @@ def stat_counter(spark, d):
 
 @query("SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY lower(w)")
 def word_count(spark, d):
-    words = load(spark, d, "documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    return words.where("w <> ''").groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+    words = F.filter(F.split(F.lower("text"), "[ \n]"), lambda w: w != "")
+    return frames.spread(load(spark, d, "documents").select("text")).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, count(*) AS n, window_start FROM (SELECT user_id, epoch_ms(ts) // 3600000 * 3600000 AS window_start FROM events) GROUP BY user_id, window_start")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import elements
 from sparkloom.plans.registry import query
+from sparkloom.plans.tables import one_row, scratch
+from sparkloom.sources.tables import load, text_lines, write
 from sparkloom.streaming import windows
 
 
@@ -29,7 +32,16 @@ def stream_sliding(spark, d):
 
 @query("SELECT user_id, min(epoch_ms(ts)) AS session_start, max(epoch_ms(ts)) AS session_end, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 def stream_sessions(spark, d):
-    return windows.drained(windows.sessions(_events(spark, d), ["user_id"], [F.count("*").alias("n")], "30 minutes"), "complete")
+    """In milliseconds to the nearest, as the SQL has them."""
+    out = windows.drained(windows.sessions(_events(spark, d), ["user_id"], [F.count("*").alias("n")], "30 minutes", unit="micros"), "complete")
+    near = lambda c: F.expr(f"({c} + 500) div 1000").alias(c)
+    return out.select(near("session_start"), near("session_end"), "user_id", "n")
+
+
+@query("SELECT user_id, min(epoch_us(ts)) AS session_start, max(epoch_us(ts)) AS session_end, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 600000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def stream_sessions_exact(spark, d):
+    aggs = [F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")]
+    return windows.drained(windows.sessions(_events(spark, d), ["user_id"], aggs, "10 minutes", unit="micros"), "complete")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -53,3 +65,238 @@ def stream_keyed_state(spark, d):
 @query("SELECT event_id, value * 2 AS twice FROM events WHERE value > 100")
 def stream_stateless_sql(spark, d):
     return windows.drained(windows.sql(_events(spark, d), "SELECT event_id, value * 2 AS twice FROM {input} WHERE value > 100"), "append")
+
+
+EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def _plain(spark, d) -> DataFrame:
+    return load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+
+
+def _queue(spark, d, parts: int) -> windows.Queue:
+    """events by event_id, dealt over micro-batches."""
+    q, e = windows.Queue(spark, EVENT), _plain(spark, d)
+    for k in range(parts):
+        q.put(e.where(F.col("event_id") % parts == k))
+    return q
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_csv(spark, d):
+    at = scratch(spark)
+    write(load(spark, d, "events").select("event_id", "user_id", "event_type"), "csv", at)
+    return windows.drained(windows.file_source(spark, at, "event_id long, user_id long, event_type string", "csv", header=True))
+
+
+@query("SELECT upper(event_type) AS value FROM events")
+def stream_text(spark, d):
+    at = scratch(spark)
+    text_lines(load(spark, d, "events"), "event_type", at)
+    return windows.drained(windows.text_source(spark, at).select(F.upper("value").alias("value")))
+
+
+@query("SELECT event_id % 4 AS epoch, count(*) AS n FROM events GROUP BY 1")
+def stream_batch_counts(spark, d):
+    return windows.drained(_queue(spark, d, 4).stream(), "epochs", each=lambda b: b.agg(F.count("*").alias("n")))
+
+
+@query("SELECT event_id % 3 AS epoch, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_batch_values(spark, d):
+    return windows.drained(_queue(spark, d, 3).stream(), "epochs", each=lambda b: b.groupBy("event_type").agg(F.count("*").alias("n")))
+
+
+@query("SELECT event_id % 3 AS epoch, event_id FROM events")
+def stream_batch_glom(spark, d):
+    return windows.drained(_queue(spark, d, 3).stream(), "epochs", each=lambda b: elements.glom(b, "event_id").select(F.explode("values").alias("event_id")))
+
+
+@query("SELECT event_id % 2 AS epoch, event_type, count(*) AS n, (SELECT count(*) FROM events o WHERE o.event_id % 2 = e.event_id % 2) AS of FROM events e GROUP BY 1, event_type, 4")
+def stream_batch_cached(spark, d):
+    """Each batch is read twice: it is kept while that lasts."""
+
+    def each(b):
+        held = elements.persist(b)
+        return held.groupBy("event_type").agg(F.count("*").alias("n")).crossJoin(F.broadcast(held.agg(F.count("*").alias("of"))))
+
+    return windows.drained(_queue(spark, d, 2).stream(), "epochs", each=each)
+
+
+@query("SELECT e.event_id, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey")
+def stream_static_join(spark, d):
+    return windows.drained(_events(spark, d).join(load(spark, d, "customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "c_name"))
+
+
+@query("SELECT w AS window_start, event_type, cast(sum(v) AS BIGINT) AS total FROM (SELECT event_type, cast(floor(value) AS BIGINT) AS v, unnest([epoch_us(ts) // 600000000 * 600000, epoch_us(ts) // 600000000 * 600000 - 600000, epoch_us(ts) // 600000000 * 600000 - 1200000]) AS w FROM events) GROUP BY 1, 2")
+def stream_reduced_windows(spark, d):
+    """Windows of three panes, from what a stream of panes left."""
+    e = _events(spark, d).withColumn("v", F.floor("value"))
+    done = windows.drained(windows.panes(e, ["event_type"], [F.sum("v").alias("total")], "10 minutes"), "complete")
+    return windows.reduce_by_window(done, ["event_type"], "total", 1_800_000, 600_000)
+
+
+@query("SELECT user_id, count(*) AS state FROM events GROUP BY user_id")
+def stream_updated_state(spark, d):
+    out = windows.update_state(_queue(spark, d, 3).stream(), "user_id", "value", lambda values, old: old + len(values), 0, "long")
+    return windows.drained(out, "update", ["user_id"])
+
+
+def _largest(key, batches, state):
+    most = max([state.get[0] if state.exists else float("-inf"), *(float(b["value"].max()) for b in batches)])
+    state.update((most,))
+    import pandas as pd
+
+    yield pd.DataFrame({"event_type": [key[0]], "most": [most]})
+
+
+@query("SELECT event_type, max(value) AS most FROM events GROUP BY event_type")
+def stream_mapped_state(spark, d):
+    out = windows.stateful(_queue(spark, d, 3).stream(), ["event_type"], _largest, "event_type string, most double", "most double")
+    return windows.drained(out, "update", ["event_type"])
+
+
+def _quiet(key, batches, state):
+    import pandas as pd
+
+    if state.hasTimedOut:
+        n, last = state.get
+        state.remove()
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last]})
+        return
+    n, last = state.get if state.exists else (0, 0)
+    for b in batches:
+        n, last = n + len(b), max(last, int(b["ms"].max()))
+    state.update((n, last))
+    state.setTimeoutTimestamp(last + 3_600_000)
+
+
+@query("SELECT user_id, count(*) AS n, max(epoch_us(ts) // 1000) AS last FROM events GROUP BY user_id HAVING max(epoch_us(ts) // 1000) + 3600000 < (SELECT max(epoch_us(ts) // 1000) FROM events)")
+def stream_timeouts(spark, d):
+    """Who has been quiet for an hour when the stream ends is told of once."""
+    e = windows.Queue(spark, EVENT).put(_plain(spark, d)).stream().withColumn("ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds")
+    out = windows.stateful(e, ["user_id"], _quiet, "user_id long, n long, last long", "n long, last long", timeout="event", mode="append")
+    return windows.drained(out)
+
+
+LATE = """WITH a AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 3600000000 * 3600000 AS w FROM events), m AS (SELECT max(us) // 1000 - 172800000 AS mark FROM a WHERE event_id % 3 = 0)"""
+
+
+@query(f"{LATE} SELECT w AS window_start, event_type, count(*) AS n FROM a, m WHERE event_id % 3 < 2 OR w + 3600000 > mark GROUP BY 1, 2")
+def stream_late_rows(spark, d):
+    """The third batch comes when the first's mark holds: what lies in windows that ended before it is dropped."""
+    e = _queue(spark, d, 3).stream().withColumn("event_time", F.col("ts")).withWatermark("event_time", "2 days")
+    return windows.drained(windows.windowed(e, ["event_type"], [F.count("*").alias("n")], "1 hour"), "update", ["window_start", "event_type"])
+
+
+@query("SELECT cast(user_id AS VARCHAR) AS user_id, cast(sum(cast(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY user_id")
+def stream_restarted(spark, d):
+    """A second run with the folder of the first goes on with its state, and reads only what is new."""
+    e, at = _plain(spark, d), scratch(spark)
+    q = windows.Queue(spark, EVENT).put(e.where("event_id % 2 = 0"))
+    run = lambda: windows.drained(windows.running_totals(q.stream().select(F.col("user_id").cast("string").alias("user_id"), F.floor("value").alias("amount")), "user_id", "amount"), "update", ["user_id"], at=at)
+    run()
+    q.put(e.where("event_id % 2 = 1"))
+    return run()
+
+
+def _sides(spark, d):
+    """Clicks and purchases; a last batch of each, far ahead, moves the mark past all others."""
+    e, sides = _plain(spark, d), []
+    for user, kind, i, t in ((-1, "click", "click_id", "lt"), (-2, "purchase", "purchase_id", "rt")):
+        end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(user).cast("long").alias("user_id"), F.lit(kind).alias("event_type"), F.lit(0.0).alias("value"))
+        q = windows.Queue(spark, EVENT).put(e.where(F.col("event_type") == kind)).put(end)
+        sides.append(q.stream().select("user_id", F.col("event_id").alias(i), F.col("ts").alias(t)).withWatermark(t, "1 hour"))
+    return sides
+
+
+def _outer(how: str):
+    def run(spark, d):
+        both = windows.interval_join(*_sides(spark, d), "user_id", "lt", "rt", "1 hour", how)
+        return windows.drained(both.select("click_id", "purchase_id"), "append")
+
+    run.__name__ = f"stream_{how}_outer_join"
+    sides = "(SELECT * FROM events WHERE event_type = 'click') a {} JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000"
+    return query(f"SELECT a.event_id AS click_id, b.event_id AS purchase_id FROM {sides.format(how.upper())}")(run)
+
+
+stream_left_outer_join, stream_right_outer_join, stream_full_outer_join = _outer("left"), _outer("right"), _outer("full")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click'")
+def stream_file_sink(spark, d):
+    at = scratch(spark)
+    windows.to_files(_events(spark, d).where("event_type = 'click'").select("event_id", "value"), f"{at}/out", f"{at}/check").awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_memory_sink(spark, d):
+    at = scratch(spark)
+    name = f"q_{at.rsplit('-', 1)[-1]}"
+    windows.to_memory(_events(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), name, at, "complete").awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_per_batch(spark, d):
+    """Each micro-batch is handed to a function, which writes it."""
+    at = scratch(spark)
+    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+    windows.per_batch(_queue(spark, d, 3).stream().select("event_id", "event_type"), put, f"{at}/check").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("epoch")
+
+
+@query("SELECT true AS once, true AS every, true AS ended, true AS rows, true AS told, count(*) AS n FROM events")
+def stream_handles(spark, d):
+    """Triggers, what a query's handle says, and a listener that hears of it."""
+    at, e = scratch(spark), _queue(spark, d, 2).stream()
+    heard = windows.Progress()
+    spark.streams.addListener(heard)
+    try:
+        once = windows.start(e, "parquet", f"{at}/c1", trigger="drain", path=f"{at}/o1", name=f"q{at[-6:]}")
+        once.awaitTermination()
+        every = windows.start(e, "parquet", f"{at}/c2", trigger="1 second", path=f"{at}/o2")
+        every.processAllAvailable()
+        active = every.isActive
+        every.stop()
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(heard)
+    said = windows.status(once)
+    n = spark.read.parquet(f"{at}/o1").count()
+    same = spark.read.parquet(f"{at}/o2").count() == n
+    return one_row(
+        spark, "once boolean, every boolean, ended boolean, rows boolean, told boolean, n long",
+        not once.isActive and said["name"] == f"q{at[-6:]}", active and same, not every.isActive and said["error"] is None, said["rows"] > 0, str(once.id) in heard.last, n,
+    )
+
+
+@query("SELECT event_id % 2 AS run, count(*) AS n FROM events GROUP BY 1")
+def stream_context(spark, d):
+    """Made a second time with the same folder, streams go on where they stopped."""
+    at, e = scratch(spark), _plain(spark, d)
+    q = windows.Queue(spark, EVENT)
+    for run in (0, 1):
+        q.put(e.where(F.col("event_id") % 2 == run))
+
+        def put(batch, epoch, run=run):
+            batch.agg(F.count("*").alias("n")).withColumn("run", F.lit(run).cast("long")).write.mode("append").parquet(f"{at}/out")
+
+        made = windows.Streams(spark, f"{at}/check").add("counts", q.stream, put).start()
+        made.wait()
+        made.stop()
+    return spark.read.parquet(f"{at}/out").groupBy("run").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT true AS each_five, true AS gapless FROM (SELECT 1)")
+def stream_rate(spark, d):
+    at, seen = scratch(spark), {}
+    put = lambda batch, epoch: seen.setdefault(epoch, [r["value"] for r in batch.collect()])
+    q = windows.per_batch(windows.rate_source(spark, 5), put, at, once=False)
+    for _ in range(600):
+        if len(seen) >= 3 or not q.isActive:
+            break
+        q.awaitTermination(0.1)
+    q.stop()
+    values = sorted(v for x in seen.values() for v in x)
+    return one_row(spark, "each_five boolean, gapless boolean", all(len(x) == 5 for x in seen.values()), values == list(range(len(values))) and len(seen) >= 3)
