@@ -50,14 +50,14 @@ FEMALE = "Mrs Ms Miss Frau Mme Sra Señora Madame Госпожа Κυρία".spl
 MALE = "Mr Herr Sr Señor Monsieur Господин Κύριος".split()
 #: Patterns by type, in the order in which they take precedence.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "secret": r"\b(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{32}|[0-9a-fA-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "ip": rf"(?<![0-9.])(?<![Vv]ersion )(?<![Vv])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|\b[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}\b|\+[0-9]{8,14}\b",
-    "name": rf"(?<=\b(?:{'|'.join(FEMALE + MALE)})\.? ){NAME}(?: {NAME})?",
+    "name": rf"(?<= )(?=[\p{{Lu}}\p{{Lo}}])(?<=\b(?:{'|'.join(FEMALE + MALE)})\.? ){NAME}(?: {NAME})?",
 }
 #: Syllables that names are made of, by script; the ending tells the gender.
 SYLLABLES = {
@@ -76,7 +76,7 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 def hinted(text: Column) -> Column:
     """Whether a text may hold an entity: every pattern implies one of these, and each is a plain search."""
-    words = ["@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", *{t[:2] if t.isascii() else t for t in FEMALE + MALE}]
+    words = ["@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", *FEMALE, *MALE]
     tests = [F.contains(text, F.lit(w)) for w in words] + [text.rlike(p) for p in (r"[0-9]{3}", r"[0-9]\.[0-9]", r"[A-Z]{2}[0-9]{2}", r"[0-9a-fA-F]{32}")]
     return reduce(lambda a, b: a | b, tests)
 
