@@ -14,13 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Rows that go to a Python worker at once, where the session leaves Spark's default of 10,000: texts are long.
+#: Rows that go to a Python worker at once, where the session doesn't say how many: texts are long.
 BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """A session that says how many rows a batch has keeps its setting, Spark's own default included."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
+    if not spark._jsparkSession.sessionState().conf().contains(key):
         spark.conf.set(key, BATCH_ROWS)
 
 
@@ -37,6 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: The folders whose deletion at the application's end has been seen to.
+_ending: set[str] = set()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The application's folder for intermediate tables in the shared folder; it is deleted when the application ends."""
+    at = f"{shared_dir(spark)}/sparkloom-{spark.sparkContext.applicationId}"
+    if at not in _ending:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ending.add(at)
+    return at
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
@@ -45,7 +62,7 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    path = f"{shared_dir(spark)}/sparkloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
     df.write.parquet(path)
