@@ -201,15 +201,20 @@ def run_job(df: DataFrame, f: Callable[[Iterator], Iterator], partitions: list[i
 
 def with_group(spark, group: str, f: Callable, about: str = ""):
     """Runs f with its jobs in a group that cancel(spark, group) can stop."""
-    spark.addTag(group)
+    sc = spark.sparkContext
+    sc.addJobTag(group)
+    if about:
+        sc.setJobDescription(about)
     try:
         return f()
     finally:
-        spark.removeTag(group)
+        sc.removeJobTag(group)
+        if about:
+            sc.setJobDescription(None)
 
 
 def cancel(spark, group: str) -> None:
-    spark.interruptTag(group)
+    spark.sparkContext.cancelJobsWithTag(group)
 
 
 def debug_string(df: DataFrame) -> str:

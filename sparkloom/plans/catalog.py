@@ -47,7 +47,7 @@ plain("except_all_ansi", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELEC
 plain("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders")
 plain("coalesce_null", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS k, nullif(c_nationkey, 3) IS NULL AS gone FROM customer")
 plain("string_functions", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, substr(c_name, 1, 4) AS s, concat(c_name, '-', c_mktsegment) AS c, replace(c_name, '#', '_') AS r, lpad(c_mktsegment, 12, '*') AS p, trim(c_name) AS t FROM customer")
-plain("math_functions", "SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, round(sqrt(abs(s_acctbal)), 6) AS q, s_suppkey % 7 AS m FROM supplier")
+plain("math_functions", "SELECT s_suppkey, abs(s_acctbal) AS a, cast(ceil(s_acctbal) AS DOUBLE) AS c, cast(floor(s_acctbal) AS DOUBLE) AS f, round(sqrt(abs(s_acctbal)), 6) AS q, s_suppkey % 7 AS m FROM supplier", "SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, round(sqrt(abs(s_acctbal)), 6) AS q, s_suppkey % 7 AS m FROM supplier")
 plain("cast_types", "SELECT o_orderkey, cast(o_orderkey AS VARCHAR(20)) AS s, cast(o_totalprice AS BIGINT) AS n FROM orders WHERE o_totalprice = floor(o_totalprice)", None)
 plain("date_parts", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, date_trunc('month', o_orderdate) AS d FROM orders", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, cast(date_trunc('month', o_orderdate) AS TIMESTAMP) AS d FROM orders")
 plain("cte_subquery", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT o_custkey, round(t, 2) AS t FROM big WHERE t > (SELECT avg(t) FROM big)")
