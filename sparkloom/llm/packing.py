@@ -47,7 +47,7 @@ def _tokenizer(path: str) -> dict:
         tok = Tokenizer.from_file(path)
         held = _known[path] = {"tok": tok}
     if "key" not in held or len(held["key"]) > _MOST_WORDS:
-        held |= {"key": np.zeros(0, np.uint64), "ids": np.zeros(0, np.uint32), "bytes": np.zeros(0, np.uint8)} | {k: np.zeros(0, np.int64) for k in ("at", "n", "from", "width")}
+        held |= {"key": np.zeros(0, np.uint64), "ids": np.zeros(0, np.uint32), "bytes": np.zeros(0, np.uint8)} | {k: np.zeros(0, np.int64) for k in ("at", "n", "from", "width")} | {"head": np.zeros(0, np.uint64)}
     return held
 
 
@@ -60,16 +60,26 @@ def _encoded(w: Words, which: np.ndarray, tok) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for one in ids for i in one), np.uint32, int(n.sum())), n
 
 
+#: What of eight bytes belongs to a word of so many.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _heads(data: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each word as a number, zeros behind its end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[start] & _MASK[np.minimum(width, 8)]
+
+
 def _same(w: Words, held: dict, spot: np.ndarray) -> np.ndarray:
     """Whether the bytes of each word are those of the known word at its spot."""
     width = w.end - w.start
-    same = held["width"][spot] == width
-    at = np.flatnonzero(same)
-    long = width[at]
+    same = (held["width"][spot] == width) & (held["head"][spot] == _heads(w.data, w.start, width))
+    at = np.flatnonzero(same & (width > 8))
+    rest = width[at] - 8
     if len(at):
-        differ = gather(w.data, w.start[at], long) != gather(held["bytes"], held["from"][spot[at]], long)
+        differ = gather(w.data, w.start[at] + 8, rest) != gather(held["bytes"], held["from"][spot[at]] + 8, rest)
         if differ.any():
-            same[at[np.repeat(np.arange(len(at)), long)[differ]]] = False
+            same[at[np.repeat(np.arange(len(at)), rest)[differ]]] = False
     return same
 
 
@@ -95,7 +105,7 @@ def encode_block(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         key = np.concatenate([held["key"], uniq[new]])
         order = np.argsort(key, kind="stable")
         held["key"] = key[order]
-        for name, more in (("at", at), ("n", n), ("from", from_), ("width", width)):
+        for name, more in (("at", at), ("n", n), ("from", from_), ("width", width), ("head", _heads(w.data, w.start[which], width))):
             held[name] = np.concatenate([held[name], more])[order]
         held["ids"] = np.concatenate([held["ids"], flat])
         held["bytes"] = np.concatenate([held["bytes"], gather(w.data, w.start[which], width)])
