@@ -90,6 +90,11 @@ def kind_of(e: Column) -> Column:
     return out.otherwise("name")
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _digest(kind: Column, e: Column, tries: Column) -> Column:
     """128 keyed hex digits, enough for any entity once repeated."""
     seed = F.concat_ws("\x1f", F.lit(KEY), kind, F.lower(e), tries.cast("string"))
@@ -157,53 +162,57 @@ def _octet(o: Column, n: Column, free: Column) -> Column:
 
 def _by_format(kind: Column, e: Column, tries: Column) -> Column:
     """Every letter and digit replaced by one of its class, but for what the type keeps."""
-    d = _digest(kind, e, tries)
     fixed = F.when(kind == "email", F.length(F.regexp_extract(e, r"\.[A-Za-z]+$", 0))).otherwise(0)
     head = F.when(kind == "secret", F.length(F.regexp_extract(e, "^(?:AKIA|gh[pousr]_|sk-)", 0))).otherwise(0)
-    hexed = kind == "secret"
-    spelled = F.concat_ws(
-        "", F.transform(_chars(e), lambda c, i: F.when((i >= F.length(e) - fixed) | (i < head), c).when((kind == "phone") & (i == 1) & F.startswith(e, F.lit("+")), c).otherwise(_char(c, _nibble(d, i), hexed)))
-    )
-    octets = F.transform(F.split(e, r"\."), lambda o, i: _octet(o, _nibble(d, i) * 256 + _nibble(d, i + 9), tries >= WIDEN))
     more = F.floor(tries / WIDEN).cast("int")
-    longer = F.when(kind.isin("email", "secret"), F.concat(F.translate(F.substring(F.sha2(d, 256), 1, 60).substr(F.lit(1), more), "0123456789", "ghijklmnop"), spelled)).otherwise(
-        F.concat(spelled, F.translate(F.sha2(d, 256).substr(F.lit(1), more), "abcdef", "012345"))
-    )
-    return (
-        F.when(kind == "ip", F.concat_ws(".", octets)).when(more > 0, longer)
-        .when(kind == "iban", _iban(e, spelled)).when(kind == "card", _card(e, spelled)).otherwise(spelled)
-    )
+
+    def spelled(d):
+        keep = lambda i: (i >= F.length(e) - fixed) | (i < head) | ((kind == "phone") & (i == 1) & F.startswith(e, F.lit("+")))
+        return F.concat_ws("", F.transform(_chars(e), lambda c, i: F.when(keep(i), c).otherwise(_char(c, _nibble(d, i), kind == "secret"))))
+
+    def longer(d, s):
+        letters = F.translate(F.sha2(d, 256).substr(F.lit(1), more), "0123456789", "ghijklmnop")
+        digits = F.translate(F.sha2(d, 256).substr(F.lit(1), more), "abcdef", "012345")
+        return F.when(kind.isin("email", "secret"), F.concat(letters, s)).otherwise(F.concat(s, digits))
+
+    def written(d):
+        octets = F.transform(F.split(e, r"\."), lambda o, i: _octet(o, _nibble(d, i) * 256 + _nibble(d, i + 9), tries >= WIDEN))
+        other = _let(spelled(d), lambda s: F.when(more > 0, longer(d, s)).when(kind == "iban", _iban(e, s)).when(kind == "card", _card(e, s)).otherwise(s))
+        return F.when(kind == "ip", F.concat_ws(".", octets)).otherwise(other)
+
+    return _let(_digest(kind, e, tries), written)
 
 
 def _word(w: Column, role: Column, tries: Column) -> Column:
     """A word of a name, in lower case, for one in lower case; role: female or male for a first name, else family."""
-    d = _digest(role, w, tries)
     more = F.floor(tries / WIDEN).cast("int")
     of = lambda a, n: F.element_at(a, (F.pmod(n, F.size(a)) + 1).cast("int"))
 
-    def spell(script):
+    def spell(d, script):
         s = F.array(*map(F.lit, SYLLABLES[script].split()))
         ends = {g: F.array(*map(F.lit, x.split())) for g, x in ENDINGS[script].items()}
         core = F.concat_ws("", F.transform(F.sequence(F.lit(0), 3 + more), lambda k: of(s, _nibble(d, k))))
         end = F.when(role == "female", of(ends["female"], _nibble(d, F.lit(40)))).when(role == "male", of(ends["male"], _nibble(d, F.lit(40)))).otherwise("")
         return F.concat(core, end)
 
-    def letters(alphabet):
+    def letters(d, alphabet):
         return F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(w) + more), lambda k: _pick(alphabet, _nibble(d, k))))
 
-    out = None
-    for script in ("cyrillic", "greek"):
-        test = w.rlike(rf"\p{{Is{script.capitalize()}}}")
-        out = F.when(test, spell(script)) if out is None else out.when(test, spell(script))
-    for script, (first, step, n) in RANGES.items():
-        out = out.when(w.rlike(rf"\p{{Is{script}}}"), letters("".join(chr(first + step * i) for i in range(n))))
-    return out.otherwise(spell("latin"))
+    def written(d):
+        out = F.when(w.rlike("^[a-z]"), spell(d, "latin"))
+        for script in ("cyrillic", "greek"):
+            out = out.when(w.rlike(rf"\p{{Is{script.capitalize()}}}"), spell(d, script))
+        for script, (first, step, n) in RANGES.items():
+            out = out.when(w.rlike(rf"\p{{Is{script}}}"), letters(d, "".join(chr(first + step * i) for i in range(n))))
+        return out.otherwise(spell(d, "latin"))
+
+    return _let(_digest(role, w, tries), written)
 
 
-def surrogate(e: Column, role: Column, tries: Column | None = None) -> Column:
-    """Of a whole entity; of a name: of one word in lower case, for which role isn't null."""
+def surrogate(e: Column, kind: Column, role: Column, tries: Column | None = None) -> Column:
+    """Of a whole entity; of a name: of one word in lower case."""
     tries = F.lit(0) if tries is None else tries
-    return F.when(role.isNotNull(), _word(e, role, tries)).otherwise(_by_format(kind_of(e), e, tries))
+    return F.when(kind == "name", _word(e, role, tries)).otherwise(_by_format(kind, e, tries))
 
 
 def _cased(new: Column, w: Column) -> Column:
@@ -220,26 +229,27 @@ def _words(e: Column) -> Column:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ents, rest, who): each text's entities in order, what stands around them, and the roles of its names' words.
+    """(doc_id, text, ents, rest, who): each text's entities (e, k) with their types in order, what stands around them, and the roles of its names' words.
 
     A cheap test of the whole text comes first: most texts hold none.  Words
     of names found behind titles are then looked for in the whole text.
     """
-    none = F.array().cast("array<string>")
+    none, nothing = F.array().cast("array<string>"), F.array().cast("array<struct<e:string,k:string>>")
     text = F.col("text")
-    found = docs.select("doc_id", "text", F.when(hinted(text), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))).otherwise(none).alias("first"))
-    names = F.filter("first", lambda e: kind_of(e) == "name")
-    found = found.withColumn("names", F.when(F.size("first") > 0, F.filter(F.array_distinct(F.flatten(F.transform(names, _words))), lambda w: F.length(w) > 1)).otherwise(none))
+    typed = lambda pattern: F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), lambda e: F.struct(e.alias("e"), kind_of(e).alias("k")))
+    found = docs.select("doc_id", "text", F.when(hinted(text), typed(F.lit(_ANY))).otherwise(nothing).alias("first"))
+    words = F.flatten(F.transform(F.filter("first", lambda x: x["k"] == "name"), lambda x: _words(x["e"])))
+    found = found.withColumn("names", F.when(F.size("first") > 0, F.filter(F.array_distinct(words), lambda w: F.length(w) > 1)).otherwise(none))
     alone = F.concat(F.lit(_ANY + r"|(?<![\p{L}\p{M}])(?:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}\p{M}])"))
     pattern = F.when(F.size("names") > 0, alone).otherwise(F.lit(_ANY))
-    found = found.withColumn("ents", F.when(F.size("names") > 0, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.col("first")))
+    found = found.withColumn("ents", F.when(F.size("names") > 0, typed(pattern)).otherwise(F.col("first")))
     found = found.withColumn("rest", F.when(F.size("ents") > 0, F.split("text", pattern, -1)))
     titled = rf"\b(?:{'|'.join(FEMALE + MALE)})\.? $"
     told = F.transform(
         "ents",
-        lambda e, i: F.when(
-            F.element_at("rest", i + 1).rlike(titled) & (kind_of(e) == "name"),
-            F.transform(_words(e), lambda w, k: F.struct(F.lower(w).alias("w"), F.when((k == 0) & e.contains(" "), _gender(F.element_at("rest", i + 1))).otherwise("family").alias("role"))),
+        lambda x, i: F.when(
+            (x["k"] == "name") & F.element_at("rest", i + 1).rlike(titled),
+            F.transform(_words(x["e"]), lambda w, k: F.struct(F.lower(w).alias("w"), F.when((k == 0) & x["e"].contains(" "), _gender(F.element_at("rest", i + 1))).otherwise("family").alias("role"))),
         ).otherwise(F.array().cast("array<struct<w:string,role:string>>")),
     )
     who = F.when(F.size("names") > 0, F.flatten(told)).otherwise(F.array().cast("array<struct<w:string,role:string>>"))
@@ -252,26 +262,28 @@ def _role(w: Column) -> Column:
 
 
 def _entities(found: DataFrame) -> DataFrame:
-    """Distinct (entity, role, both): role is null but for words of names, and that which most texts say; both marks words on which they disagree."""
-    own = lambda e: F.when(kind_of(e) == "name", F.transform(_words(e), lambda w: F.struct(F.lower(w).alias("entity"), _role(F.lower(w)).alias("role")))).otherwise(
-        F.array(F.struct(e.alias("entity"), F.lit(None).cast("string").alias("role")))
-    )
-    flat = found.where(F.size("ents") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("ents", own)))).alias("p")).select("p.*").groupBy("entity", "role").agg(F.count("*").alias("n"))
-    return flat.groupBy("entity", F.col("role").isNull().alias("_plain")).agg(F.max_by("role", F.struct("n", "role")).alias("role"), (F.count("*") > 1).alias("both")).drop("_plain")
+    """Distinct (entity, kind, role, both): of names each word in lower case, with the role that most texts say; both marks words on which they disagree."""
+    part = lambda e, kind, role: F.struct(e.alias("entity"), kind.alias("kind"), role.alias("role"))
+    words = lambda x: F.transform(_words(x["e"]), lambda w: part(F.lower(w), F.lit("name"), _role(F.lower(w))))
+    own = lambda x: F.when(x["k"] == "name", words(x)).otherwise(F.array(part(x["e"], x["k"], F.lit("whole"))))
+    each = found.where(F.size("ents") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("ents", own)))).alias("p")).select("p.*")
+    flat = each.groupBy("entity", "kind", "role").agg(F.count("*").alias("n"))
+    return flat.groupBy("entity", "kind").agg(F.max_by("role", F.struct("n", "role")).alias("role"), (F.count("*") > 1).alias("both"))
 
 
 def exceptions(entities: DataFrame) -> DataFrame:
-    """(entity, s) of entities whose first surrogate would collide, and of words of names that have several roles."""
-    held = materialize(entities.withColumn("tries", F.lit(0)).withColumn("s", surrogate(F.col("entity"), F.col("role"))))
+    """(entity, kind, s) of entities whose first surrogate would collide, and of words of names that have several roles."""
+    made = surrogate(F.col("entity"), F.col("kind"), F.col("role"), F.col("tries"))
+    held = materialize(entities.withColumn("tries", F.lit(0)).withColumn("s", made))
     for _ in range(MOST_TRIES):
         taken = held.select(F.col("entity").alias("s"), F.lit(True).alias("real")).distinct()
-        w = W.partitionBy("s").orderBy("tries", "entity")
-        clash = held.withColumn("r", F.row_number().over(w)).join(taken, "s", "left").where("r > 1 OR real").select("entity", F.col("role").isNull().alias("plain")).distinct()
-        clash = materialize(clash)
+        w = W.partitionBy("s").orderBy("tries", "entity", "kind")
+        clash = materialize(held.withColumn("r", F.row_number().over(w)).join(taken, "s", "left").where("r > 1 OR real").select("entity", "kind", F.lit(1).alias("again")))
         if clash.isEmpty():
-            return held.where("tries > 0 OR both").select("entity", F.col("role").isNull().alias("plain"), "s")
-        again = held.withColumn("plain", F.col("role").isNull()).join(clash.withColumn("again", F.lit(1)), ["entity", "plain"], "left").withColumn("tries", F.col("tries") + F.coalesce("again", F.lit(0)))
-        held = materialize(again.withColumn("s", F.when(F.col("again") == 1, surrogate(F.col("entity"), F.col("role"), F.col("tries"))).otherwise(F.col("s"))).select("entity", "role", "both", "tries", "s"))
+            return held.where("tries > 0 OR both").select("entity", "kind", "s")
+        # only those that collide are spelled anew
+        again = held.drop("s").join(clash, ["entity", "kind"]).withColumn("tries", F.col("tries") + 1).drop("again").withColumn("s", made)
+        held = materialize(held.join(clash, ["entity", "kind"], "left_anti").unionByName(again))
     raise ValueError(f"no distinct surrogates after {MOST_TRIES} tries")
 
 
@@ -285,9 +297,8 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
         found = found.withColumn("own", empty)
     else:
         # a word of a name and another entity may be written alike: the words' keys begin with a mark
-        key = lambda plain, e: F.when(plain, e).otherwise(F.concat(F.lit("\x1f"), e))
-        odd = odd.select(key(F.col("plain"), F.col("entity")).alias("entity"), "s")
-        marked = lambda e: F.when(kind_of(e) == "name", F.transform(_words(e), lambda w: F.concat(F.lit("\x1f"), F.lower(w)))).otherwise(F.array(e))
+        odd = odd.select(F.when(F.col("kind") == "name", F.concat(F.lit("\x1f"), "entity")).otherwise(F.col("entity")).alias("entity"), "s")
+        marked = lambda x: F.when(x["k"] == "name", F.transform(_words(x["e"]), lambda w: F.concat(F.lit("\x1f"), F.lower(w)))).otherwise(F.array(x["e"]))
         keyed = found.where(F.size("ents") > 0).select(F.xxhash64("doc_id", "text").alias("at"), F.explode(F.array_distinct(F.flatten(F.transform("ents", marked)))).alias("entity"))
         few = odd.count() <= MOST_KEYS
         own = keyed.join(F.broadcast(odd) if few else odd, "entity").select("at", "entity", "s").distinct().groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("entity", "s"))).alias("own"))
@@ -297,7 +308,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
     word = lambda w: _cased(F.coalesce(F.element_at("own", F.concat(F.lit("\x1f"), F.lower(w))), _word(F.lower(w), _role(F.lower(w)), F.lit(0))), w)
     between = lambda e: F.split(e, WORD, -1)
     name = lambda e: F.concat_ws("", F.flatten(F.zip_with(between(e), F.transform(_words(e), word), lambda r, s: F.array(r, F.coalesce(s, F.lit(""))))))
-    swaps = F.transform("ents", lambda e: F.when(kind_of(e) == "name", name(e)).otherwise(F.coalesce(F.element_at("own", e), _by_format(kind_of(e), e, F.lit(0)))))
+    swaps = F.transform("ents", lambda x: F.when(x["k"] == "name", name(x["e"])).otherwise(F.coalesce(F.element_at("own", x["e"]), _by_format(x["k"], x["e"], F.lit(0)))))
     put = F.concat_ws("", F.flatten(F.zip_with("rest", swaps, lambda r, s: F.array(r, F.coalesce(s, F.lit(""))))))
     return found.select(
         "doc_id",
