@@ -14,7 +14,9 @@
 4. A linear classifier over the lexicon features is trained on the posterior
    labels of a bounded sample (``fit_rows``) and scores every whole text.  It is
    solved to convergence on rows in an order of their own, so the same table
-   gives the same scores however it is partitioned.
+   gives the same scores however it is partitioned.  Two numbers, a slope and a
+   shift of the log odds, are then set by the labels of these rows, so that a
+   score says how likely the label is.
 
 Labels, lang, source and doc_id never enter a score.  Rows whose
 crc32(doc_id as text) mod 4 is 2 are held out of everything learned from labels.
@@ -275,14 +277,14 @@ def accuracies(v: np.ndarray, n: np.ndarray, post: np.ndarray) -> np.ndarray:
 
 
 def _sampled(keys: np.ndarray):
-    """Of (text): the places of a row's lexicon features."""
+    """Of (text, toxic): the places of a row's lexicon features, and its label."""
 
     def run(batches):
         for batch in batches:
             for at, n in blocks(batch.column(0)):
                 row, spot, many = found(batch.column(0).slice(at, n), keys)
                 cuts = np.searchsorted(row, np.arange(many + 1))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(spot, pa.int32()))], names=["at"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(spot, pa.int32())), batch.column(1).slice(at, n)], names=["at", "toxic"])
 
     return run
 
@@ -290,7 +292,8 @@ def _sampled(keys: np.ndarray):
 def train(model: Model, rows, posterior_of, l2: float = L2, most_steps: int = 50) -> Model:
     """Logistic regression on posterior labels, by Newton steps to convergence.
 
-    rows(at, n): distinct feature lists and how many sampled rows have each.
+    rows(at, n, pos): distinct feature lists, how many sampled rows have each, and
+    how many of these are toxic by hand, by which the scores are calibrated.
     They are put into an order of their own first, so that the sums, and with
     them every score, do not depend on how Spark had partitioned the rows.
     """
@@ -344,10 +347,26 @@ def train(model: Model, rows, posterior_of, l2: float = L2, most_steps: int = 50
         else:
             break
         w, b, loss, prob = w + t * dw, b + t * db, new, at
-    model.weight, model.bias = w, float(b)
+    slope, shift = calibrated(np.bincount(row, w[flat], m) + b, many[order], rows.column("pos").to_numpy().astype(np.float64)[order])
+    model.weight, model.bias = slope * w, float(slope * b + shift)
     return model
 
 
+def calibrated(z: np.ndarray, n: np.ndarray, pos: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """(slope, shift) by which log odds z say how often rows are toxic by hand; n rows each, pos of them toxic."""
+    x = np.stack([z, np.ones(len(z))])
+    at = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+        # one row's worth of belief that the odds are right as they are
+        grad = x @ (pos - n * p) - (at - (1.0, 0.0))
+        step = np.linalg.solve((x * (n * p * (1 - p))) @ x.T + np.eye(2), grad)
+        at = at + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-10:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon_size: int = LEXICON_SIZE) -> Model:
     """Learns from docs(doc_id, text) and the labels(doc_id, toxic) that aren't held out.
 
@@ -381,7 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon_si
     share = min(1.0, fit_rows / max(total, 1))
     sample = labelled if share >= 1 else labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # rows with the same features are one with a weight: copies count in full, yet about fit_rows rows at most reach the driver
-    rows = sample.select("text").mapInArrow(_sampled(model.keys), "at array<int>").groupBy("at").agg(F.count("*").alias("n")).toArrow()
+    rows = sample.select("text", "toxic").mapInArrow(_sampled(model.keys), "at array<int>, toxic long").groupBy("at").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).toArrow()
     return train(model, rows, posterior_of)
 
 
