@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +15,7 @@ from sparkloom.sources.tables import load
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{tables.shared_folder(spark)}/sparkloom-query-{uuid.uuid4().hex}"
+    return tables.work_folder(spark, "query")
 
 
 def one_row(spark: SparkSession, schema: str, *values) -> DataFrame:

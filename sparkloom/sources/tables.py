@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -115,6 +116,22 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: The folders whose deletion at the application's end has been seen to.
+_ending: set[str] = set()
+
+
+def work_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared one; with the application all of them end."""
+    at = f"{shared_folder(spark)}/sparkloom-work-{spark.sparkContext.applicationId}"
+    if at not in _ending:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ending.add(at)
+    return f"{at}/{kind}-{uuid.uuid4().hex}"
+
+
 def text_lines(df: DataFrame, column: str, path: str) -> None:
     """One line per row, in part files."""
     write(df.select(column), "text", path)

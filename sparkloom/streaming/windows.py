@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sparkloom.sources.tables import shared_folder
+from sparkloom.sources.tables import work_folder
 
 
 def file_source(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_batch: int | None = None, **options) -> DataFrame:
@@ -116,7 +116,7 @@ def drained(df: DataFrame, mode: str = "append", keys: list[str] | None = None,
     become before they are written.
     """
     spark = df.sparkSession
-    at = at or f"{shared_folder(spark)}/sparkloom-stream-{uuid.uuid4().hex}"
+    at = at or work_folder(spark, "stream")
     numbered, mode = mode == "epochs", "append" if mode == "epochs" else mode
     each = each or (lambda batch: batch)
     schema = each(spark.createDataFrame([], df.schema)).schema
@@ -140,7 +140,7 @@ class Queue:
 
     def __init__(self, spark: SparkSession, schema, path: str | None = None):
         self.spark, self.schema = spark, schema
-        self.path = path or f"{shared_folder(spark)}/sparkloom-queue-{uuid.uuid4().hex}"
+        self.path = path or work_folder(spark, "queue")
         self.held = 0
 
     def put(self, rows) -> Queue:
