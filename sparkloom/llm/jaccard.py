@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import MOST_KEYS, discard, frequent, hot_limit, materialize, narrow, narrow_by, salted, table
+from sparkloom.llm.common import MOST_KEYS, discard, frequent, hot_limit, materialize, narrow, salted, table
 from sparkloom.llm.components import components
 from sparkloom.llm.text import SPACE, Words, blocks, gather, mix, release, shingles
 
@@ -55,8 +55,9 @@ SPARE = 3
 SMALL = 64
 #: Elements of differences, and 16 a set, that one task holds of a large group at a time: about 50 MB with their index.
 BLOCK = 1 << 20
-#: A group's near and far sets are dealt into about PARTS blocks each, unless they hold less than LEAST_BLOCK or more than BLOCK.
-PARTS, LEAST_BLOCK = 8, 1 << 13
+#: A group's near and far sets are dealt into about so many blocks, unless these hold less than LEAST_BLOCK or more than BLOCK.
+#: A near set goes to every far block that can hold a link with it, a far set to every block, so a few blocks are enough.
+NEAR_PARTS, FAR_PARTS, LEAST_BLOCK = 4, 3, 1 << 15
 #: Bytes of centres up to which they are broadcast.
 MOST_CENTRES = 32 << 20
 
@@ -306,7 +307,7 @@ def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent
     # sizes that follow each other share a block until it is full, a size too frequent is dealt over several
     heavy = F.col("many") * (F.col("e") + 16)
     whole = W.partitionBy("grp", "far")
-    full = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum(heavy).over(whole) / PARTS)))
+    full = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum(heavy).over(whole) / F.when(F.col("far"), FAR_PARTS).otherwise(NEAR_PARTS))))
     side = ["grp", "far", "e"]
     chunks = materialize(
         lined.groupBy(*side).agg(F.count("*").alias("many"))
@@ -320,54 +321,71 @@ def _large_links(part: DataFrame, elements: DataFrame, sizes: DataFrame, percent
     block = ["grp", "far", "e_at", "chunk"]
     table = materialize(dealt.groupBy(*block).agg(F.max("e").alias("e"), F.max("slack").alias("slack")))
     one = table.where("far").select("grp", F.struct("e_at", "chunk").alias("a"), F.col("e").alias("ea"), F.col("slack").alias("sa"))
-    two = table.select("grp", F.col("far").alias("far_b"), F.struct("e_at", "chunk").alias("b"), "e", "slack")
-    able = -(F.col("sa") + F.col("slack")) <= 2 * (100 + percent) * F.least("ea", "e")
-    met = materialize(one.join(two, "grp").where(able & (~F.col("far_b") | (F.col("a") >= F.col("b")))).withColumn("meet", F.monotonically_increasing_id()))
-    row = ["meet", "side", "uid", "n", "e", "diff"]
-    to_b = met.select("grp", F.col("far_b").alias("far"), "b.e_at", "b.chunk", "meet", F.lit(0).alias("side"))
-    to_a = met.select("grp", F.lit(True).alias("far"), "a.e_at", "a.chunk", "meet", F.lit(1).alias("side"))
-    meeting = narrow_by(dealt, to_b.union(to_a), block).select(*row)
+    two = table.select("grp", F.col("far").alias("far_b"), F.struct("e_at", "chunk").alias("b"), F.col("e").alias("eb"), F.col("slack").alias("sb"))
+    able = lambda s, t, e, f: -(F.col(s) + F.col(t)) <= 2 * (100 + percent) * F.least(e, f)
+    met = materialize(one.join(two, "grp").where(able("sa", "sb", "ea", "eb") & (~F.col("far_b") | (F.col("a") >= F.col("b")))).withColumn("meet", F.monotonically_increasing_id()))
+    # a set goes to a meeting only if it can link with some set of the other block; a block that meets itself goes there once
+    itself = F.col("far_b") & (F.col("a") == F.col("b"))
+    to = lambda at, far, side, e, slack: [F.col("grp").alias("g"), far.alias("f"), F.col(f"{at}.e_at").alias("k"), F.col(f"{at}.chunk").alias("c"), "meet", side.alias("side"), F.col(e).alias("oe"), F.col(slack).alias("os")]
+    calls = met.select(*to("b", F.col("far_b"), F.when(itself, 2).otherwise(0), "ea", "sa")).union(met.where(~itself).select(*to("a", F.lit(True), F.lit(1), "eb", "sb")))
+    same = (F.col("grp") == F.col("g")) & (F.col("far") == F.col("f")) & (F.col("e_at") == F.col("k")) & (F.col("chunk") == F.col("c"))
+    few = calls.count() <= MOST_KEYS // 4
+    meeting = dealt.join(F.broadcast(calls) if few else calls, same & able("slack", "os", "e", "oe")).select("meet", "side", "uid", "n", "e", "diff")
     found = meeting.repartition("meet").sortWithinPartitions("meet", "side").mapInArrow(_met(percent), "src long, dst long")
     return star.union(found)
 
 
 def _met(percent: int):
-    """Sets sorted by (meet, side): links of each set of side 1 with those of side 0, by inverted lists."""
+    """Sets sorted by (meet, side): links of each set of side 1 with those of side 0, by inverted lists; sets of side 2 are on both sides."""
+
+    def indexed(held):
+        flat = np.concatenate([d for *_, d in held])
+        e = np.array([x[2] for x in held])
+        owner = np.repeat(np.arange(len(held)), e)
+        order = np.argsort(flat, kind="stable")
+        return flat[order], owner[order], np.array([x[0] for x in held]), np.array([x[1] for x in held]), e
+
+    def links(index, uid, n, e, diff):
+        flat, owner, uids, sizes, es = index
+        low, high = np.searchsorted(flat, diff), np.searchsorted(flat, diff, side="right")
+        shared = np.bincount(gather(owner, low, high - low), minlength=len(uids))
+        hit = uids[((e + es - 2 * shared) * (100 + percent) <= (n + sizes) * (100 - percent)) & (uids != uid)]
+        # sets of one block that link with it are joined to it
+        return np.concatenate((np.full(len(hit[:1]), uid), hit[:-1])), hit
 
     def run(batches):
-        meet, held = None, None
+        meet, held, index, both = None, [], None, False
+
+        def closed():
+            if both:
+                at = indexed(held)
+                for x in held:
+                    yield links(at, *x)
+
         for batch in batches:
-            ids, src, dst = batch.column(2).to_pylist(), [], []
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids, batch.column(3).to_pylist(), batch.column(4).to_pylist(), _lists(batch.column(5)), strict=True)
+            out = []
+            rows = zip(*(batch.column(i).to_pylist() for i in range(5)), _lists(batch.column(5)), strict=True)
             for g, side, uid, n, e, diff in rows:
                 if g != meet:
-                    meet, held = g, {"uid": [], "n": [], "e": [], "diff": [], "index": None}
-                if side == 0:
-                    for k, v in (("uid", uid), ("n", n), ("e", e), ("diff", diff.copy())):
-                        held[k].append(v)
-                    continue
-                if not held["uid"]:
-                    continue
-                if held["index"] is None:
-                    m = len(held["uid"])
-                    flat = np.concatenate(held["diff"])
-                    owner = np.repeat(np.arange(m), held["e"])
-                    order = np.argsort(flat, kind="stable")
-                    held["index"] = flat[order], owner[order], np.array(held["uid"]), np.array(held["n"]), np.array(held["e"])
-                flat, owner, uids, sizes, es = held["index"]
-                low, high = np.searchsorted(flat, diff), np.searchsorted(flat, diff, side="right")
-                shared = np.bincount(gather(owner, low, high - low), minlength=len(uids))
-                hit = np.flatnonzero(((e + es - 2 * shared) * (100 + percent) <= (n + sizes) * (100 - percent)) & (uids != uid))
-                src += [uid] * len(hit[:1])  # sets of one block that link with it are joined to it
-                dst += uids[hit[:1]].tolist()
-                src += uids[hit[:-1]].tolist()
-                dst += uids[hit[1:]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+                    out += closed()
+                    meet, held, index, both = g, [], None, side == 2
+                if side != 1:
+                    held.append((uid, n, e, diff.copy()))
+                elif held:
+                    index = index or indexed(held)
+                    out.append(links(index, uid, n, e, diff))
+            yield _edges(out)
             release()
+        yield _edges(list(closed()))
 
     return run
 
 
+def _edges(found: list) -> pa.RecordBatch:
+    src, dst = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+
 def linked_sets(many: DataFrame, elements: DataFrame, percent: int) -> DataFrame | None:
     """Components of the sets in opened groups many(grp, uid, sets): (id, component), or None without links."""
     large = materialize(many.where(F.col("sets") > SMALL).select("grp", "sets").distinct())
