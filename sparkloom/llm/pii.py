@@ -75,10 +75,10 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def hinted(text: Column) -> Column:
-    """Whether a text may hold an entity: every pattern implies one of these, and each is a plain search."""
-    words = ["@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", *FEMALE, *MALE]
-    tests = [F.contains(text, F.lit(w)) for w in words] + [text.rlike(p) for p in (r"[0-9]{3}", r"[0-9]\.[0-9]", r"[A-Z]{2}[0-9]{2}", r"[0-9a-fA-F]{32}")]
-    return reduce(lambda a, b: a | b, tests)
+    """Whether a text may hold an entity: every pattern implies one of these, and each is a plain search; null doesn't."""
+    titles = [t for t in FEMALE + MALE if not any(t != o and t.startswith(o) for o in FEMALE + MALE)]
+    tests = [F.contains(text, F.lit(w)) for w in ("@", "AKIA", "_", "sk-", *titles)] + [text.rlike(p) for p in (r"[0-9]{3}", r"[0-9]\.[0-9]", r"[A-Z]{2}[0-9]{2}", r"[0-9a-fA-F]{32}")]
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
 def kind_of(e: Column) -> Column:
@@ -231,13 +231,11 @@ def _words(e: Column) -> Column:
 def _found(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ents, rest, who): each text's entities (e, k) with their types in order, what stands around them, and the roles of its names' words.
 
-    A cheap test of the whole text comes first: most texts hold none.  Words
-    of names found behind titles are then looked for in the whole text.
+    Words of names found behind titles are looked for in the whole text.
     """
-    none, nothing = F.array().cast("array<string>"), F.array().cast("array<struct<e:string,k:string>>")
-    text = F.col("text")
+    none = F.array().cast("array<string>")
     typed = lambda pattern: F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), lambda e: F.struct(e.alias("e"), kind_of(e).alias("k")))
-    found = docs.select("doc_id", "text", F.when(hinted(text), typed(F.lit(_ANY))).otherwise(nothing).alias("first"))
+    found = docs.select("doc_id", "text", typed(F.lit(_ANY)).alias("first"))
     words = F.flatten(F.transform(F.filter("first", lambda x: x["k"] == "name"), lambda x: _words(x["e"])))
     found = found.withColumn("names", F.when(F.size("first") > 0, F.filter(F.array_distinct(words), lambda w: F.length(w) > 1)).otherwise(none))
     alone = F.concat(F.lit(_ANY + r"|(?<![\p{L}\p{M}])(?:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}\p{M}])"))
@@ -266,7 +264,7 @@ def _entities(found: DataFrame) -> DataFrame:
     part = lambda e, kind, role: F.struct(e.alias("entity"), kind.alias("kind"), role.alias("role"))
     words = lambda x: F.transform(_words(x["e"]), lambda w: part(F.lower(w), F.lit("name"), _role(F.lower(w))))
     own = lambda x: F.when(x["k"] == "name", words(x)).otherwise(F.array(part(x["e"], x["k"], F.lit("whole"))))
-    each = found.where(F.size("ents") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("ents", own)))).alias("p")).select("p.*")
+    each = found.select(F.explode(F.array_distinct(F.flatten(F.transform("ents", own)))).alias("p")).select("p.*")
     flat = each.groupBy("entity", "kind", "role").agg(F.count("*").alias("n"))
     return flat.groupBy("entity", "kind").agg(F.max_by("role", F.struct("n", "role")).alias("role"), (F.count("*") > 1).alias("both"))
 
@@ -289,7 +287,10 @@ def exceptions(entities: DataFrame) -> DataFrame:
 
 def pseudonymize(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): the rewritten text and how many entities it held."""
-    found = _found(docs)
+    # a cheap test of the whole text comes first, as most texts hold no entity; what the others hold is found once
+    hint = hinted(F.col("text"))
+    none = docs.where(~hint).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
+    found = materialize(_found(docs.where(hint)))
     entities = materialize(_entities(found))
     odd = materialize(exceptions(entities))
     empty = F.create_map().cast("map<string,string>")
@@ -299,7 +300,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
         # a word of a name and another entity may be written alike: the words' keys begin with a mark
         odd = odd.select(F.when(F.col("kind") == "name", F.concat(F.lit("\x1f"), "entity")).otherwise(F.col("entity")).alias("entity"), "s")
         marked = lambda x: F.when(x["k"] == "name", F.transform(_words(x["e"]), lambda w: F.concat(F.lit("\x1f"), F.lower(w)))).otherwise(F.array(x["e"]))
-        keyed = found.where(F.size("ents") > 0).select(F.xxhash64("doc_id", "text").alias("at"), F.explode(F.array_distinct(F.flatten(F.transform("ents", marked)))).alias("entity"))
+        keyed = found.select(F.xxhash64("doc_id", "text").alias("at"), F.explode(F.array_distinct(F.flatten(F.transform("ents", marked)))).alias("entity"))
         few = odd.count() <= MOST_KEYS
         own = keyed.join(F.broadcast(odd) if few else odd, "entity").select("at", "entity", "s").distinct().groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("entity", "s"))).alias("own"))
         own = materialize(own)
@@ -314,7 +315,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.when(F.size("ents") > 0, put).otherwise(F.col("text")).alias("text"),
         F.size("ents").cast("long").alias("n_entities"),
-    )
+    ).union(none)
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
