@@ -34,6 +34,8 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Per worker process: the bytes and ids of words met before, by sorted hashes.
 _known: dict[str, dict] = {}
 _MOST_WORDS = 1_500_000
+#: What is kept of a word beside its hash: place and number of its ids, place and number of its bytes, its first bytes.
+_KEPT = {"at": np.uint32, "n": np.int32, "from": np.uint32, "width": np.int32, "head": np.uint64}
 
 
 def _tokenizer(path: str) -> dict:
@@ -47,7 +49,7 @@ def _tokenizer(path: str) -> dict:
         tok = Tokenizer.from_file(path)
         held = _known[path] = {"tok": tok}
     if "key" not in held or len(held["key"]) > _MOST_WORDS:
-        held |= {"key": np.zeros(0, np.uint64), "ids": np.zeros(0, np.uint32), "bytes": np.zeros(0, np.uint8)} | {k: np.zeros(0, np.int64) for k in ("at", "n", "from", "width")} | {"head": np.zeros(0, np.uint64)}
+        held |= {"key": np.zeros(0, np.uint64), "ids": np.zeros(0, np.uint32), "bytes": np.zeros(0, np.uint8)} | {k: np.zeros(0, _KEPT[k]) for k in _KEPT}
     return held
 
 
@@ -77,7 +79,7 @@ def _same(w: Words, held: dict, spot: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(same & (width > 8))
     rest = width[at] - 8
     if len(at):
-        differ = gather(w.data, w.start[at] + 8, rest) != gather(held["bytes"], held["from"][spot[at]] + 8, rest)
+        differ = gather(w.data, w.start[at] + 8, rest) != gather(held["bytes"], held["from"][spot[at]].astype(np.int64) + 8, rest)
         if differ.any():
             same[at[np.repeat(np.arange(len(at)), rest)[differ]]] = False
     return same
@@ -106,12 +108,12 @@ def encode_block(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key, kind="stable")
         held["key"] = key[order]
         for name, more in (("at", at), ("n", n), ("from", from_), ("width", width), ("head", _heads(w.data, w.start[which], width))):
-            held[name] = np.concatenate([held[name], more])[order]
+            held[name] = np.concatenate([held[name], more.astype(_KEPT[name])])[order]
         held["ids"] = np.concatenate([held["ids"], flat])
         held["bytes"] = np.concatenate([held["bytes"], gather(w.data, w.start[which], width)])
         spot = np.searchsorted(held["key"], uniq)
     spot = spot[inverse]
-    at, n, ids = held["at"][spot], held["n"][spot], held["ids"]
+    at, n, ids = held["at"][spot].astype(np.int64), held["n"][spot].astype(np.int64), held["ids"]
     odd = np.flatnonzero(~_same(w, held, spot))
     if len(odd):  # words that only share a hash with a word met before
         flat, own = _encoded(w, odd, held["tok"])

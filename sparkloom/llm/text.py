@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -75,7 +75,7 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
-def blocks(column: pa.Array, most_bytes: int = 1 << 20):
+def blocks(column: pa.Array, most_bytes: int = 1 << 19):
     """Slices (first row, rows) of a column so that each has about most_bytes at most."""
     _, offsets = buffers(column)
     at, n = 0, len(offsets) - 1
