@@ -229,7 +229,7 @@ def _words(e: Column) -> Column:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ents, rest, who): each text's entities (e, k) with their types in order, what stands around them, and the roles of its names' words.
+    """(doc_id, at, ents, rest, who): a hash of id and text, each text's entities (e, k) with their types in order, what stands around them, and the roles of its names' words.
 
     Words of names found behind titles are looked for in the whole text.
     """
@@ -241,7 +241,7 @@ def _found(docs: DataFrame) -> DataFrame:
     alone = F.concat(F.lit(_ANY + r"|(?<![\p{L}\p{M}])(?:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}\p{M}])"))
     pattern = F.when(F.size("names") > 0, alone).otherwise(F.lit(_ANY))
     found = found.withColumn("ents", F.when(F.size("names") > 0, typed(pattern)).otherwise(F.col("first")))
-    found = found.withColumn("rest", F.when(F.size("ents") > 0, F.split("text", pattern, -1)))
+    found = found.withColumn("rest", F.split("text", pattern, -1))
     titled = rf"\b(?:{'|'.join(FEMALE + MALE)})\.? $"
     told = F.transform(
         "ents",
@@ -251,7 +251,7 @@ def _found(docs: DataFrame) -> DataFrame:
         ).otherwise(F.array().cast("array<struct<w:string,role:string>>")),
     )
     who = F.when(F.size("names") > 0, F.flatten(told)).otherwise(F.array().cast("array<struct<w:string,role:string>>"))
-    return found.select("doc_id", "text", "ents", "rest", who.alias("who"))
+    return found.select("doc_id", F.xxhash64("doc_id", "text").alias("at"), "ents", "rest", who.alias("who"))
 
 
 def _role(w: Column) -> Column:
@@ -300,12 +300,12 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
         # a word of a name and another entity may be written alike: the words' keys begin with a mark
         odd = odd.select(F.when(F.col("kind") == "name", F.concat(F.lit("\x1f"), "entity")).otherwise(F.col("entity")).alias("entity"), "s")
         marked = lambda x: F.when(x["k"] == "name", F.transform(_words(x["e"]), lambda w: F.concat(F.lit("\x1f"), F.lower(w)))).otherwise(F.array(x["e"]))
-        keyed = found.select(F.xxhash64("doc_id", "text").alias("at"), F.explode(F.array_distinct(F.flatten(F.transform("ents", marked)))).alias("entity"))
+        keyed = found.select("at", F.explode(F.array_distinct(F.flatten(F.transform("ents", marked)))).alias("entity"))
         few = odd.count() <= MOST_KEYS
         own = keyed.join(F.broadcast(odd) if few else odd, "entity").select("at", "entity", "s").distinct().groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("entity", "s"))).alias("own"))
         own = materialize(own)
         few = own.count() <= MOST_KEYS // 10
-        found = found.withColumn("at", F.xxhash64("doc_id", "text")).join(F.broadcast(own) if few else own, "at", "left").withColumn("own", F.coalesce("own", empty))
+        found = found.join(F.broadcast(own) if few else own, "at", "left").withColumn("own", F.coalesce("own", empty))
     word = lambda w: _cased(F.coalesce(F.element_at("own", F.concat(F.lit("\x1f"), F.lower(w))), _word(F.lower(w), _role(F.lower(w)), F.lit(0))), w)
     between = lambda e: F.split(e, WORD, -1)
     name = lambda e: F.concat_ws("", F.flatten(F.zip_with(between(e), F.transform(_words(e), word), lambda r, s: F.array(r, F.coalesce(s, F.lit(""))))))
@@ -313,7 +313,7 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
     put = F.concat_ws("", F.flatten(F.zip_with("rest", swaps, lambda r, s: F.array(r, F.coalesce(s, F.lit(""))))))
     return found.select(
         "doc_id",
-        F.when(F.size("ents") > 0, put).otherwise(F.col("text")).alias("text"),
+        put.alias("text"),
         F.size("ents").cast("long").alias("n_entities"),
     ).union(none)
 
