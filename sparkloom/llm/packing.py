@@ -33,9 +33,9 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Per worker process: the bytes and ids of words met before, by sorted hashes.
 _known: dict[str, dict] = {}
-_MOST_WORDS = 1_500_000
-#: What is kept of a word beside its hash: place and number of its ids, place and number of its bytes, its first bytes.
-_KEPT = {"at": np.uint32, "n": np.int32, "from": np.uint32, "width": np.int32, "head": np.uint64}
+_MOST_WORDS = 400_000
+#: What is kept of a word beside its hash: place and number of its ids, place and number of its bytes, its first bytes, whether a later block had it too.
+_KEPT = {"at": np.uint32, "n": np.int32, "from": np.uint32, "width": np.int32, "head": np.uint64, "again": bool}
 
 
 def _tokenizer(path: str) -> dict:
@@ -48,11 +48,26 @@ def _tokenizer(path: str) -> dict:
 
         tok = Tokenizer.from_file(path)
         held = _known[path] = {"tok": tok}
-    if "key" not in held or len(held["key"]) > _MOST_WORDS:
+    if "key" not in held:
         held |= {"key": np.zeros(0, np.uint64), "ids": np.zeros(0, np.uint32), "bytes": np.zeros(0, np.uint8)} | {k: np.zeros(0, _KEPT[k]) for k in _KEPT}
+    if len(held["key"]) > _MOST_WORDS:
+        _forget(held)
     return held
 
 
+def _forget(held: dict) -> None:
+    """Keeps the words that came again since the last time; none if these are most."""
+    keep = np.flatnonzero(held["again"])
+    keep = keep if 2 * len(keep) < _MOST_WORDS else keep[:0]
+    for flat, at, n in (("ids", "at", "n"), ("bytes", "from", "width")):
+        many = held[n][keep].astype(np.int64)
+        held[flat] = gather(held[flat], held[at][keep].astype(np.int64), many)
+        held[at][keep] = np.cumsum(many) - many
+    for k in ("key", *_KEPT):
+        held[k] = held[k][keep]
+    held["again"][:] = False
+
+
 def _encoded(w: Words, which: np.ndarray, tok) -> tuple[np.ndarray, np.ndarray]:
     """The ids of these words, end to end, and how many each has."""
     raw = w.data.tobytes()
@@ -98,6 +113,7 @@ def encode_block(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(uniq), dtype=bool)
     near = spot < len(held["key"])
     new[near] = held["key"][spot[near]] != uniq[near]
+    held["again"][spot[~new]] = True
     if new.any():
         which = index[new]
         flat, n = _encoded(w, which, held["tok"])
@@ -107,7 +123,7 @@ def encode_block(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         key = np.concatenate([held["key"], uniq[new]])
         order = np.argsort(key, kind="stable")
         held["key"] = key[order]
-        for name, more in (("at", at), ("n", n), ("from", from_), ("width", width), ("head", _heads(w.data, w.start[which], width))):
+        for name, more in (("at", at), ("n", n), ("from", from_), ("width", width), ("head", _heads(w.data, w.start[which], width)), ("again", np.zeros(len(n), bool))):
             held[name] = np.concatenate([held[name], more.astype(_KEPT[name])])[order]
         held["ids"] = np.concatenate([held["ids"], flat])
         held["bytes"] = np.concatenate([held["bytes"], gather(w.data, w.start[which], width)])

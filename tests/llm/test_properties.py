@@ -268,6 +268,20 @@ def test_words_that_share_a_hash_are_not_mixed_up(monkeypatch):
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_that_were_forgotten_are_encoded_again(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = packing.word_bpe()
+    tok = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "_known", {})
+    monkeypatch.setattr(packing, "_MOST_WORDS", 60)
+    for _ in range(12):
+        texts = [prose(40), prose(20), "always the same words, always"]
+        flat, at = packing.encode_block(pa.array(texts), path)
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # exact dedup
 
 
