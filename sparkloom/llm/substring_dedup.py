@@ -408,26 +408,23 @@ def _open(min_words: int):
 def matches(seeds: DataFrame, total: int, neighbours: bool) -> DataFrame:
     """(uid, p, other, op): occurrences of seeds(uid, h, p, r) beside their seed's first one in another of total texts; neighbours: beside the one before them too."""
     first = F.min(F.struct((-F.col("r")).alias("m"), "uid", "p"))
-    before = F.lag(F.struct("uid", "p"))
-
-    def beside(rows: DataFrame, own) -> DataFrame:
-        ends = [F.struct(F.col("first.uid").alias("other"), F.col("first.p").alias("op"))]
-        if neighbours:
-            rows = rows.withColumn("before", before.over(own.orderBy("uid", "p")))
-            ends.append(F.when(F.col("before.uid") != F.col("first.uid"), F.struct(F.col("before.uid").alias("other"), F.col("before.p").alias("op"))))
-        return rows.select("uid", "p", F.explode(F.array(*ends)).alias("x")).select("uid", "p", "x.*").where("uid <> other")
-
     own = W.partitionBy("h")
     hot = frequent(seeds, "h", "uid", total)
     if hot is None:
-        return beside(seeds.withColumn("first", first.over(own)), own)
-    small = hot.count() <= MOST_KEYS
-    marked = seeds.join(F.broadcast(hot) if small else hot, "h", "left")
-    common = marked.where("hot").select("uid", "h", "p", "r")
-    led = materialize(common.groupBy("h").agg(first.alias("first"), F.ceil(F.count("*") / hot_limit(total)).alias("salts")))
-    dealt = common.join(F.broadcast(led) if small else led, "h").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")))
-    rare = marked.where("hot IS NULL").select("uid", "h", "p", "r").withColumn("first", first.over(own))
-    return beside(rare, own).union(beside(dealt, W.partitionBy("h", "salt")))
+        led = seeds.withColumn("first", first.over(own))
+    else:
+        # one row a common seed, so a join with it makes no row more than it reads; every seed goes through it once
+        small = hot.count() <= MOST_KEYS
+        common = seeds.join(F.broadcast(hot) if small else hot, "h")
+        heads = materialize(common.groupBy("h").agg(first.alias("head"), F.ceil(F.count("*") / hot_limit(total)).alias("salts")))
+        salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("uid"), F.col("salts")))
+        own = W.partitionBy("h", "salt")
+        led = seeds.join(F.broadcast(heads) if small else heads, "h", "left").withColumn("salt", salt).drop("salts").withColumn("first", F.coalesce("head", first.over(own)))
+    ends = [F.struct(F.col("first.uid").alias("other"), F.col("first.p").alias("op"))]
+    if neighbours:
+        led = led.withColumn("before", F.lag(F.struct("uid", "p")).over(own.orderBy("uid", "p")))
+        ends.append(F.when(F.col("before.uid") != F.col("first.uid"), F.struct(F.col("before.uid").alias("other"), F.col("before.p").alias("op"))))
+    return led.select("uid", "p", F.explode(F.array(*ends)).alias("x")).select("uid", "p", "x.*").where("uid <> other")
 
 
 def aligned_parts(found: DataFrame, words: DataFrame, identity: float) -> DataFrame:

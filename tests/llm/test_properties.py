@@ -160,6 +160,31 @@ def test_what_is_shared_with_many_in_pieces_is_no_passage(spark):
     assert not reported(spark, texts)
 
 
+def rows_of_joins(plan):
+    """The rows that the joins of an executed plan made."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return rows_of_joins(plan.executedPlan())
+    if "QueryStage" in name:
+        return rows_of_joins(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return own + sum(rows_of_joins(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("neighbours", [False, True])
+@pytest.mark.parametrize("texts", [400, 1600])
+def test_a_common_seed_makes_no_row_more_than_it_occurs(spark, texts, neighbours):
+    seeds = [(u, 7, 3, 1 + u % 5) for u in range(texts)] + [(u, 8, 9, 1) for u in range(0, texts, 2)] + [(u, 100 + u // 3, 20, 1) for u in range(texts)]
+    frame = substring_dedup.matches(spark.createDataFrame(seeds, "uid long, h long, p int, r int"), texts, neighbours)
+    got = {tuple(r) for r in frame.collect()}
+    assert rows_of_joins(frame._jdf.queryExecution().executedPlan()) == len(seeds)
+    held = collections.defaultdict(list)
+    for u, h, p, r in seeds:
+        held[h].append((-r, u, p))
+    want = {(u, p, *min(own)[1:]) for own in held.values() for _, u, p in own if u != min(own)[1]}
+    assert want == got if not neighbours else want < got and len(got) <= 2 * len(seeds)
+
+
 def test_edits_of_long_gaps_are_bounded():
     a, b = np.arange(9000), np.arange(9000, 18000)
     assert substring_dedup.edits(a, b) == 9000 and substring_dedup.edits(np.array([1, 2, 3, 4]), np.array([1, 3, 4, 5])) == 2
