@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -31,6 +31,12 @@ def event_time(df: DataFrame, millis: str, delay: str, name: str = "event_time")
     return df.withColumn(name, F.timestamp_millis(F.col(millis))).withWatermark(name, delay)
 
 
+def nearest_millis(at) -> Column:
+    """A time to the nearest millisecond, as DuckDB's epoch_ms has it: halves go away from the epoch."""
+    us = F.unix_micros(at)
+    return F.timestamp_millis(F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000)))
+
+
 def windowed(df: DataFrame, keys: list[str], aggs: list, size: str, slide: str | None = None, at: str = "event_time") -> DataFrame:
     """Tumbling or sliding windows; windows that start before the epoch are dropped."""
     w = F.window(at, size, slide) if slide else F.window(at, size)

@@ -24,6 +24,16 @@ def test_oracle(spark, duck, name):
     assert not differences(catalog.QUERIES[name](spark, SF).toArrow(), duck.execute(catalog.ORACLES[name]).to_arrow_table())
 
 
+@pytest.mark.parametrize("name", ["tumbling_window"])
+def test_the_last_half_millisecond_counts_to_the_next_window(spark, tmp_path, name):
+    con = duckdb.connect()
+    times = ["2024-01-01 00:59:59.999499", "2024-01-01 00:59:59.999500", "2024-01-01 01:29:59.999800", "2024-01-01 02:00:00"]
+    rows = ", ".join(f"({i}::BIGINT, TIMESTAMP '{t}', 7::BIGINT, 'click', 1.5::DOUBLE)" for i, t in enumerate(times))
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) v(event_id, ts, user_id, event_type, value)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    assert not differences(catalog.QUERIES[name](spark, str(tmp_path)).toArrow(), con.execute(catalog.ORACLES[name]).to_arrow_table())
+
+
 def test_differences_are_seen():
     t = lambda **c: pa.table(c)
     assert not differences(t(x=[1, 2], y=["a", None]), t(y=[None, "a"], x=[2, 1]))
