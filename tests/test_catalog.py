@@ -1,5 +1,7 @@
 """Every query with SQL agrees with DuckDB on the smallest tables."""
 
+import re
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -34,6 +36,11 @@ def test_the_last_half_millisecond_counts_to_the_next_window(spark, tmp_path, na
     assert not differences(catalog.QUERIES[name](spark, str(tmp_path)).toArrow(), con.execute(catalog.ORACLES[name]).to_arrow_table())
 
 
+def test_no_key_carries_a_sketch_of_distinct_counts(spark):
+    plan = catalog.QUERIES["approx_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan and not re.search(r"keys=\[l_partkey[^\]]*\], functions=\[[^\]]*approx_count_distinct", plan)
+
+
 def test_differences_are_seen():
     t = lambda **c: pa.table(c)
     assert not differences(t(x=[1, 2], y=["a", None]), t(y=[None, "a"], x=[2, 1]))
