@@ -79,7 +79,8 @@ def vector_search(queries: DataFrame, index: DataFrame, k: int, most_queries: in
 
     Scores count to 12 digits, ties go to the smaller id.  The stated queries are
     dealt into blocks of at most about most_bytes, each broadcast on its own; a
-    task multiplies its vectors with a block and keeps k for each query.
+    task multiplies its vectors with a block, TILE scores at a time, and keeps k
+    for each query.
     """
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("x")).first()
     parts = max(1, -(-size["n"] // most_queries), -(-(8 * size["x"] + 16 * size["n"]) // most_bytes))
@@ -99,23 +100,54 @@ def _matrix(lists, n: int) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
+#: Scores that a task has at a time, whatever the number of queries and of a batch's rows.
+TILE = 1 << 22
+
+
+class _Best:
+    """The k best of each of n queries so far: one list ordered by query, score and id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.at, self.ids, self.score = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.low = np.full(n, -np.inf)  # what a query's k-th has
+
+    def add(self, first: int, ids: np.ndarray, raw: np.ndarray) -> None:
+        """raw: scores of the queries from first on (rows) with ids (columns)."""
+        np.nan_to_num(raw, copy=False, nan=np.inf)  # what is no number counts as the largest, as it does when ranked
+        low = self.low[first : first + len(raw)]
+        if self.k < raw.shape[1] and np.isneginf(low).any():
+            low = np.maximum(low, np.partition(raw, -self.k, axis=1)[:, -self.k])
+        at, where = np.nonzero(raw >= low[:, None] - 2e-12)  # rounding moves a score by half of 1e-12 at most
+        if not at.size:
+            return
+        at, ids, score = np.concatenate((self.at, at + first)), np.concatenate((self.ids, ids[where])), np.concatenate((self.score, np.round(raw[at, where], 12)))
+        order = np.lexsort((ids, -score, at))
+        at = at[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = order[rank < self.k]
+        self.at, self.ids, self.score = at[rank < self.k], ids[keep], score[keep]
+        full = rank == self.k - 1
+        self.low[at[full]] = score[order[full]]
+
+
 def _nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     got = queries.select("qid", "q").orderBy("qid").toArrow()
     width = max((len(x) for x in got.column("q").to_pylist() if x is not None), default=0)
     held = queries.sparkSession.sparkContext.broadcast(_matrix(got.column("q"), width))
 
     def run(batches):
-        ids, score = np.zeros((0, 0), np.int64), None
         q = held.value
+        best = _Best(len(q), k)
+        width, deal = max(1, min(len(q), TILE)), max(1, TILE // max(1, len(q), q.shape[1]))
         for batch in batches:
-            own = np.round(_matrix(batch.column(1), q.shape[1]) @ q.T, 12).T if q.size else np.zeros((len(q), batch.num_rows))
-            new = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), own.shape)
-            ids, score = (new, own) if score is None else (np.concatenate((ids, new), axis=1), np.concatenate((score, own), axis=1))
-            best = np.lexsort((ids, -score), axis=1)[:, :k]
-            ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
-        if score is not None:
-            at = np.repeat(np.arange(len(q)), score.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ids.ravel(), pa.int64()), pa.array(score.ravel(), pa.float64())], names=["at", "id", "score"])
+            for at in range(0, batch.num_rows, deal):
+                part = batch.slice(at, deal)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                rows = _matrix(part.column(1), q.shape[1]) if q.size else np.zeros((len(ids), q.shape[1]))
+                for first in range(0, len(q), width):
+                    best.add(first, ids, q[first : first + width] @ rows.T)
+        if best.at.size:
+            yield pa.RecordBatch.from_arrays([pa.array(best.at, pa.int64()), pa.array(best.ids, pa.int64()), pa.array(np.where(np.isinf(best.score), np.nan, best.score), pa.float64())], names=["at", "id", "score"])
 
     found = index.select(F.col("id").cast("long"), "vector").mapInArrow(run, "at long, id long, score double")
     w = W.partitionBy("at").orderBy(F.desc("score"), "id")

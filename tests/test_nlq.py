@@ -1,3 +1,7 @@
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.operators import nlq
@@ -53,6 +57,41 @@ def test_vector_search_in_blocks(spark):
     assert {(r[0], r[1]) for r in whole if r[3] == 1} == {(0, 1), (1, 0), (2, 8)}
 
 
+def test_vector_search_keeps_a_bounded_tile_and_is_exact(spark):
+    r = np.random.default_rng(3)
+    q, v = r.integers(-3, 4, (2000, 4)).astype(float), r.integers(-3, 4, (20_000, 4)).astype(float)  # ties abound
+    queries = spark.createDataFrame(pa.table({"qid": range(len(q)), "q": q.tolist()}))
+    ids = r.permutation(len(v))
+    batches = [pa.RecordBatch.from_pydict({"id": ids[i : i + 10_000], "vector": v[i : i + 10_000].tolist()}) for i in (0, 10_000)]
+
+    class Index:  # hands the task's work over, to be run and measured here
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            raise StopIteration
+
+    index = Index()
+    with pytest.raises(StopIteration):
+        nlq.vector_search(queries, index, 3)
+    tracemalloc.start()
+    got = pa.Table.from_batches(index.run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    score = np.round(unit(q[:50]) @ unit(v).T, 12)
+    want = {(at, int(ids[i])) for at in range(50) for i in np.lexsort((ids, -score[at]))[:3]}
+    assert {(a, i) for a, i in zip(got["at"].to_pylist(), got["id"].to_pylist(), strict=True) if a < 50} == want and got.num_rows == 6000
+
+
+def test_a_score_that_is_no_number_ranks_first(spark):
+    index = spark.createDataFrame([(0, [1.0, 0.0]), (1, [float("inf"), 1.0]), (2, [0.5, 0.5]), (3, [0.9, 0.1])], "id long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, q array<double>")
+    assert [(r["id"], r["rank"]) for r in nlq.vector_search(queries, index, 2).orderBy("rank").collect()] == [(1, 1), (0, 2)]
+
+
 def test_vectors_that_tie_go_by_id(spark):
     rows = [(i, [float(i % 3), 1.0]) for i in (9, 4, 7, 2, 1, 8)] + [(3, None)]
     index = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
