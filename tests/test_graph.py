@@ -139,3 +139,17 @@ def test_pregel_runs_until_quiet(spark):
     send = lambda t: t.where("src_low < dst_low").select(F.col("dst").alias("id"), F.col("src_low").alias("msg"))
     out = graph.pregel_until_quiet(v, e, send, F.min, lambda x: x.withColumn("low", F.least("low", F.coalesce("msg", "low"))))
     assert {r["low"] for r in out.collect()} == {0}
+
+
+@pytest.mark.parametrize("hubs", [1, 60, 500_000])
+def test_triangles_with_and_without_hubs(spark, monkeypatch, hubs):
+    monkeypatch.setattr(graph, "HUBS", hubs)
+    r = random.Random(5)
+    pairs = sorted({(r.randrange(5) if r.random() < 0.5 else r.randrange(40), r.randrange(40)) for _ in range(160)})
+    near = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = Counter(x for t in combinations(sorted(near), 3) if t[1] in near[t[0]] and t[2] in near[t[0]] and t[2] in near[t[1]] for x in t)
+    assert want and dict(map(tuple, graph.triangles(frame(spark, pairs)).collect())) == dict(want)
