@@ -16,6 +16,17 @@ from sparkloom.operators.lineage import cut
 _cut = cut
 
 
+#: Rows that a partition of what algorithms go through in each round holds, hubs aside.
+ROWS = 1 << 20
+
+
+def _dealt(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """df by key, in order and in parts of about ROWS rows, and their number: joins on the key shuffle and sort only the other side."""
+    df = _cut(df)
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+    return _cut(df.repartition(n, key).sortWithinPartitions(key)), n
+
+
 def from_edges(e: DataFrame, default=None) -> tuple[DataFrame, DataFrame]:
     """A graph from its edges; every vertex gets the default attribute."""
     return vertices_of(e).withColumn("attr", F.lit(default)), e
@@ -226,11 +237,11 @@ def strongly_connected(e: DataFrame) -> DataFrame:
 
 def label_propagation(e: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label): the commonest label of the neighbours, the smallest on ties."""
-    both = _cut(e.select("src", "dst").union(e.select("dst", "src")))
-    label = _cut(vertices_of(e).withColumn("label", F.col("id")))
+    both, n = _dealt(e.select("src", "dst").union(e.select("dst", "src")), "dst")
+    label = _cut(both.select(F.col("dst").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
-        seen = both.join(label, both.dst == label.id).groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = seen.groupBy("src").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("new"))
+        told = both.join(label, both.dst == label.id).select("src", "label").repartition(n, "src")
+        best = told.groupBy("src", "label").agg(F.count("*").alias("n")).groupBy("src").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("new"))
         label = _cut(label.join(best, label.id == best.src, "left").select("id", F.coalesce("new", "label").alias("label")))
     return label
 

@@ -153,3 +153,26 @@ def test_triangles_with_and_without_hubs(spark, monkeypatch, hubs):
             near[b].add(a)
     want = Counter(x for t in combinations(sorted(near), 3) if t[1] in near[t[0]] and t[2] in near[t[0]] and t[2] in near[t[1]] for x in t)
     assert want and dict(map(tuple, graph.triangles(frame(spark, pairs)).collect())) == dict(want)
+
+
+ROUNDS = {
+    "labels": (lambda e: graph.label_propagation(e, 0), lambda p: {x: x for x in nodes(p)}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ROUNDS))
+def test_rounds_do_not_compute_the_edges_again(spark, monkeypatch, name):
+    """Parts of four rows: hubs and large components go over many; a chain, a cycle and a star need rounds."""
+    monkeypatch.setattr(graph, "ROWS", 4)
+    pairs = [(i, i + 1) for i in range(6)] + [(6, 4)] + [(20, i) for i in range(21, 29)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        read.add(1)
+        return x
+
+    run, want = ROUNDS[name]
+    edges = frame(spark, pairs).withColumn("src", counted.asNondeterministic()("src"))
+    assert dict(tuple(r)[:: len(r) - 1] for r in run(edges).collect()) == want(pairs)
+    assert read.value <= 2 * len(pairs)
