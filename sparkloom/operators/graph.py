@@ -204,7 +204,7 @@ def connected_components(e: DataFrame) -> DataFrame:
 def strongly_connected(e: DataFrame) -> DataFrame:
     """(id, component): the largest id of the strongly connected component, by colouring."""
     left, done = _cut(e.select("src", "dst").distinct()), None
-    alive = _cut(vertices_of(e))
+    alive = _cut(vertices_of(left))
     while not alive.isEmpty():
         # vertices that nothing enters or leaves are components of their own: no colour need travel for them
         core = alive.join(left.select(F.col("src").alias("id")), "id", "left_semi").join(left.select(F.col("dst").alias("id")), "id", "left_semi")
@@ -214,20 +214,22 @@ def strongly_connected(e: DataFrame) -> DataFrame:
             alive = _cut(core)
             left = _cut(left.join(alive, left.src == alive.id, "left_semi").join(alive, left.dst == alive.id, "left_semi"))
             continue
-        colour = _cut(alive.withColumn("c", F.col("id")))
+        ahead, n = _dealt(left, "src")
+        colour = _cut(alive.repartition(n, "id").withColumn("c", F.col("id")))
         while True:  # the largest id that reaches a vertex
-            got = left.join(colour, left.src == colour.id).groupBy("dst").agg(F.max("c").alias("m"))
+            got = ahead.join(colour, ahead.src == colour.id).groupBy("dst").agg(F.max("c").alias("m"))
             new = _cut(colour.join(got, colour.id == got.dst, "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")))
             colour = new.select("id", "c")
             if new.where("c <> old").isEmpty():
                 break
-        found = _cut(colour.where("id = c"))
-        inside = _cut(left.join(colour.withColumnsRenamed({"id": "src", "c": "cs"}), "src").join(colour.withColumnsRenamed({"id": "dst", "c": "cd"}), "dst").where("cs = cd").select("src", "dst"))
+        found = front = _cut(colour.where("id = c"))
+        inside = ahead.join(colour.withColumnsRenamed({"id": "src", "c": "cs"}), "src").join(colour.withColumnsRenamed({"id": "dst", "c": "cd"}), "dst").where("cs = cd")
+        behind, _ = _dealt(inside.select("src", "dst"), "dst")
         while True:  # who reaches the colour's root backwards within the colour
-            more = _cut(inside.join(found, inside.dst == found.id).select(F.col("src").alias("id"), "c").distinct().join(found, ["id"], "left_anti"))
-            if more.isEmpty():
+            front = _cut(behind.join(front, behind.dst == front.id).select(F.col("src").alias("id"), "c").distinct().join(found, ["id"], "left_anti"))
+            if front.isEmpty():
                 break
-            found = _cut(found.union(more))
+            found = _cut(found.union(front))
         part = found.select("id", F.col("c").alias("component"))
         done = part if done is None else _cut(done.union(part))
         alive = _cut(alive.join(part, "id", "left_anti"))

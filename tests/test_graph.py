@@ -157,6 +157,7 @@ def test_triangles_with_and_without_hubs(spark, monkeypatch, hubs):
 
 ROUNDS = {
     "labels": (lambda e: graph.label_propagation(e, 0), lambda p: {x: x for x in nodes(p)}),
+    "strong": (graph.strongly_connected, lambda p: {x: 6 if 4 <= x <= 6 else x for x in nodes(p)}),
 }
 
 
