@@ -189,13 +189,19 @@ def page_rank(e: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance: fl
 
 def connected_components(e: DataFrame) -> DataFrame:
     """(id, component): the smallest id an undirected path reaches; label plus pointer jumping."""
-    both = _cut(e.select("src", "dst").union(e.select("dst", "src")).where("src <> dst").distinct())
-    label = _cut(vertices_of(e).withColumn("component", F.col("id")))
+    both, n = _dealt(e.select("src", "dst").union(e.select("dst", "src")).distinct(), "dst")
+    label = _cut(both.select(F.col("dst").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
         near = both.join(label, both.dst == label.id).groupBy("src").agg(F.min("component").alias("m"))
         step = _cut(label.join(near, label.id == near.src, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old")))
         far = step.select(F.col("id").alias("at"), F.col("component").alias("far"))
-        new = _cut(step.join(far, step.component == far.at, "left").select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "old"))
+        # most vertices may have one component: those of more than ROWS are broadcast, not gathered in one task
+        large = step.groupBy("component").count().where(F.col("count") > ROWS)
+        large = F.broadcast(large.join(far, large.component == far.at).select(F.col("component").alias("l"), F.col("far").alias("of")))
+        marked = step.join(large, step.component == large.l, "left")
+        rest = marked.where("l IS NULL").join(far, F.col("component") == F.col("at"), "left").select("id", "component", "old", "far")
+        jumped = rest.union(marked.where("l IS NOT NULL").select("id", "component", "old", "of"))
+        new = _cut(jumped.select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "old").repartition(n, "id"))
         label = new.select("id", "component")
         if new.where("component <> old").isEmpty():
             return label
