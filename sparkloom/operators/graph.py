@@ -256,13 +256,14 @@ def label_propagation(e: DataFrame, rounds: int = 5) -> DataFrame:
 
 def shortest_paths(e: DataFrame, landmarks: list) -> DataFrame:
     """(id, landmark, distance) along edges from the landmarks, weighted by attr; unreachable ones absent."""
-    dist = _cut(vertices_of(e).where(F.col("id").isin(landmarks)).select("id", F.col("id").alias("landmark"), F.lit(0.0).alias("distance")))
+    e, _ = _dealt(e.select("src", "dst", "attr"), "src")
+    dist = _cut(vertices_of(e.where(F.col("src").isin(landmarks) | F.col("dst").isin(landmarks))).where(F.col("id").isin(landmarks)).select("id", F.col("id").alias("landmark"), F.lit(0.0).alias("distance")))
     front = dist
     while not front.isEmpty():
         step = front.join(e, front.id == e.src).groupBy(F.col("dst").alias("id"), "landmark").agg(F.min(F.col("distance") + F.col("attr")).alias("new"))
         both = _cut(dist.join(step, ["id", "landmark"], "full"))
-        front = _cut(both.where("new IS NOT NULL AND (distance IS NULL OR new < distance)").select("id", "landmark", F.col("new").alias("distance")))
-        dist = _cut(both.select("id", "landmark", F.least("distance", "new").alias("distance")))
+        front = both.where("new IS NOT NULL AND (distance IS NULL OR new < distance)").select("id", "landmark", F.col("new").alias("distance"))
+        dist = both.select("id", "landmark", F.least("distance", "new").alias("distance"))
     return dist
 
 

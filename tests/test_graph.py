@@ -158,6 +158,7 @@ def test_triangles_with_and_without_hubs(spark, monkeypatch, hubs):
 ROUNDS = {
     "components": (graph.connected_components, lambda p: {x: min(reach(p + [(b, a) for a, b in p], x)) for x in nodes(p)}),
     "labels": (lambda e: graph.label_propagation(e, 0), lambda p: {x: x for x in nodes(p)}),
+    "paths": (lambda e: graph.shortest_paths(e, [0]), lambda p: {x: float(x) for x in range(7)}),
     "strong": (graph.strongly_connected, lambda p: {x: 6 if 4 <= x <= 6 else x for x in nodes(p)}),
 }
 
