@@ -179,3 +179,9 @@ def test_rounds_do_not_compute_the_edges_again(spark, monkeypatch, name):
     edges = frame(spark, pairs).withColumn("src", counted.asNondeterministic()("src"))
     assert dict(tuple(r)[:: len(r) - 1] for r in run(edges).collect()) == want(pairs)
     assert read.value <= 2 * len(pairs)
+
+
+def test_parts_grow_with_the_sources(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SOURCE_BYTES", 1)
+    wide = graph._written(spark.range(1, 40).groupBy((F.col("id") % 20).alias("k")).count())
+    assert wide.count() == 20 and wide.rdd.getNumPartitions() > 100 and spark.conf.get("spark.sql.shuffle.partitions") == "8"
